@@ -71,6 +71,7 @@ class Words:
     ends: np.ndarray
     doc_off: np.ndarray  # words of row i: doc_off[i] .. doc_off[i + 1]
     hashes: np.ndarray
+    at: np.ndarray  # bytes of row i: at[i] .. at[i + 1]
 
     @property
     def n_rows(self) -> int:
@@ -136,7 +137,7 @@ def words_of(column: pa.Array, table: np.ndarray, lower: bool, max_bytes: int =
         after[cut[cut > 0] - 1] = False
         ends = np.flatnonzero(inside & ~after) + 1
         buf = _LOWER[raw] if lower else raw
-        yield Words(lo, buf, raw, starts, ends, np.searchsorted(starts, at), hash_spans(buf, starts, ends))
+        yield Words(lo, buf, raw, starts, ends, np.searchsorted(starts, at), hash_spans(buf, starts, ends), at)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -162,6 +163,18 @@ def starts_in_row(doc_off: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def minimizers(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` windows, the place of its smallest hash (the first of equal ones; 3 low bits give way)."""
+    n = len(grams) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64)
+    low = np.uint64(7)
+    best = grams[:n] & ~low
+    for j in range(1, width):
+        best = np.minimum(best, (grams[j : j + n] & ~low) | np.uint64(j))
+    return np.arange(n) + (best & low).astype(np.int64)
+
+
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """True at the n words covered by a window of the given width at one of the starts."""
     step = np.zeros(n + 1, dtype=np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.llm import chat, decontaminate, quality_rules
+from loomspan.llm import chat, decontaminate, packing, quality_rules, substring_dedup, token_binary
 from loomspan.llm.common import table
 
 
@@ -26,6 +26,25 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_binary.read_documents(token_binary.write_shards(docs, _tokenizer("byte_bpe_50k.json")))
+
+
+def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -51,5 +70,17 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 """
 
 
+OP8 = f"""
+WITH d AS (SELECT doc_id, {_WORDS_BLANK.format(t="text")} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) q),
+first AS (SELECT win, min(doc_id) AS least FROM g GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT g.doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN first ON g.win = first.win WHERE least < g.doc_id) q),
+lost AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN lost ON d.doc_id = lost.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op7_chat_format": chat.ORACLE}
+    return {"op1_decontaminate": OP1, "op8_substring_dedup": OP8, "op7_chat_format": chat.ORACLE}
