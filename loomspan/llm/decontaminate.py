@@ -111,9 +111,9 @@ def search(words: H.Words, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndar
     stop[:-1] = ids == 0
     ends = words.doc_off[1:]
     places = np.unique(np.concatenate([np.flatnonzero(stop), ends]))
-    ahead = places[np.searchsorted(places, np.arange(n), side="left")]
+    ahead = places[np.searchsorted(places, np.arange(n), side="right")]  # a place is also where the next document begins
     ahead = np.minimum(ahead, np.repeat(ends, np.diff(words.doc_off)))
-    run = ahead - np.arange(n)
+    run = np.where(ids > 0, ahead - np.arange(n), 0)
     after = np.append(ids[1:], 0)
     may = np.zeros(n, dtype=bool)
     for w, opening in s.openings.items():

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import chat, decontaminate, packing, quality_rules, substring_dedup, token_binary
+from loomspan.llm import chat, decontaminate, html_extract, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_binary
 from loomspan.llm.common import table
 
 
@@ -16,12 +17,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_top", 6).alias("p_top"), "kept")
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +85,16 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 """
 
 
+OP2 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS_BLANK.format(t="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) q),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 75 * (na.n + nb.n - common)),
+r AS (SELECT doc_id, doc_id AS k FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.k = e.a)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(k) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, {_WORDS_BLANK.format(t="text")} AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13) q),
@@ -83,4 +108,4 @@ FROM d LEFT JOIN lost ON d.doc_id = lost.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op8_substring_dedup": OP8, "op7_chat_format": chat.ORACLE}
+    return {"op1_decontaminate": OP1, "op2_jaccard_join": OP2, "op8_substring_dedup": OP8, "op7_chat_format": chat.ORACLE}
