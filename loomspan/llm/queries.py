@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat, decontaminate, html_extract, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_binary
+from loomspan.llm import chat, decontaminate, html_extract, jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, token_binary
 from loomspan.llm.common import table
 
 
@@ -33,6 +33,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("p_top", 6).alias("p_top"), "kept")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    scanned = license_scan.scan(docs.select("doc_id", path.alias("path"), "text"))
+    return scanned.select("doc_id", "path", "own_license", F.round("score", 6).alias("score"), "line", F.round("file_score", 6).alias("file_score"), "license", "from_dir")
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
