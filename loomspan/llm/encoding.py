@@ -11,8 +11,8 @@ returned for a piece of text.  A text is cut where both tokenizers always cut:
 
 A piece of letters is one pre-token of either file, so it goes straight to the
 library's BPE model; letters with closing punctuation are two pre-tokens;
-anything else goes through the library's full pipeline.  The memo keeps two
-generations of bounded size in each worker process.
+anything else goes through the library's full pipeline.  The memo
+of a worker process is bounded; when it is full, it keeps what it met first.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-GENERATION = 300_000
+ENTRIES = 800_000
+KEPT = 150_000
 _OTHER_SPACE = re.compile("[\x85\xa0  -     　]")
 _CLOSING = ".,;:!?|*$%&#"
 
@@ -49,10 +50,14 @@ class Memo(dict):
         self.cores: dict[str, list[int]] = {}
         self.ids, self.at = array("I"), array("q", [0])
 
-    def clear(self) -> None:
-        super().clear()
+    def shrink(self) -> None:
+        """Keep the entries that were met first, which are the frequent ones, and forget the rest."""
+        stay = {p: k for p, k in self.items() if k < KEPT}
+        self.clear()
+        self.update(stay)
         self.cores = {}
-        self.ids, self.at = array("I"), array("q", [0])
+        del self.at[KEPT + 1 :]
+        del self.ids[self.at[-1] :]
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -123,8 +128,8 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > 2 * GENERATION:
-            self.memo.clear()
+        if len(self.memo) > ENTRIES:
+            self.memo.shrink()
         cuts = [self._cut(t) if t else [] for t in texts]
         flat: list[str] = []
         for c in cuts:

@@ -49,18 +49,22 @@ _SHARD = (
 )
 
 
-def _best_pairs(symbols: np.ndarray, inside: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent pairs (left << 32 | right), found through hashed counts."""
-    left, right = symbols[:-1], symbols[1:]
-    spot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
-    spot[~inside] = 0
-    counts = np.bincount(spot, minlength=1 << 20)
+_SLOTS = 1 << 20
+
+
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
+
+
+def _best_pairs(symbols: np.ndarray, spot: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The most frequent pairs (left << 32 | right), found through counts of their slots; slot 0 is for no pair."""
+    counts = np.bincount(spot, minlength=_SLOTS)
     counts[0] = 0
     heavy = counts >= least
     if heavy.sum() > 4 * most:
         heavy = counts >= max(least, np.partition(counts, -4 * most)[-4 * most])
     at = np.flatnonzero(heavy[spot])
-    pairs, times = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_counts=True)
+    pairs, times = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_counts=True)
     pairs, times = pairs[times >= least], times[times >= least]
     if len(pairs) > most:
         pairs = pairs[np.lexsort((pairs, -times))[:most]]
@@ -78,17 +82,18 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds:
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        inside = ~(last[:-1] | last[1:])
-        pairs = _best_pairs(symbols, inside, least, per_round)
+        spot = _slots(symbols[:-1], symbols[1:])
+        spot[last[:-1] | last[1:]] = 0
+        pairs = _best_pairs(symbols, spot, least, per_round)
         if not len(pairs):
             break
-        lefts = np.zeros(base + len(rules), dtype=bool)
-        lefts[(pairs >> np.uint64(32)).astype(np.int64)] = True
-        at = np.flatnonzero(lefts[symbols[:-1]] & inside)
-        code = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        which = np.searchsorted(pairs, code)
-        which[which == len(pairs)] = 0
-        fits = pairs[which] == code
+        # the slot tells the pair; of pairs that share a slot one is replaced in this round
+        of_slot = np.full(_SLOTS, -1, dtype=np.int32)
+        of_slot[_slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(len(pairs))
+        of_slot[0] = -1
+        at = np.flatnonzero((of_slot >= 0)[spot])
+        which = of_slot[spot[at]]
+        fits = pairs[which] == (symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1])
         at, which = at[fits], which[fits]
         # of overlapping places every second one is replaced, from the left
         step = np.ones(len(at), dtype=bool)
