@@ -465,6 +465,11 @@ class Emitter:
         raise ValueError(f"unknown operator {op}")
 
 
+def rounded(text: str, digits: int | None) -> str:
+    """Rounding by plain arithmetic: engines differ in how round() treats halves."""
+    return text if digits is None else f"(CAST(floor(CAST({text} AS DOUBLE) * 1e{digits} + 0.5) AS DOUBLE) / 1e{digits})"
+
+
 def stages(outputs: dict[str, Expr]) -> list[list[Expr]]:
     """The window nodes, in the order in which they can be computed, those of one depth and kind together."""
     found: dict[Expr, None] = {}
@@ -495,7 +500,7 @@ def evaluate(panel: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] =
     for group in stages(outputs):
         df = df.selectExpr("*", *[f"{emit.text(e)} AS {e.name}" for e in group])
         emit.done |= {e: e.name for e in group}
-    last = {n: f"round({emit.text(e)}, {digits})" if digits is not None else emit.text(e) for n, e in outputs.items()}
+    last = {n: rounded(emit.text(e), digits) for n, e in outputs.items()}
     return df.selectExpr(*keep, *[f"{t} AS {n}" for n, t in last.items()])
 
 
@@ -507,5 +512,5 @@ def to_sql(base: str, outputs: dict[str, Expr], keep: tuple[str, ...] = ("date",
         ctes.append(f"s{k} AS (SELECT *, " + ", ".join(f"{emit.text(e)} AS {e.name}" for e in group) + f" FROM {source})")
         emit.done |= {e: e.name for e in group}
         source = f"s{k}"
-    last = {n: f"round(CAST({emit.text(e)} AS DOUBLE), {digits})" if digits is not None else emit.text(e) for n, e in outputs.items()}
+    last = {n: rounded(emit.text(e), digits) for n, e in outputs.items()}
     return "WITH " + ",\n".join(ctes) + f"\nSELECT {', '.join(keep)}, " + ", ".join(f"{t} AS {n}" for n, t in last.items()) + f" FROM {source}"
