@@ -9,8 +9,9 @@ first cut is by tiny pivots, single shingles, of which a text is at distance
 1.  Texts with equal shingle sets are one class; only classes are compared.
 2.  Two linked classes share at least ``l`` shingles among their first
     (n - ceil(t n) + l) by hash.  Classes with fewer shared shingles there have
-    no link at all and leave.  Of the shared ones of the others, the rarest
-    (c - l + 1) are pivots: linked classes have one of them in common.
+    no link at all and leave.  Of the others all shingles are counted; who has
+    fewer than ceil(t n) shared ones leaves too.  Of c shared ones the rarest
+    (c - ceil(t n) + 1) are pivots: linked classes have one of them in common.
 3.  Classes that have pivots in common, directly or over others, form a region
     (connected components); all links lie inside regions.
 4.  A small region is joined in one task, document pivots and triangle windows
@@ -109,7 +110,12 @@ def _documents(text: str, k: int):
 
 
 def _combine(hashes: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
-    """Rows (k, h, cls, known) of a batch: of each shingle one class stands for the batch; the others know it is shared."""
+    """Rows (k, h, cls) of a batch: of each shingle one class stands for the batch (k = shingle).
+
+    h is 0 for a class that has its shingle alone in the batch; elsewhere it is the shingle, which is then known to be
+    shared, and classes that don't stand for the batch get a k of their own.  Rows are in the order of classes, which
+    shuffle files compress well.
+    """
     order = np.lexsort((classes, hashes))
     hashes, classes = hashes[order], classes[order]
     new = np.ones(len(hashes), dtype=bool)
@@ -119,27 +125,40 @@ def _combine(hashes: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
     first[1:] = hashes[1:] != hashes[:-1]
     known = ~first | ~np.append(first[1:], True) if len(first) else first
     k = np.where(first, hashes, H.join2(hashes, classes))
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(classes.view(np.int64)), pa.array(known)], names=["k", "h", "cls", "known"])
+    h = np.where(known, hashes, np.uint64(0))
+    order = np.argsort(classes, kind="stable")
+    return pa.RecordBatch.from_arrays([pa.array(x[order].view(np.int64)) for x in (k, h, classes)], names=["k", "h", "cls"])
+
 
+def _shingles(text: str, k: int, percent: int, whole: bool):
+    """Rows of the first shingles of each class, or of all (then of rows whose text is that of their class)."""
 
-def _prefixes(text: str, k: int, percent: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, classes = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for words in H.words_of(batch.column(0), H.BLANK, True):
+            for words in H.words_of(batch.column(batch.schema.get_field_index(text)), H.BLANK, True):
                 rows, shingles = _sets(words, k)
                 size, cls = _classes(rows, shingles, words.n_rows)
-                spare = -(-size * _SPARE // 100)
-                length = np.minimum(size, size - _need(size, percent) + spare)
-                place = np.arange(len(rows)) - (np.cumsum(size) - size)[rows]
-                first = place < length[rows]
-                hashes.append(shingles[first])
-                classes.append(cls[rows[first]])
+                if whole:
+                    meant = batch.column(batch.schema.get_field_index("cls")).to_numpy()[words.first_row : words.first_row + words.n_rows]
+                    used = (cls.view(np.int64) == meant)[rows]
+                else:
+                    length = np.minimum(size, size - _need(size, percent) + -(-size * _SPARE // 100))
+                    used = np.arange(len(rows)) - (np.cumsum(size) - size)[rows] < length[rows]
+                hashes.append(shingles[used])
+                classes.append(cls[rows[used]])
             yield _combine(np.concatenate(hashes), np.concatenate(classes))
 
     return of
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """cls, hs: the shingles of each class that another class has as well."""
+    by_key = Window.partitionBy("k")
+    met = rows.withColumn("lo", F.min("cls").over(by_key)).withColumn("hi", F.max("cls").over(by_key)).filter("h <> 0 or lo <> hi")
+    return met.select("cls", F.when(F.col("h") == 0, F.col("k")).otherwise(F.col("h")).alias("h")).groupBy("cls").agg(F.collect_set("h").alias("hs"))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(_COUNTERS, dtype=np.int64)
     for batch in batches:
@@ -162,7 +181,7 @@ def _pivots(percent: int, counters):
             order = np.lexsort((h, table[(h >> np.uint64(44)).astype(np.int64)], row))
             h, row = h[order], row[order]
             place = np.arange(len(h)) - (np.cumsum(have) - have)[row]
-            rare = place < (have - _shared_least(n, percent) + 1)[row]
+            rare = place < (have - _need(n, percent) + 1)[row]
             h, c = h[rare], cls[row[rare]]
             order = np.lexsort((c, h))
             h, c = h[order], c[order]
@@ -178,12 +197,6 @@ def _pivots(percent: int, counters):
     return of
 
 
-def _shared_least(n, percent: int):
-    """Shingles that a linked class shares, with one partner, among the first ones: its partner has percent n / 100 at least."""
-    spare_of_partner = -(-(_need(n, percent)) * _SPARE // 100)
-    return np.maximum(1, spare_of_partner)
-
-
 class _Region:
     """The shingle sets of some classes, with an index from shingle to classes."""
 
@@ -381,12 +394,16 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
     spark = docs.sparkSession
     by_class = of.filter("cls <> 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     by_class = materialise(by_class, "classes")
-    first = docs.filter(F.col("doc_id").isNotNull()).select(text).mapInArrow(_prefixes(text, k, percent), "k long, h long, cls long, known boolean")
-    by_key = Window.partitionBy("k")
-    shared = first.withColumn("lo", F.min("cls").over(by_key)).withColumn("hi", F.max("cls").over(by_key)).filter("known or lo <> hi")
-    lists = shared.groupBy("cls").agg(F.collect_set("h").alias("hs")).join(by_class.select("cls", "n"), "cls")
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kind = "k long, h long, cls long"
+    first = _shared(named.select(text).mapInArrow(_shingles(text, k, percent, False), kind)).join(by_class, "cls")
+    # a partner has percent n / 100 shingles at least, and its spare ones are shared with this class
     spare = F.ceil(F.ceil(F.col("n") * percent / 100) * _SPARE / 100)
-    lists = materialise(lists.filter(F.size("hs") >= F.greatest(spare, F.lit(1))), "shared")
+    likely = first.filter(F.size("hs") >= F.greatest(spare, F.lit(1))).drop("hs")
+    texts = named.select("doc_id", F.col(text).alias("text"))
+    likely = materialise(texts.join(likely, "doc_id").select("cls", "n", "text"), "likely")
+    lists = _shared(likely.select("cls", "text").mapInArrow(_shingles("text", k, percent, True), kind)).join(by_class.select("cls", "n"), "cls")
+    lists = materialise(lists.filter(F.size("hs") >= F.ceil(F.col("n") * percent / 100)), "shared")
     counts = lists.select("hs").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # _COUNTERS rows at most
     table = np.zeros(_COUNTERS, dtype=np.int64)
     table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
@@ -398,10 +415,9 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
     regions = materialise(regions.join(by_class, "cls"), "regions")
     # a region counts as its classes, or as many as its shingles would make at _SET each
     sizes = regions.groupBy("root").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / _SET)).cast("long").alias("size"))
-    members = regions.drop("n").join(sizes, "root")
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("text"))
+    members = regions.select("cls", "root").join(sizes, "root")
     # rows that share a doc_id may differ in text: the class says which row is meant
-    members = materialise(members.join(texts, "doc_id").select("root", "size", "cls", "text"), "members")
+    members = materialise(likely.select("cls", "text").join(members, "cls").select("root", "size", "cls", "text"), "members")
     few = _dealt(members.filter(F.col("size") <= _LARGE).select("root", "cls", "text"), "root")
     edges = materialise(few.mapInArrow(_small(k, percent), "a long, b long"), "links")
     many = members.filter(F.col("size") > _LARGE)
