@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomspan.functions import catalogue
 from loomspan.operators import panel_ops as P
 from loomspan.plans import algebra as A
+from loomspan.plans import stage_queries
 from loomspan.sources import brand_panel as B
 
 DIGITS = 4
@@ -74,6 +75,7 @@ def _register() -> None:
 
 
 _register()
+stage_queries.register(query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
