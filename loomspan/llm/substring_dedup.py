@@ -228,10 +228,10 @@ def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, m
     for _ in range(max_levels):
         found = every.mapInArrow(_doubled(width), _ROWS) if width > window else every.mapInArrow(_same(width), _ROWS)
         counted = found.withColumn("least", F.min("doc_id").over(by_key)).withColumn("n", F.count(F.lit(1)).over(by_key))
-        shared = materialise(counted.select("doc_id", "h", "known", "least", (F.col("known") | (F.col("n") > 1)).alias("shared")).filter("shared or known"), "repeats")
+        shared = materialise(counted.select("doc_id", "h", "known", "least", (F.col("k") != F.col("h")).alias("later"), (F.col("known") | (F.col("n") > 1)).alias("shared")).filter("shared or known"), "repeats")
         if shared.isEmpty():
             break
-        levels.append(shared.filter("known or least < doc_id").select("doc_id", F.lit(width).alias("words")).distinct())
+        levels.append(shared.filter("later or least < doc_id").select("doc_id", F.lit(width).alias("words")).distinct())
         every = pairs.join(_lists(shared).hint("shuffle_hash"), "doc_id")
         width *= 2
     out = levels[0] if levels else pairs.select("doc_id", F.lit(0).alias("words")).limit(0)
