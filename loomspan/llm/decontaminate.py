@@ -265,7 +265,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
             columns += [pa.array(out[c], pa.bool_() if c == "contaminated" else pa.string() if c == "items_sha256" else pa.int64()) for c in added]
             yield pa.RecordBatch.from_arrays(columns, names=kept + added)
 
-    return docs.select(*kept).mapInArrow(shard, schema)
+    return docs.select(*kept).mapInArrow(H.released(shard), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -46,8 +46,7 @@ class Memo(dict):
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
         self.model = tokenizer.model
-        self.closing: dict[str, list[int]] = {}
-        self.cores: dict[str, list[int]] = {}
+        self.closing: dict[str, array] = {}
         self.ids, self.at = array("I"), array("q", [0])
 
     def shrink(self) -> None:
@@ -55,7 +54,6 @@ class Memo(dict):
         stay = {p: k for p, k in self.items() if k < KEPT}
         self.clear()
         self.update(stay)
-        self.cores = {}
         del self.at[KEPT + 1 :]
         del self.ids[self.at[-1] :]
 
@@ -66,28 +64,26 @@ class Memo(dict):
         shown = core.replace(" ", "Ġ") if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
         return [t.id for t in self.model.tokenize(shown)]
 
-    def __missing__(self, piece: str) -> int:
-        core = piece.rstrip(_CLOSING)
-        if (core[1:] if core[:1] == " " else core).isalpha():
-            if core == piece:
-                found = self.letters(core)
-            else:
-                found = self.cores.get(core)
-                if found is None:
-                    found = self.cores[core] = self.letters(core)
-                tail = piece[len(core) :]
-                if (last := self.closing.get(tail)) is None:
-                    last = self.whole(tail)
-                    if len(tail) < 9:
-                        self.closing[tail] = last
-                found = found + last
-        else:
-            found = self.whole(piece)
+    def _put(self, piece: str, found) -> int:
         self.ids.extend(found)
         self.at.append(len(self.ids))
         self[piece] = n = len(self.at) - 2
         return n
 
+    def __missing__(self, piece: str) -> int:
+        core = piece.rstrip(_CLOSING)
+        if not (core[1:] if core[:1] == " " else core).isalpha():
+            return self._put(piece, self.whole(piece))
+        if core == piece:
+            return self._put(piece, self.letters(core))
+        tail = piece[len(core) :]
+        if (last := self.closing.get(tail)) is None:
+            last = array("I", self.whole(tail))
+            if len(tail) < 9:
+                self.closing[tail] = last
+        k = self[core]
+        return self._put(piece, self.ids[self.at[k] : self.at[k + 1]] + last)
+
     def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the entries one after another, and how many each has."""
         at = np.frombuffer(self.at, dtype=np.int64)

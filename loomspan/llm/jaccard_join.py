@@ -351,7 +351,7 @@ def _join_large(members: DataFrame, k: int, percent: int, rounds: int = 4) -> Da
         chosen = outside.withColumn("_salt", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(_PIVOTS))).groupBy("root", "_salt").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn + 100))).alias("cls"))
         pivots = members.join(chosen.select("root", "cls"), ["root", "cls"], "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         both = placed.select("root", "part", "cls", "text", F.lit(False).alias("pivot")).unionByName(pivots.select("root", "part", "cls", "text", F.lit(True).alias("pivot")))
-        stars = materialise(_dealt(both, "root", "part").mapInArrow(_stars(k, percent), "root long, cls long, far array<double>, links array<long>"), "stars")
+        stars = materialise(_dealt(both, "root", "part").mapInArrow(H.released(_stars(k, percent)), "root long, cls long, far array<double>, links array<long>"), "stars")
         found = stars.select(F.col("cls").alias("a"), F.explode("links").alias("b")).filter("a <> b")
         edges = materialise(found if edges is None else edges.unionByName(found), "star-edges")
         comps = connected_components(edges)
@@ -380,13 +380,13 @@ def _join_large(members: DataFrame, k: int, percent: int, rounds: int = 4) -> Da
     owners = owners.join(used, ["root", "cell", "part"]).join(replicas.select("root", "cell", "part", "block", "cls"), ["root", "cell", "part", "block", "cls"], "left_anti")
     columns = ["root", "cell", "part", "block", "cls", "comp"]
     rows = owners.select(*columns, F.lit(False).alias("replica")).unionByName(replicas.select(*columns, F.lit(True).alias("replica")))
-    found = _dealt(rows.join(texts, "cls"), "root", "cell", "part", "block").mapInArrow(_cells(k, percent), "a long, b long")
+    found = _dealt(rows.join(texts, "cls"), "root", "cell", "part", "block").mapInArrow(H.released(_cells(k, percent)), "a long, b long")
     return edges.unionByName(materialise(found, "cell-edges"))
 
 
 def classes(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and cls (0: no shingles) of every document."""
-    return docs.select("doc_id", text).mapInArrow(_documents(text, k), "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", text).mapInArrow(H.released(_documents(text, k)), "doc_id long, n_shingles long, cls long")
 
 
 def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -396,19 +396,19 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
     by_class = materialise(by_class, "classes")
     named = docs.filter(F.col("doc_id").isNotNull())
     kind = "k long, h long, cls long"
-    first = _shared(named.select(text).mapInArrow(_shingles(text, k, percent, False), kind)).join(by_class, "cls")
+    first = _shared(named.select(text).mapInArrow(H.released(_shingles(text, k, percent, False)), kind)).join(by_class, "cls")
     # a partner has percent n / 100 shingles at least, and its spare ones are shared with this class
     spare = F.ceil(F.ceil(F.col("n") * percent / 100) * _SPARE / 100)
     likely = first.filter(F.size("hs") >= F.greatest(spare, F.lit(1))).drop("hs")
     texts = named.select("doc_id", F.col(text).alias("text"))
     likely = materialise(texts.join(likely, "doc_id").select("cls", "n", "text"), "likely")
-    lists = _shared(likely.select("cls", "text").mapInArrow(_shingles("text", k, percent, True), kind)).join(by_class.select("cls", "n"), "cls")
+    lists = _shared(likely.select("cls", "text").mapInArrow(H.released(_shingles("text", k, percent, True)), kind)).join(by_class.select("cls", "n"), "cls")
     lists = materialise(lists.filter(F.size("hs") >= F.ceil(F.col("n") * percent / 100)), "shared")
-    counts = lists.select("hs").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # _COUNTERS rows at most
+    counts = lists.select("hs").mapInArrow(H.released(_counted), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # _COUNTERS rows at most
     table = np.zeros(_COUNTERS, dtype=np.int64)
     table[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
     counters = spark.sparkContext.broadcast(table.astype(np.int32) if table.max(initial=0) < 1 << 31 else table)
-    near = lists.mapInArrow(_pivots(percent, counters), "k long, a long, b long")
+    near = lists.mapInArrow(H.released(_pivots(percent, counters)), "k long, a long, b long")
     before = F.lag("a").over(Window.partitionBy("k").orderBy("a"))
     pairs = near.select("a", F.coalesce("b", before).alias("b")).filter("b is not null and a <> b")
     regions = connected_components(pairs, "regions").withColumnRenamed("node", "cls")
@@ -419,7 +419,7 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
     # rows that share a doc_id may differ in text: the class says which row is meant
     members = materialise(likely.select("cls", "text").join(members, "cls").select("root", "size", "cls", "text"), "members")
     few = _dealt(members.filter(F.col("size") <= _LARGE).select("root", "cls", "text"), "root")
-    edges = materialise(few.mapInArrow(_small(k, percent), "a long, b long"), "links")
+    edges = materialise(few.mapInArrow(H.released(_small(k, percent)), "a long, b long"), "links")
     many = members.filter(F.col("size") > _LARGE)
     if not many.isEmpty():
         edges = edges.unionByName(_join_large(many, k, percent))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import materialise
+from loomspan.llm.hashing import released
 from loomspan.llm.token_binary import _encoded
 
 CAPACITY = 2048
@@ -54,7 +55,7 @@ def _cut(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The piece table of all documents."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_cut(tokenizer_path, capacity), _PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(_cut(tokenizer_path, capacity)), _PIECE)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -92,12 +92,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, l1: float
     dim = 1 << BITS
     n = len(rows)
     flat = np.concatenate(rows)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=dim)
     useful = (seen >= least_rows) & (seen < n)
     used = useful[flat]
-    keep, col = np.unique(flat[used], return_inverse=True)
-    row = row[used]
+    keep = np.flatnonzero(useful & (seen > 0))
+    place = np.zeros(dim, dtype=np.int32)
+    place[keep] = np.arange(len(keep))
+    col, row = place[flat[used]], row[used]
+    del flat, used
     mean = seen[keep] / n
     scale = np.minimum(1 / np.sqrt(mean * (1 - mean) + 1.0 / n), 20.0)  # rare words may weigh as much as common ones
     middle = mean * scale
@@ -161,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """(weights, thresholds), or None without labelled documents."""
     sample = graded(labels, key).orderBy(F.xxhash64(key), key).limit(max_labelled)
     # the sample has at most max_labelled rows of two numbers
-    rows = docs.select(key, text).join(F.broadcast(sample), key).select(text, "grade").mapInArrow(_features, "x array<int>, grade int")
-    found = rows.repartition(1).mapInArrow(_train, "bucket array<int>, weight array<double>, thresholds array<double>").collect()
+    rows = docs.select(key, text).join(F.broadcast(sample), key).select(text, "grade").mapInArrow(H.released(_features), "x array<int>, grade int")
+    found = rows.repartition(1).mapInArrow(H.released(_train), "bucket array<int>, weight array<double>, thresholds array<double>").collect()
     if not found:
         return None
     weights = np.zeros(1 << BITS)
@@ -198,4 +201,4 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
         return docs.select(*own, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_top"), F.lit(True).alias("kept"))
     model = docs.sparkSession.sparkContext.broadcast(found)  # 2 ** BITS numbers
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own] + ["expected_grade double, p_top double"])
-    return docs.select(*own).mapInArrow(_score(own, text, model), schema).withColumn("kept", F.col("p_top") >= keep_tail)
+    return docs.select(*own).mapInArrow(H.released(_score(own, text, model)), schema).withColumn("kept", F.col("p_top") >= keep_tail)

@@ -143,11 +143,11 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW)
     """doc_id and the hashes of its windows that a smaller doc_id has as well."""
     pairs = docs.select("doc_id", text)
     by_key = Window.partitionBy("k")
-    seeds = pairs.mapInArrow(_seeds(text, window), _ROWS).withColumn("n", F.count(F.lit(1)).over(by_key))
+    seeds = pairs.mapInArrow(H.released(_seeds(text, window)), _ROWS).withColumn("n", F.count(F.lit(1)).over(by_key))
     shared = _lists(seeds.filter("known or n > 1"))
     # an outer join, so that the texts dealt out by doc_id are the ones dedup() joins again, and are dealt out once
     candidates = pairs.join(shared.hint("shuffle_hash"), "doc_id", "left").select("doc_id", text, "hashes")
-    found = candidates.mapInArrow(_windows(text, window), _ROWS).withColumn("least", F.min("doc_id").over(by_key))
+    found = candidates.mapInArrow(H.released(_windows(text, window)), _ROWS).withColumn("least", F.min("doc_id").over(by_key))
     return _lists(found.filter("known or least < doc_id"))
 
 
@@ -213,7 +213,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, with_text:
     joined = docs.select(*own).join(found.hint("shuffle_hash"), "doc_id", "left").select(*own, "hashes")
     kept = [c for c in kept if c in own]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_words long, n_removed long, kept_sha256 string"]
-    return joined.mapInArrow(_removed(text, window, kept, with_text), ", ".join(fields + (["left_text string"] if with_text else [])))
+    return joined.mapInArrow(H.released(_removed(text, window, kept, with_text)), ", ".join(fields + (["left_text string"] if with_text else [])))
 
 
 def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, max_levels: int = 40) -> DataFrame:
@@ -226,7 +226,7 @@ def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, m
     every = pairs.join(_lists(_all_shared(pairs, window)).hint("shuffle_hash"), "doc_id")
     levels = []
     for _ in range(max_levels):
-        found = every.mapInArrow(_doubled(width), _ROWS) if width > window else every.mapInArrow(_same(width), _ROWS)
+        found = every.mapInArrow(H.released(_doubled(width)), _ROWS) if width > window else every.mapInArrow(H.released(_same(width)), _ROWS)
         counted = found.withColumn("least", F.min("doc_id").over(by_key)).withColumn("n", F.count(F.lit(1)).over(by_key))
         shared = materialise(counted.select("doc_id", "h", "known", "least", (F.col("k") != F.col("h")).alias("later"), (F.col("known") | (F.col("n") > 1)).alias("shared")).filter("shared or known"), "repeats")
         if shared.isEmpty():
@@ -243,9 +243,9 @@ def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, m
 def _all_shared(pairs: DataFrame, window: int) -> DataFrame:
     """doc_id, h: all windows of documents in which a seed is shared."""
     by_key = Window.partitionBy("k")
-    seeds = pairs.mapInArrow(_seeds("text", window), _ROWS).withColumn("n", F.count(F.lit(1)).over(by_key))
+    seeds = pairs.mapInArrow(H.released(_seeds("text", window)), _ROWS).withColumn("n", F.count(F.lit(1)).over(by_key))
     candidates = pairs.join(_lists(seeds.filter("known or n > 1")).hint("shuffle_hash"), "doc_id")
-    return candidates.mapInArrow(_windows("text", window), _ROWS).select("doc_id", "h")
+    return candidates.mapInArrow(H.released(_windows("text", window)), _ROWS).select("doc_id", "h")
 
 
 def _extended(width: int, halves: int):
