@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over training shards.
 
-Each Arrow batch of documents is a shard.  Its words are numbered by the
+Up to 4 MB of consecutive documents are a shard.  Its words are numbered by the
 benchmark's vocabulary (0: not in it), and a sparse suffix array is built over
 the places where a match of full length can begin at all: a run of vocabulary
 words at least as long as a window, opening with a word pair that opens some
@@ -252,7 +252,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             out: dict[str, list] = {c: [] for c in added}
-            for words in H.words_of(column, H.ALNUM, True):
+            for words in H.words_of(column, H.ALNUM, True, max_bytes=4 << 20):  # a shard
                 hit, names, best = _block_marks(words, indexes)
                 n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.doc_off])
                 out["n_words"] += np.diff(words.doc_off).tolist()

@@ -128,7 +128,7 @@ def _slices(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def words_of(column: pa.Array, table: np.ndarray, lower: bool, max_bytes: int = 4 << 20) -> Iterator[Words]:
+def words_of(column: pa.Array, table: np.ndarray, lower: bool, max_bytes: int = 1 << 20) -> Iterator[Words]:
     """The words of a string column, some rows at a time; null has none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -128,8 +128,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = 3, l1: float
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         t = np.maximum.accumulate(t + 2.0 * miss.mean(axis=1))  # thresholds stay ordered
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        z = new + (momentum - 1) / following * (new - w)
+        change = new - w
+        z = new + (momentum - 1) / following * change
         w, momentum = new, following
+        if np.linalg.norm(change) < 2e-3 * np.linalg.norm(new):
+            break
     weights = np.zeros(dim)
     weights[keep] = w * scale
     return weights, t + (middle * w).sum()
