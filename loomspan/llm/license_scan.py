@@ -3,9 +3,9 @@
 Own license: every line of a text (a header may stand anywhere) and the text as
 a whole (a licence file) are compared with each template by the cosine of their
 TF-IDF vectors.  The idf of the templates' words comes from counts over all
-documents; any other word has the idf of an unseen word.  A line is compared if
-it holds a marker, a template word that less than MARKER_SHARE of the documents
-have; the vectors are sparse throughout.
+documents; any other word has the idf of an unseen word.  Every line that holds
+a template word is compared (any other has cosine 0), however many documents
+have that word; the vectors are sparse throughout.
 
 Inherited license: a licence file (by its name, or as a whole like a template)
 licenses its directory; a document without a license of its own gets that of
@@ -43,7 +43,6 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 LEAST = 0.8
-MARKER_SHARE = 0.05
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
 
@@ -60,7 +59,6 @@ class Templates:
     def weigh(self, found: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (found + 1)) + 1
         self.unseen = float(np.log(n_docs + 1) + 1)
-        self.marker = found < max(1, MARKER_SHARE * n_docs)
         self.vectors = self.tf * self.idf
         self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
 
@@ -119,7 +117,7 @@ def _scored(text: str, kept: list[str], model, least: float):
                 base = np.searchsorted(feeds, words.at[:-1]) + np.arange(n)
                 spot = t.spot(words.hashes)
                 marked = np.zeros(len(feeds) + n + 1, dtype=bool)
-                marked[line[(spot >= 0) & t.marker[spot]]] = True
+                marked[line[spot >= 0]] = True
                 some = np.flatnonzero(marked[line])
                 units, unit = np.unique(line[some], return_inverse=True)
                 cos = t.cosines(unit, words.hashes[some], len(units))
@@ -136,7 +134,7 @@ def _scored(text: str, kept: list[str], model, least: float):
                 name[at] = names[best[pick]]
                 name[value < least] = None
                 place[value < least] = -1
-                # the whole text: only rows with a marked line can be like a template
+                # the whole text: a row without a template word has cosine 0
                 has = np.zeros(n, dtype=bool)
                 has[unit_row] = True
                 mine = np.flatnonzero(has[row])

@@ -206,6 +206,15 @@ def test_licenses_and_inheritance(spark):
     assert out[3]["file_score"] > 0.99
 
 
+def test_common_licenses_are_found(spark):
+    """A notice that a third of all documents, or all of a few, carry is found on each."""
+    word = lambda i: " ".join(f"w{j}" for j in range(i, i + 30))
+    for n, every in ((90, 3), (4, 1)):
+        rows = [(i, f"d{i}/x.py", ("Released under the MIT License.\n" if i % every == 0 else "") + word(i)) for i in range(n)]
+        out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+        assert {r["doc_id"] for r in out if r["own_license"] == "MIT" and r["line"] == 0} == set(range(0, n, every))
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------
 def test_html_text():
     text = html_extract.parse(
