@@ -215,6 +215,21 @@ def test_common_licenses_are_found(spark):
         assert {r["doc_id"] for r in out if r["own_license"] == "MIT" and r["line"] == 0} == set(range(0, n, every))
 
 
+def test_full_license_texts_and_wrapped_headers(spark):
+    full = {n: ts[-1] for n, ts in license_scan.all_templates().items() if len(ts[-1]) > 300 and not n.startswith("CC-")}
+    assert len(full) == 11
+    header = "import os\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n" \
+        "# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nx = 1\ny = 2"
+    mit = "// Copyright 2020 Some One\n//\n" + "\n".join("// " + x for x in full["MIT"].splitlines()) + "\n" + "\n".join(f"let v{i} = w{i}" for i in range(300))
+    rows = [(i, f"f{i}/LICENSE", f"Copyright (c) 2020 Some One\n\n{full[n]}") for i, n in enumerate(sorted(full))] + [(100 + i, f"f{i}/a.py", "nothing") for i in range(len(full))]
+    rows += [(200, "s/a.py", header.format(3)), (201, "s/b.py", header.format(2)), (202, "s/c.js", mit), (203, "s/d", "The MIT License (MIT)"), (204, "s/e", "Creative Commons\nAttribution 4.0\nInternational"), (205, "s/f", " ".join(f"the w{j} of" for j in range(99)))]
+    rows += [(300 + i, f"m/{i}", " ".join(f"w{j}" for j in range(i, i + 30))) for i in range(60)]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, n in enumerate(sorted(full)):
+        assert (out[i]["own_license"], out[100 + i]["license"], out[100 + i]["from_dir"]) == (n, n, f"f{i}") and out[i]["file_score"] > 0.95
+    assert [(out[i]["own_license"], out[i]["line"]) for i in (200, 201, 202, 203, 204, 205)] == [("GPL-3.0", 1), ("GPL-2.0", 1), ("MIT", 2), ("MIT", 0), ("CC-BY-4.0", 0), (None, None)]
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------
 def test_html_text():
     text = html_extract.parse(
