@@ -1,7 +1,7 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 Pass 1 parses each page and hashes the subtree of every container element
-(section, div, list, table, ...) that lies outside the article proper.  Spark
+(section, div, list, table, ...), inside and outside the article proper.  Spark
 counts, per host, in how many different pages a subtree occurs (copies of a
 page count once); what recurs in ``MIN_PAGES`` pages and ``MIN_SHARE`` of the
 host's pages is template.  The counts are pre-aggregated before they are dealt
@@ -11,8 +11,9 @@ Pass 2 parses again and writes the text of the page without template subtrees,
 without elements that are no article by their nature (menus, footers, asides,
 forms, scripts, ...) or by what their class, id or role says (adverts,
 sidebars, notices, comments, ...).  If the page has an article or main element,
-only what is inside counts, and paragraphs in it are never template: an article
-that many pages carry is still an article.
+only what is inside counts.  Article and main elements, what encloses one, and
+paragraphs that stand in them directly are never template: an article that many
+pages carry is still an article.
 
 Parsing follows HTML's rules where they change the text: raw-text elements,
 comments, unclosed paragraphs and list items, tags cut off by the end of the
@@ -74,12 +75,13 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "drop", "inside", "hash", "mark", "links", "size", "heading")
+    __slots__ = ("tag", "drop", "inside", "hash", "mark", "links", "size", "heading", "article")
 
     def __init__(self, tag: str, drop: bool, inside: bool, mark: int):
         self.tag, self.drop, self.inside, self.mark = tag, drop, inside, mark
         self.hash = xxhash.xxh64(tag.encode())
         self.links = self.size = 0
+        self.article = False  # is or encloses an article or main element
 
 
 def _dropped(tag: str, attrs: str, inside: bool) -> bool:
@@ -99,7 +101,7 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
 
 
 def parse(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, list[int]]:
-    """(main text, hashes of the container subtrees outside the article)."""
+    """(main text, hashes of the container subtrees)."""
     blocks: list[tuple[str, bool]] = []  # text, inside an article or main element
     held: list[str] = []
     found: list[int] = []
@@ -133,10 +135,11 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tupl
         top.hash.update(b"e" + value.to_bytes(8, "little"))
         top.size += e.size
         top.links += e.links
-        if e.tag in _CONTAINER and not e.inside and e.size:
+        top.article |= e.article
+        if e.tag in _CONTAINER and not e.article and e.size:
             signed = value - (1 << 64) if value >> 63 else value
             found.append(signed)
-            menu = e.tag in ("ul", "ol") and e.links >= 0.9 * e.size
+            menu = not e.inside and e.tag in ("ul", "ol") and e.links >= 0.9 * e.size
             if signed in templates or menu:
                 del blocks[e.mark :]
 
@@ -185,6 +188,7 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tupl
         if attrs.endswith("/") and tag not in _BLOCK:
             continue
         stack.append(_Element(tag, drop, inside, len(blocks)))
+        stack[-1].article = core and not drop
     if at < len(page):
         say(page[at:])
     while len(stack) > 1:

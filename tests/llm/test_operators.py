@@ -250,6 +250,17 @@ def test_site_templates_go_and_articles_stay(spark):
     assert got[50].startswith("Welcome") and got[51] == "" and got[64] == "The same story everywhere."
 
 
+def test_blocks_inside_articles_go(spark):
+    box = '<div class="x7"><p>Read more stories</p></div>'
+    page = lambda i: f'<body><div role="main"><div><p>story {i} is long</p></div>{box}<p>The end</p><ul><li><a href="/{i}">source {i}</a></ul></div></body>'
+    teaser = "<div><article><p>The story that all quote.</p></article></div>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)] + [(20 + i, f"http://l.example/{i}", f"{teaser}<article><p>list {i}</p></article>") for i in range(8)]
+    rows += [(40, "http://other.example/", page(40))]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "story 3 is long\nThe end\nsource 3"
+    assert got[23] == "The story that all quote.\nlist 3" and "Read more stories" in got[40]
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------
 def test_snapshots_collapse(spark):
     turns = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"], 4: ["a", "b", "c"], 5: ["a", "x"], 6: [None], 7: [""], 8: ["b"]}
