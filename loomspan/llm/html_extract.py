@@ -3,9 +3,10 @@
 Pass 1 parses each page and hashes the subtree of every container element
 (section, div, list, table, ...), inside and outside the article proper.  Spark
 counts, per host, in how many different pages a subtree occurs (copies of a
-page count once); what recurs in ``MIN_PAGES`` pages and ``MIN_SHARE`` of the
-host's pages is template.  The counts are pre-aggregated before they are dealt
-out, and only the recurring hashes of a host, a bounded list, are kept.
+page count once); what recurs in ``MIN_PAGES`` pages is template, however many
+pages the host has.  The host is part of the 64-bit hash, so that no host, however
+large, is one key; the recurring hashes are broadcast if they are few and joined
+to the pages' own hashes if not.
 
 Pass 2 parses again and writes the text of the page without template subtrees,
 without elements that are no article by their nature (menus, footers, asides,
@@ -29,6 +30,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import materialise
 
 MIN_PAGES = 5
-MIN_SHARE = 0.3
+IN_MEMORY = 1 << 20  # hashes that are broadcast; more are joined
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -100,8 +102,23 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def parse(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, list[int]]:
-    """(main text, hashes of the container subtrees)."""
+class _Sorted:
+    """Membership in a sorted array: a set of Python numbers would take many times the memory."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __contains__(self, value: int) -> bool:
+        at = int(np.searchsorted(self.values, value))
+        return at < len(self.values) and int(self.values[at]) == value
+
+
+def seed_of(url: str | None) -> int:
+    return xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "replace"))
+
+
+def parse(page: str, templates: frozenset[int] | set[int] | _Sorted = frozenset(), seed: int = 0) -> tuple[str, list[int]]:
+    """(main text, hashes of the container subtrees, each with the host's seed)."""
     blocks: list[tuple[str, bool]] = []  # text, inside an article or main element
     held: list[str] = []
     found: list[int] = []
@@ -137,6 +154,7 @@ def parse(page: str, templates: frozenset[int] | set[int] = frozenset()) -> tupl
         top.links += e.links
         top.article |= e.article
         if e.tag in _CONTAINER and not e.article and e.size:
+            value ^= seed
             signed = value - (1 << 64) if value >> 63 else value
             found.append(signed)
             menu = not e.inside and e.tag in ("ul", "ol") and e.links >= 0.9 * e.size
@@ -201,45 +219,57 @@ def _pass1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
             some = batch.slice(a, 500)
-            hosts, prints, hashes = [], [], []
-            for url, page in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                text, found = parse(page or "")
-                hosts.append(host_of(url))
+            prints, hashes = [], []
+            for url, page in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True):
+                text, found = parse(page or "", seed=seed_of(url))
                 prints.append(xxhash.xxh64(text.encode("utf-8", "replace")).intdigest() >> 1)
                 hashes.append(sorted(set(found)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(prints, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "print", "hashes"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(prints, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["_key", "print", "hashes"])
+
+
+def _key():
+    """Of a page.  Pages that share one by chance get both pages' templates, of which only their own can match."""
+    return F.xxhash64("url", "html").alias("_key")
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """_key, print (of the text), hashes (of the container subtrees and the host), a row for each page."""
+    return pages.select(_key(), "url", "html").mapInArrow(_pass1, "_key long, print long, hashes array<long>")
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the container subtrees that recur across the host's pages."""
-    parsed = pages.select("url", "html").mapInArrow(_pass1, "host string, print long, hashes array<long>")
-    once = parsed.groupBy("host", "print").agg(F.min("hashes").alias("hashes"))
-    once = materialise(once, "subtrees")
-    totals = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = once.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    recurring = counts.join(totals, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.collect_set("h").alias("hashes"))  # at most subtrees of a page / min_share
+def site_templates(found: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """h: the container subtrees that recur across their host's pages."""
+    once = found.select("print", F.explode("hashes").alias("h")).distinct()
+    return once.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("h")
 
 
-def _pass2(kept: list[str]):
+def _pass2(kept: list[str], known):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = _Sorted(known.value) if known is not None else None
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 some = batch.slice(a, 500)
                 column = lambda c, some=some: some.column(some.schema.get_field_index(c))
-                texts = [parse(page or "", set(hashes or ()))[0] for page, hashes in zip(column("html").to_pylist(), column("_hashes").to_pylist(), strict=True)]
+                own = (everywhere if everywhere is not None else set(hashes or ()) for hashes in column("_hashes").to_pylist())
+                texts = [parse(page or "", templates, seed_of(url))[0] for url, page, templates in zip(column("_url").to_pylist(), column("html").to_pylist(), own, strict=True)]
                 out = [column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, "text", "n_chars"])
 
     return of
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, in_memory: int = IN_MEMORY) -> DataFrame:
     """The pages' columns but html, with text (main text) and n_chars (its code points)."""
-    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars", "_host", "_hashes")]
-    # written first: Spark then knows the size of the list before it joins, and broadcasts it only if it is small
-    templates = materialise(site_templates(pages, min_pages, min_share).select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes")), "templates")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.select(*[F.col(f"`{c}`") for c in kept], "html", host.alias("_host")).join(templates, "_host", "left")
+    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars", "_url", "_key", "_hashes")]
+    found = materialise(subtrees(pages), "subtrees")
+    templates = materialise(site_templates(found, min_pages), "templates")
+    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col("url").alias("_url"), "html", _key())
+    known = None
+    if templates.count() <= in_memory:
+        known = pages.sparkSession.sparkContext.broadcast(np.sort(templates.toArrow()["h"].to_numpy()))
+        rows = rows.withColumn("_hashes", F.lit(None).cast("array<long>"))
+    else:
+        own = found.select("_key", F.explode("hashes").alias("h")).distinct().join(templates, "h").groupBy("_key").agg(F.collect_list("h").alias("_hashes"))
+        rows = rows.join(own, "_key", "left")
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept] + ["text string, n_chars long"])
-    return joined.select(*[F.col(f"`{c}`") for c in kept], "html", "_hashes").mapInArrow(_pass2(kept), schema)
+    return rows.select(*[F.col(f"`{c}`") for c in kept], "_url", "html", "_hashes").mapInArrow(_pass2(kept, known), schema)

@@ -261,6 +261,17 @@ def test_blocks_inside_articles_go(spark):
     assert got[23] == "The story that all quote.\nlist 3" and "Read more stories" in got[40]
 
 
+def test_templates_of_a_part_of_a_large_host_go(spark):
+    """A notice on 6 of 100 pages, with the recurring hashes broadcast and joined; copies of a page count once."""
+    page = lambda i: f"<body>{'<div><p>Members only</p></div>' if i < 6 else ''}{'<div><p>Twice</p></div>' if i in (7, 8) else ''}<div><p>story {i} is long</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(100)] + [(200 + i, f"http://h.example/copy{i}", page(8)) for i in range(9)] + [(None, None, None), (300, None, "<p>a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(html_extract.extract(pages).collect(), key=str)
+    assert got == sorted(html_extract.extract(pages, in_memory=0).collect(), key=str) and len(got) == len(rows)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[2] == "story 2 is long" and text[8] == text[204] == "Twice\nstory 8 is long" and text[300] == "a"
+
+
 # -- 7 -----------------------------------------------------------------------------------------------------------
 def test_snapshots_collapse(spark):
     turns = {1: ["a"], 2: ["a", "b"], 3: ["a", "b", "c"], 4: ["a", "b", "c"], 5: ["a", "x"], 6: [None], 7: [""], 8: ["b"]}
