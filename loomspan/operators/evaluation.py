@@ -156,3 +156,25 @@ def percentiles(controls: DataFrame, measure: str, *by: str) -> DataFrame:
     return controls.groupBy(*by).agg(p.alias("_p")).select(*by, F.col("_p")[0].alias("p05"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p95"))
 
 
+
+
+def _measured(forecasts: DataFrame, first: int, stop: int) -> Column:
+    return F.col("p").isNotNull() & F.col("y").isNotNull() & (F.col("session_idx") >= first) & (F.col("session_idx") < stop)
+
+
+def spearman(forecasts: DataFrame, horizon: int, first: int = 0, stop: int = 1 << 30, least: int = 100) -> DataFrame:
+    """key, n, spearman, t: rank correlation of p and y over [first, stop), ties at their mean rank; t with n / horizon."""
+    rows = forecasts.filter(_measured(forecasts, first, stop))
+    rank = lambda c: F.rank().over(Window.partitionBy("key").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("key", c)) - 1) / 2
+    ranked = rows.select("key", rank("p").alias("a"), rank("y").alias("b"))
+    n, sa, sb = F.count(F.lit(1)), F.stddev_samp("a"), F.stddev_samp("b")
+    c = F.when((n >= least) & (sa > 0) & (sb > 0), F.covar_samp("a", "b") / (sa * sb))
+    return ranked.groupBy("key").agg(n.alias("n"), c.alias("spearman")).withColumn("t", F.col("spearman") * F.sqrt(F.col("n") / horizon))
+
+
+def oos_r2(forecasts: DataFrame, reach: int, min_sessions: int, first: int = 0, stop: int = 1 << 30, least: int = 100) -> DataFrame:
+    """key, n, oos_r2: 1 - SSE(p) / SSE(mean of the labels known by then); a row for each key and session."""
+    known = Window.partitionBy("key").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, -(reach + 1))
+    rows = forecasts.withColumn("_base", F.when(F.count("y").over(known) >= min_sessions, F.avg("y").over(known))).filter(_measured(forecasts, first, stop) & F.col("_base").isNotNull())
+    miss, plain = F.sum((F.col("y") - F.col("p")) ** 2), F.sum((F.col("y") - F.col("_base")) ** 2)
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, 1 - F.try_divide(miss, plain)).alias("oos_r2"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogue
+from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
 from loomspan.operators import models as M
@@ -166,6 +167,64 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
         change = F.col("pc1_loading") - F.lag("pc1_loading", 20).over(Window.partitionBy("ticker").orderBy("session_idx"))
         return f.withColumn("pc1_loading_change_20", change).withColumn("etf_idiosyncratic_share_median", F.median("idiosyncratic_share").over(Window.partitionBy("session_idx")))
 
+    @query("features_pca_stock")
+    def features_pca_stock(spark, d):
+        close = F.last("close", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("session_idx").rowsBetween(-20, 0))
+        dense = B.densify(B.brand_bars(spark, d, "p_name")).select("session_idx", "ticker", close.alias("close"))
+        r = dense.select("session_idx", "ticker", (F.col("close") / F.lag("close").over(Window.partitionBy("ticker").orderBy("session_idx")) - 1).alias("ret"))
+        base = ST.state_series(r, 90, 10, "stock").join(ST.state_series(r, 250, 10, "stock"), "session_idx", "left")
+        return ST.tercile(ST.derived_state(base, "stock", 90, 250), "stock_eff_n_90")
+
+    @query("env_correlation")
+    def env_correlation(spark, d):
+        return ST.environment_correlation(returns(spark, d))
+
+    # -- benchmarks and controls -----------------------------------------------------------------------------------
+    @query("fixed_benchmarks")
+    def fixed_benchmarks(spark, d):
+        held = C.benchmark_targets(B.brand_panel(spark, d), B.ROLES, 300)
+        return S.simulate(held.withColumn("r_next", F.col("r_next") / 1000).withColumn("cash_next", F.lit(0.0001)), cost=0.001)
+
+    @query("random_books")
+    def random_books(spark, d):
+        rows = A.evaluate(B.brand_panel(spark, d), {"r": P.next_open_return(), "ok": A.flag(A.TRADABLE)}, keep=("session_idx", "ticker"))
+        panel = rows.select("session_idx", "ticker", (F.col("ok") > 0).alias("tradable"), (F.col("r") / 1000).alias("r_next"), F.lit(0.0001).alias("cash_next"))
+        return C.random_books(panel, 300, cost=0.001).groupBy("trial", "draw").agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd"))
+
+    @query("group_map")
+    def group_map(spark, d):
+        roles = F.array(*[F.lit(r) for rs in C.EQUITY_SPLIT.values() for r in rs])
+        parts = table(spark, d, "part").select(F.col("p_brand").alias("ticker")).distinct()
+        maker = F.substring("ticker", 7, 1)
+        block = F.when(maker < "4", "equity").otherwise(F.concat(F.lit("block_"), maker))
+        return C.group_map(parts.select("ticker", block.alias("block_name"), F.element_at(roles, F.pmod(F.crc32("ticker"), F.size(roles)).cast("int") + 1).alias("role")))
+
+    def scores(spark, d):
+        return A.evaluate(B.brand_panel(spark, d), {"score": A.where(A.TRADABLE, _score())}, keep=("session_idx", "ticker"))
+
+    @query("book_controls")
+    def book_controls(spark, d):
+        s = scores(spark, d)
+        stress = G.stress([A.std(A.cross_mean(catalogue._names()["ret"]) / 10, 21)])
+        mask = A.evaluate(B.brand_panel(spark, d), {"stress": stress}, keep=("session_idx", "ticker")).groupBy("session_idx").agg(F.max("stress").alias("stress"))
+        cases = [("real", s), ("stale", C.stale(s)), ("shuffled 0", C.shuffled(s, 0))]
+        out = cases[0][1].withColumn("case", F.lit("real"))
+        for name, rows in cases[1:]:
+            out = out.unionByName(rows.withColumn("case", F.lit(name)))
+        return out.join(C.random_stress(mask, 0).withColumnRenamed("stress", "random_stress"), "session_idx")
+
+    def forecasts(spark, d):
+        outputs = {"p": _score(), "y": P.labels(HORIZON, payoff=None)[f"vol_scaled_h{HORIZON}"]}
+        return A.evaluate(B.brand_panel(spark, d), outputs, keep=("session_idx", "ticker")).withColumnRenamed("ticker", "key")
+
+    @query("spearman")
+    def spearman(spark, d):
+        return E.spearman(forecasts(spark, d), HORIZON)
+
+    @query("oos_r2")
+    def oos_r2(spark, d):
+        return E.oos_r2(forecasts(spark, d), P.reach(HORIZON), 252)
+
     # -- evaluation ------------------------------------------------------------------------------------------------
     def net(sql: str) -> str:
         return f"WITH {TRIALS_SQL} {sql}"

@@ -21,10 +21,10 @@ def densify(bars: DataFrame) -> DataFrame:
     return dates.crossJoin(F.broadcast(tickers)).join(bars, ["date", "ticker"], "left")
 
 
-def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """date, ticker, open, high, low, close, volume of the days on which a brand was shipped."""
+def brand_bars(spark: SparkSession, sf_dir: str, asset: str = "p_brand") -> DataFrame:
+    """date, ticker, open, high, low, close, volume of the days on which a brand (or another column of part) was shipped."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(asset).alias("ticker"))
     lines = items.join(parts, "l_partkey").select(F.to_date("l_shipdate").alias("date"), "ticker", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
     return lines.groupBy("date", "ticker").agg(
         F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.sum("l_quantity").alias("volume")

@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogue
+from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
 from loomspan.operators import models as M
 from loomspan.operators import panel_ops as P
 from loomspan.operators import simulation as S
+from loomspan.operators import state as ST
 from loomspan.plans import algebra as A
 from loomspan.sources.brand_panel import ROLES
 
@@ -210,3 +212,63 @@ def test_bins_and_rules(panel):
         assert sums[c].max() <= 1 + 1e-9
     assert sums["long_short_top_bins1"].abs().max() < 1e-9
     assert w["score_capped_max_weight0_15_max_block0_4"].max() <= 0.15 + 1e-12
+
+
+def test_fixed_benchmarks_and_random_books(panel):
+    out = C.benchmark_targets(panel[1], {"SPY": "A", "IEF": "B"}, 35).toPandas()
+    assert sorted(set(out["trial"])) == sorted(C.REBALANCE)
+    w = {n: g.pivot(index="session_idx", columns="ticker", values="target") for n, g in out.groupby("trial")}
+    on = panel[0].pivot(index="session_idx", columns="ticker", values="tradable")
+    np.testing.assert_allclose(w["ew_monthly"], on.div(on.sum(axis=1).clip(lower=1), axis=0).astype(float))
+    close = panel[0].pivot(index="session_idx", columns="ticker", values="close")
+    best = (close / close.shift(126) - 1).where(on)
+    for t, row in best.dropna(how="all").iterrows():
+        assert w["mom_6_3"].loc[t].idxmax() == row.idxmax() and w["mom_6_3"].loc[t].sum() == 1
+    assert (w["spy_ief_60_40"].sum(axis=1).round(9) == 1).all() and (w["spy"]["A"] == 1).all()
+    reb = out[out["ticker"] == "A"].groupby("trial").apply(lambda g: sorted(g.loc[g["rebalance"], "session_idx"]), include_groups=False)
+    assert reb["spy"] == [35] and reb["ew_monthly"] == [60, 91, 121] and reb["mom_6_3"] == [35, 98]
+    rng = np.random.default_rng(3)
+    tradable, r, cash = rng.random((50, 6)) > 0.1, rng.normal(0, 0.02, (50, 6)), np.full(50, 1e-4)
+    gross, turnover = C.fold_random(tradable, r, cash, 0.3, 5, 10, 4, (1,))
+    again, mask, target = np.random.default_rng((1,)), np.zeros(50, dtype=bool), np.zeros((4, 50, 6))
+    for t in range(10, 50, 5):
+        mask[t], target[:, t] = True, C.random_target(again.random((4, 6)), tradable[t], 0.3)
+    for k in range(4):
+        g, v = S.fold_banded(target[k], mask, r, cash, 0.0, True)
+        np.testing.assert_allclose((gross[k], turnover[k]), (g, v), atol=1e-12)
+
+
+def test_groups_and_book_controls(spark):
+    rows = [("A", "equity", "value"), ("B", "equity", "sector"), ("C", "bonds", None), ("SHY", "bonds", None)]
+    got = {r["ticker"]: (r["group"], r["group_idx"]) for r in C.group_map(spark.createDataFrame(rows, "ticker string, block_name string, role string")).collect()}
+    assert got == {"A": ("eq_broad", 1), "B": ("eq_sector", 2), "C": ("bonds", 0), "SHY": (None, -1)}
+    with pytest.raises(Exception, match="does not name the role"):
+        C.group_map(spark.createDataFrame([("A", "equity", "odd")], "ticker string, block_name string, role string")).collect()
+    rows = [(t, k, None if (t + ord(k)) % 5 == 0 else float(t * 100 + ord(k))) for t in range(200) for k in "ABCDEF"]
+    s = spark.createDataFrame(rows, "session_idx int, ticker string, score double")
+    a, b = wide(s, "score"), wide(C.shuffled(s, 1), "score")
+    assert (a.isna() == b.isna()).all().all() and not a.equals(b) and all(sorted(a.loc[t].dropna()) == sorted(b.loc[t].dropna()) for t in a.index)
+    assert wide(C.stale(s, 126), "score").equals(a.shift(126))
+    mask = C.random_stress(spark.createDataFrame([(t, float(t % 4 == 0)) for t in range(2100)], "session_idx int, stress double"), 0).toPandas().sort_values("session_idx")
+    assert mask.groupby(mask["session_idx"] // 21)["stress"].nunique().max() == 1 and 0.1 < mask["stress"].mean() < 0.4
+
+
+def test_rank_correlation_r2_and_pair_correlation(spark):
+    rng = np.random.default_rng(5)
+    p, y = rng.integers(0, 20, 300).astype(float), rng.normal(size=300)
+    f = spark.createDataFrame([("k", i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, y, strict=True))], "key string, session_idx int, p double, y double")
+    c = pd.Series(p).rank().corr(pd.Series(y).rank())
+    got = E.spearman(f, 5).first()
+    np.testing.assert_allclose((got["spearman"], got["t"]), (c, c * np.sqrt(60)))
+    base = pd.Series(y).shift(7).expanding(50).mean().to_numpy()
+    ok = np.isfinite(base)
+    np.testing.assert_allclose(E.oos_r2(f, 6, 50).first()["oos_r2"], 1 - ((y - p)[ok] ** 2).sum() / ((y - base)[ok] ** 2).sum())
+    x = rng.normal(size=(300, 7))
+    x[40, 2] = np.nan
+    r = spark.createDataFrame([(i, str(k), None if x[i, k] != x[i, k] else float(x[i, k])) for i in range(300) for k in range(7)], "session_idx int, ticker string, ret double")
+    got = ST.environment_correlation(r).toPandas().set_index("session_idx").sort_index()
+    for t in (0, 35, 120, 270):
+        z = x[t : t + 21][:, np.isfinite(x[t : t + 21]).all(axis=0)]
+        m = np.corrcoef(z, rowvar=False)
+        np.testing.assert_allclose(got.loc[t, "env_corr_h21"], (m.sum() - len(m)) / (len(m) * (len(m) - 1)))
+    assert got["env_corr_h21"].last_valid_index() == 300 - 21 - 2 and got["env_corr_h3"].equals(got["env_corr_h10"])
