@@ -149,6 +149,27 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
     def features_trend_ema(spark, d):
         return A.evaluate(I.ema_columns(B.brand_panel(spark, d), catalogue.EMA_SPANS), catalogue.family(catalogue.TREND_EMA, B.ROLES), digits=4)
 
+    @query("features_normalised_all")
+    def features_normalised_all(spark, d):
+        """date, ticker, feature, value of all families: tickers' features as ranks of the session, global ones as shares of
+        their own past, each minus 0.5.  Long, a plan for each family: one plan of all is too deep for the planner."""
+        plain = B.brand_panel(spark, d)
+        averages = I.ema_columns(plain, catalogue.EMA_SPANS)
+        parts = []
+        for f, text in catalogue.FAMILIES.items():
+            if f == "macro":
+                continue
+            own = {n: A.where(A.TRADABLE, A.rank(e) - 0.5) for n, e in catalogue.family(text, B.ROLES).items()}
+            parts.append(A.evaluate(averages if f == "trend_ema" else plain, own).unpivot(["date", "ticker"], list(own), "feature", "value"))
+        series = A.evaluate(GS.with_globals(plain, GS.daily(spark, d)), macro, keep=("session_idx", "date", "ticker")).filter(F.col("ticker") == B.ROLES["SPY"])
+        past = I.expanding_pct(series.unpivot("session_idx", list(macro), "key", "value")).select("session_idx", F.col("key").alias("feature"), (F.col("pct") - 0.5).alias("pct"))
+        live = plain.select("session_idx", "date", "ticker", "tradable")
+        parts.append(live.join(past, "session_idx").select("date", "ticker", "feature", F.when(F.col("tradable"), F.col("pct")).alias("value")))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     # -- state -----------------------------------------------------------------------------------------------------
     def returns(spark, d):
         filled = A.fill(A.col("close"), 20)  # brands skip days; an eigenvalue window wants nearly complete columns
@@ -163,7 +184,7 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
 
     @query("features_pca_factors")
     def features_pca_factors(spark, d):
-        f = ST.factor_features(returns(spark, d), window=126)
+        f = ST.factor_features(returns(spark, d))
         change = F.col("pc1_loading") - F.lag("pc1_loading", 20).over(Window.partitionBy("ticker").orderBy("session_idx"))
         return f.withColumn("pc1_loading_change_20", change).withColumn("etf_idiosyncratic_share_median", F.median("idiosyncratic_share").over(Window.partitionBy("session_idx")))
 
@@ -295,6 +316,14 @@ UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), {_r('median(c_acctbal)'
         p = table(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).agg(F.count("c_custkey"))
         return p.select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
 
+    @query("ic_pivot_all")
+    def ic_pivot_all(spark, d):
+        """ic_pivot over all segments, customers without one included; a column for each."""
+        c = table(spark, d, "customer").withColumn("_segment", F.lower(F.coalesce("c_mktsegment", F.lit("none"))))
+        found = sorted(r["_segment"] for r in c.select("_segment").distinct().collect())
+        p = c.groupBy("c_nationkey").pivot("_segment", found).agg(F.count("c_custkey"))
+        return p.select("c_nationkey", *[F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(x) for x in found])
+
     # -- simulation ------------------------------------------------------------------------------------------------
     def targets(spark, d):
         held = A.evaluate(B.brand_panel(spark, d), _books(), keep=("session_idx", "ticker"))

@@ -272,3 +272,12 @@ def test_rank_correlation_r2_and_pair_correlation(spark):
         m = np.corrcoef(z, rowvar=False)
         np.testing.assert_allclose(got.loc[t, "env_corr_h21"], (m.sum() - len(m)) / (len(m) * (len(m) - 1)))
     assert got["env_corr_h21"].last_valid_index() == 300 - 21 - 2 and got["env_corr_h3"].equals(got["env_corr_h10"])
+
+
+def test_wide_queries_cover_all_segments(spark, tmp_path):
+    from loomspan.plans import registry
+
+    rows = [(i, i % 3, ["BUILDING", "MACHINERY", "HOUSEHOLD", None][i % 4]) for i in range(50)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    out = registry.queries()["ic_pivot_all"](spark, str(tmp_path)).toPandas().set_index("c_nationkey")
+    assert list(out) == ["building", "household", "machinery", "none"] and out.to_numpy().sum() == 50
