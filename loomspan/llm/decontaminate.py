@@ -4,10 +4,13 @@ Up to 4 MB of consecutive documents are a shard.  Its words are numbered by the
 benchmark's vocabulary (0: not in it), and a sparse suffix array is built over
 the places where a match of full length can begin at all: a run of vocabulary
 words at least as long as a window, opening with a word pair that opens some
-benchmark window.  Every benchmark suffix is then binary-searched in the shard,
-all suffixes together, one word deeper at a time, until its range is empty:
-that gives its longest verbatim match and the places of it, and on the way the
-range of all places where its first ``window`` words occur.
+benchmark window.  Every benchmark suffix that opens a window is then
+binary-searched in the shard, all together, one word deeper at a time, until its
+range is empty: that gives its longest verbatim match and the places of it, and on
+the way the range of all places where its first ``window`` words occur.  Suffixes
+in the last ``window`` - 1 words of a longer item open none and are not searched:
+what they match beyond a window is part of a longer match, and a match shorter
+than a window counts for nothing.  ``matches`` gives the places of all matches.
 
 A document lies in one shard as a whole, so nothing is shuffled.  The
 benchmark is broadcast in blocks of at most ``block_bytes`` of text; a larger
@@ -170,6 +173,8 @@ class Index:
         by_window: dict[bytes, list[int]] = {}
         for p in np.flatnonzero(s.width > 0):
             by_window.setdefault(s.ids[p : p + s.width[p]].tobytes(), []).append(int(p))
+        self.places = {same[0]: same for same in by_window.values()}
+        self.begins = np.searchsorted(s.item, np.arange(len(names))).tolist()
         for same in by_window.values():
             self.items[same[0]] = sorted({int(s.item[p]) for p in same})
 
@@ -231,6 +236,44 @@ def _benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> li
 _INDEXES: dict[tuple, list[Index]] = {}
 
 
+def _spans(words: H.Words, index: Index) -> Iterator[tuple[int, str | None, int, int, int]]:
+    """(row, item, word in the item, word in the row, words) of all maximal matches that hold a window."""
+    s = index.s
+    place, suffix, _ = search(words, s)
+    row = words.row_of_word()
+    pairs = [(int(p), int(q)) for p, f in zip(place.tolist(), suffix.tolist(), strict=True) for q in index.places[f]]
+    pairs.sort(key=lambda x: (x[0] - x[1], x[0]))  # windows of one match lie on one diagonal, next to each other
+    a = 0
+    while a < len(pairs):
+        b = a + 1
+        while b < len(pairs) and pairs[b][0] == pairs[b - 1][0] + 1 and pairs[b][1] == pairs[b - 1][1] + 1 and row[pairs[b][0]] == row[pairs[a][0]] and s.item[pairs[b][1]] == s.item[pairs[a][1]]:
+            b += 1
+        (p, q), (last, end) = pairs[a], pairs[b - 1]
+        r = int(row[p])
+        yield r, s.names[int(s.item[q])], q - index.begins[int(s.item[q])], p - int(words.doc_off[r]), last - p + int(s.width[end])
+        a = b
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each maximal verbatim match of a window at least: the document's key, item_id, item_place, place, length.
+
+    Places are counted in words from 0; rows of a document that share a key each give their own.
+    """
+    blocks = _benchmark_blocks(benchmark, window, block_bytes)
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [Index(*b.value, window) for b in blocks]
+        for batch in batches:
+            for words in H.words_of(batch.column(1), H.ALNUM, True, max_bytes=4 << 20):
+                found = [m for index in indexes for m in _spans(words, index)]
+                keys = batch.column(0).take(pa.array([words.first_row + m[0] for m in found], pa.int64()))
+                rest = [pa.array([m[i] for m in found], t) for i, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([keys, *rest], names=[key, "item_id", "item_place", "place", "length"])
+
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id string, item_place long, place long, length long"
+    return docs.select(key, text).mapInArrow(H.released(shard), schema)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with, beside their own columns, what the benchmark has in common with each.
 

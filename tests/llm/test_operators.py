@@ -78,6 +78,16 @@ def test_contamination_is_exact(spark, docs, rows, block_bytes):
     assert sorted(got) == sorted(expected)
 
 
+def test_match_spans(spark):
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w[:30])), (2, " ".join(w[20:50])), (3, "one two"), (4, None)]
+    docs = [(10, " ".join(["x", *w[5:25], "y", *w[15:40]])), (11, " ".join(w[:9])), (12, "zero one two three one two"), (13, None), (14, " ".join([*w[:12], *w[:12]]))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    expected = [(10, "1", 5, 1, 20), (10, "1", 15, 22, 15), (10, "2", 0, 27, 20), (12, "3", 0, 1, 2), (12, "3", 0, 4, 2), (14, "1", 0, 0, 12), (14, "1", 0, 12, 12)]
+    for block_bytes in (1 << 20, 16):
+        assert sorted(tuple(r) for r in decontaminate.matches(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()) == expected
+
+
 def test_decontaminate_with_empty_tables(spark, docs):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, nothing).count() == docs.count()
