@@ -4,8 +4,10 @@ Documents are dealt out in ascending doc_id order, encoded, and written as
 shards of about ``shard_ids`` ids.  In a shard, frequent pairs of neighbouring
 symbols are replaced by new symbols, round after round: each round counts the
 pairs, takes up to ``per_round`` of the most frequent ones and replaces them
-all, from the left, until no pair is frequent enough or ``rounds`` are done.
-Pairs never reach over the end of a document.
+all, from the left, until no pair pays: a rule is 12 bytes in the file, a
+replacement saves 2, so pairs that occur less than ``least`` (8) times stay, and
+rules end where the next would no longer fit in 16 bits and make every symbol 4
+bytes wide (vocabularies below 2^16).  Pairs never reach over the end of a document.
 
 File format: one Parquet row for a shard, written by Spark's committer to any
 store that the session can reach:
@@ -57,21 +59,24 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _best_pairs(symbols: np.ndarray, spot: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent pairs (left << 32 | right), found through counts of their slots; slot 0 is for no pair."""
-    counts = np.bincount(spot, minlength=_SLOTS)
-    counts[0] = 0
-    heavy = counts >= least
-    if heavy.sum() > 4 * most:
-        heavy = counts >= max(least, np.partition(counts, -4 * most)[-4 * most])
-    at = np.flatnonzero(heavy[spot])
-    pairs, times = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_counts=True)
-    pairs, times = pairs[times >= least], times[times >= least]
+    """The most frequent pairs (left << 32 | right), found through counts of their slots; the slot after the last is for no pair."""
+    counts = np.bincount(spot, minlength=_SLOTS + 1)
+    counts[_SLOTS] = 0
+    floors = [least]
+    if (counts >= least).sum() > 4 * most:
+        floors.insert(0, max(least, int(np.partition(counts, -4 * most)[-4 * most])))
+    for floor in floors:  # full slots may hold rare pairs only: then all slots are looked through
+        at = np.flatnonzero((counts >= floor)[spot])
+        pairs, times = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_counts=True)
+        pairs, times = pairs[times >= least], times[times >= least]
+        if len(pairs):
+            break
     if len(pairs) > most:
         pairs = pairs[np.lexsort((pairs, -times))[:most]]
     return np.sort(pairs)
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds: int = 5, per_round: int = 1024, least: int = 64):
+def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds: int | None = None, per_round: int = 1024, least: int = 8):
     """(symbols, symbols of each document, base, rules) of documents that each end with end_id."""
     symbols = ids.astype(np.uint32)
     ends = np.cumsum(lengths)
@@ -79,18 +84,22 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds:
     last[ends - 1] = True
     base = max(int(symbols.max()) + 1 if len(symbols) else 1, end_id + 1)
     rules = np.empty((0, 2), dtype=np.uint32)
-    for _ in range(rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         if len(symbols) < 2:
             break
         spot = _slots(symbols[:-1], symbols[1:])
-        spot[last[:-1] | last[1:]] = 0
-        pairs = _best_pairs(symbols, spot, least, per_round)
+        spot[last[:-1] | last[1:]] = _SLOTS
+        room = (1 << 16) - base - len(rules) if base < 1 << 16 else per_round
+        if room < 1:
+            break
+        pairs = _best_pairs(symbols, spot, least, min(per_round, room))
         if not len(pairs):
             break
         # the slot tells the pair; of pairs that share a slot one is replaced in this round
-        of_slot = np.full(_SLOTS, -1, dtype=np.int32)
+        of_slot = np.full(_SLOTS + 1, -1, dtype=np.int32)
         of_slot[_slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(len(pairs))
-        of_slot[0] = -1
         at = np.flatnonzero((of_slot >= 0)[spot])
         which = of_slot[spot[at]]
         fits = pairs[which] == (symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1])

@@ -374,6 +374,17 @@ def test_shards_round_trip(spark, docs, rows, tokenizers):
         assert token_binary.read_ids(row, i).tolist() in by_id[d]
 
 
+def test_passages_that_occur_a_few_times_are_compressed():
+    rng = np.random.default_rng(2)
+    passage, parts = np.arange(1, 301, dtype=np.uint32), []
+    for _ in range(10):
+        parts += [rng.integers(1000, 60000, 50).astype(np.uint32), passage, np.zeros(1, np.uint32)]
+    ids, lengths = np.concatenate(parts), np.full(10, 351)
+    symbols, per_doc, base, rules = token_binary.compress(ids, lengths)
+    assert (token_binary.expand(symbols, base, rules) == ids).all() and per_doc.sum() == len(symbols)
+    assert len(symbols) <= 10 * (50 + 2 + 1) and base + len(rules) <= 1 << 16
+
+
 def test_grammar_expands_to_its_input():
     rng = np.random.default_rng(1)
     ids = rng.integers(1, 30, 50_000).astype(np.uint32)
