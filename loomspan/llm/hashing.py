@@ -181,14 +181,15 @@ def starts_in_row(doc_off: np.ndarray, k: int) -> np.ndarray:
 
 
 def minimizers(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` windows, the place of its smallest hash (the first of equal ones; 3 low bits give way)."""
+    """For each run of ``width`` windows, the place of its smallest hash (the first of equal ones; some low bits give way)."""
     n = len(grams) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
-    low = np.uint64(7)
-    best = grams[:n] & ~low
+    low = np.uint64((1 << (width - 1).bit_length()) - 1)
+    grams = grams & ~low
+    best = grams[:n].copy()
     for j in range(1, width):
-        best = np.minimum(best, (grams[j : j + n] & ~low) | np.uint64(j))
+        np.minimum(best, grams[j : j + n] | np.uint64(j), out=best)
     return np.arange(n) + (best & low).astype(np.int64)
 
 

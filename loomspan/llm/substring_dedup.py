@@ -1,23 +1,24 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-Level 1 looks at windows of about half the wanted length, and there only at
-each run's minimizer: a wanted window that is repeated carries the same
-minimizer in each of its places.  Windows of the wanted length are made only
-where their minimizer occurs in two documents or more, which makes level 2 a
-fraction of the text; ``longest_repeats`` doubles further, extending only what
-was repeated at one length to twice that length, until no candidate survives.
-(For what is removed longer windows change nothing: a repeated longer window
-consists of repeated windows of the wanted length.)
-
-Shuffles carry one row for each hash and Arrow batch that holds it, so a
-passage shared by a third of all documents is a few rows for each batch; what
-the batch itself already shows (a smaller document there has the window) is
-sent straight to the document, dealt out by document.  The text is dealt out
-once by doc_id and joined with what was found.
-
-Hashes are 64 bits at each of the two levels, computed from independent word
-sets of the window, so two different windows are taken for one only if both
-agree.
+Level 1 looks at windows of a quarter of the wanted length (4 words of 13), and
+there only at each run's minimizer: a wanted window that is repeated carries the
+same minimizer in each of its places.  Only what is repeated at one level, in
+two documents or more, is extended to twice its length: 4 words to 8, to the
+right where that stays inside the wanted window and to the left where not, and
+windows of 8 to those of 13, the wanted length.  ``dedup`` ends there, as longer
+windows change nothing for it (a repeated longer window consists of repeated
+windows of the wanted length); ``longest_repeats`` doubles on, 26, 52, ...,
+until no candidate survives.
+
+Each level is one shuffle by hash, with one row for each hash and Arrow batch
+that holds it, so a passage shared by a third of all documents is a few rows for
+each batch; other documents of the batch are known to share the hash and are
+dealt out by a key of their own.  What survives goes to its document.  The text
+is dealt out once by doc_id and joined with what was found at each level; the
+joins sort and spill, none builds a table in memory.
+
+Hashes are 64 bits at each level, so two different windows are taken for one
+only if their hashes and those of their parts at all levels agree.
 
 Defined results: null text has no words and loses none; a row without doc_id
 loses nothing and is nobody's source; rows that share a doc_id are judged each
@@ -37,22 +38,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import hashing as H
+from loomspan.llm.common import materialise
 
 WINDOW = 13
 _ROWS = "k long, h long, doc_id long, known boolean"
 
 
-def _seed_width(window: int) -> tuple[int, int]:
-    """(words in a seed, seeds that a window holds); at most 8 seeds, as minimizers() packs the place in 3 bits."""
-    seed = max((window + 1) // 2, window - 7)
-    return seed, window - seed + 1
+def widths(window: int) -> list[int]:
+    """Words of the windows at each level: a quarter, its double, and the wanted length."""
+    first = -(-window // 4)
+    return [w for w in (first, 2 * first) if w < window] + [window]
 
 
-def _combine(hashes: np.ndarray, docs: np.ndarray, largest: bool) -> pa.RecordBatch:
+def _combine(hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     """Rows for the shuffle from (hash, document) pairs of a batch.
 
-    Of each hash the smallest document stands for the batch (k = hash); other documents are known to share
-    it and get a k of their own.  largest: the representative is known as well where the batch has another.
+    Of each hash the smallest document stands for the batch (k = h); other documents get a k of their own.  known: the
+    batch alone shows that documents share the hash.
     """
     order = np.lexsort((docs, hashes))
     hashes, docs = hashes[order], docs[order]
@@ -61,12 +63,11 @@ def _combine(hashes: np.ndarray, docs: np.ndarray, largest: bool) -> pa.RecordBa
     hashes, docs = hashes[new], docs[new]
     first = np.ones(len(hashes), dtype=bool)
     first[1:] = hashes[1:] != hashes[:-1]
-    known = ~first
+    known = ~first | ~np.append(first[1:], True) if len(first) else first
     k = np.where(first, hashes, H.join2(hashes, docs.astype(np.uint64)))
-    if largest and len(first):
-        alone = first & np.append(first[1:], True)
-        known = known | (first & ~alone)
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(docs), pa.array(known)], names=["k", "h", "doc_id", "known"])
+    # in the order of documents, which shuffle files compress well
+    order = np.argsort(docs, kind="stable")
+    return pa.RecordBatch.from_arrays([pa.array(k[order].view(np.int64)), pa.array(hashes[order].view(np.int64)), pa.array(docs[order]), pa.array(known[order])], names=["k", "h", "doc_id", "known"])
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -89,66 +90,73 @@ def _among(rows: np.ndarray, hashes: np.ndarray, listed_rows: np.ndarray, listed
     return np.isin(of(rows, hashes), of(listed_rows, listed))
 
 
-def _anchors(words: H.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seed hashes, the minimizer's place for each window of the slice, and whether the window lies in one row."""
-    seed, held = _seed_width(window)
-    grams = H.windows(words.hashes, seed)
-    return grams, H.minimizers(grams, held), H.starts_in_row(words.doc_off, window)
+def _parts(words: H.Words, window: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all runs of ``width`` words, place of the part of each wanted window at this level, whether the window lies in one row)."""
+    inside = H.starts_in_row(words.doc_off, window)
+    if width == window:
+        return H.windows(words.hashes, window), np.arange(len(inside)), inside
+    first = widths(window)[0]
+    anchor = H.minimizers(H.windows(words.hashes, first), window - first + 1)
+    if width > first:  # the minimizer and the words after it, or before it where those would leave the window
+        anchor = anchor - np.where(anchor - np.arange(len(anchor)) + width <= window, 0, width - first)
+    return H.windows(words.hashes, width), anchor, inside
 
 
-def _seeds(text: str, window: int):
+def _candidates(text: str, window: int, level: int):
+    """Rows of the windows of one level, of those whose part at the level below is among the hashes of their row."""
+    width, below = widths(window)[level], widths(window)[level - 1]
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, valid = _ids(batch)
+            column = batch.column(batch.schema.get_field_index(text))
+            if level:
+                listed_rows, listed = _listed(batch, "hashes")
+                column = pc.if_else(batch.column(batch.schema.get_field_index("hashes")).is_valid(), column, "")
             hashes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for words in H.words_of(batch.column(batch.schema.get_field_index(text)), H.BLANK, False):
-                grams, anchor, inside = _anchors(words, window)
-                used = np.unique(anchor[inside])
-                row = words.first_row + words.row_of_word()[used]
-                used, row = used[valid[row]], row[valid[row]]
+            for words in H.words_of(column, H.BLANK, False):
+                grams, part, inside = _parts(words, window, width)
+                row = words.first_row + words.row_of_word()
+                if level:
+                    lower, lower_part, _ = _parts(words, window, below)
+                    used = np.unique(lower_part[inside])
+                    alive = np.zeros(len(lower), dtype=bool)
+                    alive[used] = _among(row[used], lower[used], listed_rows, listed)
+                    inside = inside & alive[lower_part]
+                used = np.unique(part[inside])
+                used = used[valid[row[used]]]
                 hashes.append(grams[used])
-                docs.append(ids[row])
-            yield _combine(np.concatenate(hashes), np.concatenate(docs), True)
+                docs.append(ids[row[used]])
+            yield _combine(np.concatenate(hashes), np.concatenate(docs))
 
     return of
 
 
-def _windows(text: str, window: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, _ = _ids(batch)
-            listed_rows, listed = _listed(batch, "hashes")
-            hashes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            some = batch.column(batch.schema.get_field_index("hashes")).is_valid()
-            for words in H.words_of(pc.if_else(some, batch.column(batch.schema.get_field_index(text)), ""), H.BLANK, False):
-                grams, anchor, inside = _anchors(words, window)
-                row = words.first_row + words.row_of_word()
-                used = np.unique(anchor[inside])
-                alive = np.zeros(len(grams), dtype=bool)
-                alive[used] = _among(row[used], grams[used], listed_rows, listed)
-                at = np.flatnonzero(inside)
-                at = at[alive[anchor[at]]]
-                hashes.append(H.windows(words.hashes, window)[at])
-                docs.append(ids[row[at]])
-            yield _combine(np.concatenate(hashes), np.concatenate(docs), False)
+def _lists(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.collect_list("h").alias("hashes"))
 
-    return of
 
+def _met(rows: DataFrame) -> DataFrame:
+    """The rows with the smallest document of their hash, and whether it is in two documents or more."""
+    by_key = Window.partitionBy("k")
+    met = rows.withColumn("least", F.min("doc_id").over(by_key)).withColumn("most", F.max("doc_id").over(by_key))
+    return met.withColumn("shared", F.expr("known or least < most")).withColumn("later", F.expr("k <> h or least < doc_id"))
 
-def _lists(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list("h").alias("hashes"))
+
+def level_rows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> list[DataFrame]:
+    """For each level its candidates (h, doc_id) with shared and later (a smaller doc_id has it); a level reads what the one below shares."""
+    pairs = docs.select("doc_id", text)
+    out: list[DataFrame] = []
+    for level in range(len(widths(window))):
+        # an outer join, so that the texts dealt out by doc_id are the same at all levels and in dedup(): dealt out once
+        held = pairs.join(_lists(out[-1].filter("shared")), "doc_id", "left").select("doc_id", text, "hashes") if level else pairs
+        out.append(_met(held.mapInArrow(H.released(_candidates(text, window, level)), _ROWS)))
+    return out
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id and the hashes of its windows that a smaller doc_id has as well."""
-    pairs = docs.select("doc_id", text)
-    by_key = Window.partitionBy("k")
-    seeds = pairs.mapInArrow(H.released(_seeds(text, window)), _ROWS).withColumn("n", F.count(F.lit(1)).over(by_key))
-    shared = _lists(seeds.filter("known or n > 1"))
-    # an outer join, so that the texts dealt out by doc_id are the ones dedup() joins again, and are dealt out once
-    candidates = pairs.join(shared.hint("shuffle_hash"), "doc_id", "left").select("doc_id", text, "hashes")
-    found = candidates.mapInArrow(H.released(_windows(text, window)), _ROWS).withColumn("least", F.min("doc_id").over(by_key))
-    return _lists(found.filter("known or least < doc_id"))
+    return _lists(level_rows(docs, text, window)[-1].filter("later"))
 
 
 def _removed(text: str, window: int, kept: list[str], with_text: bool):
@@ -210,67 +218,45 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, with_text:
     kept = [c for c in docs.columns if c not in added and (with_text or c != text)]
     found = repeated_windows(docs, text, window)
     own = [c for c in docs.columns if c not in added and c != "hashes"]
-    joined = docs.select(*own).join(found.hint("shuffle_hash"), "doc_id", "left").select(*own, "hashes")
+    joined = docs.select(*own).join(found, "doc_id", "left").select(*own, "hashes")
     kept = [c for c in kept if c in own]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_words long, n_removed long, kept_sha256 string"]
     return joined.mapInArrow(H.released(_removed(text, window, kept, with_text)), ", ".join(fields + (["left_text string"] if with_text else [])))
 
 
-def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, max_levels: int = 40) -> DataFrame:
+def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, words: the longest of window, 2 x window, 4 x window, ... at which it holds a window of an earlier document."""
-    from loomspan.llm.common import materialise
-
     pairs = docs.select("doc_id", F.col(text).alias("text"))
-    by_key = Window.partitionBy("k")
     width = window
-    every = pairs.join(_lists(_all_shared(pairs, window)).hint("shuffle_hash"), "doc_id")
-    levels = []
-    for _ in range(max_levels):
-        found = every.mapInArrow(H.released(_doubled(width)), _ROWS) if width > window else every.mapInArrow(H.released(_same(width)), _ROWS)
-        counted = found.withColumn("least", F.min("doc_id").over(by_key)).withColumn("n", F.count(F.lit(1)).over(by_key))
-        shared = materialise(counted.select("doc_id", "h", "known", "least", (F.col("k") != F.col("h")).alias("later"), (F.col("known") | (F.col("n") > 1)).alias("shared")).filter("shared or known"), "repeats")
+    rows = level_rows(pairs, "text", window)[-1]
+    out = None
+    while True:
+        shared = materialise(rows.filter("shared").select("doc_id", "h", "later"), "repeats")
+        found = shared.filter("later").select("doc_id", F.lit(width).alias("words")).distinct()
+        out = found if out is None else out.unionByName(found)
         if shared.isEmpty():
-            break
-        levels.append(shared.filter("later or least < doc_id").select("doc_id", F.lit(width).alias("words")).distinct())
-        every = pairs.join(_lists(shared).hint("shuffle_hash"), "doc_id")
+            return out.groupBy("doc_id").agg(F.max("words").alias("words"))
         width *= 2
-    out = levels[0] if levels else pairs.select("doc_id", F.lit(0).alias("words")).limit(0)
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.groupBy("doc_id").agg(F.max("words").alias("words"))
+        rows = _met(pairs.join(_lists(shared), "doc_id").mapInArrow(H.released(_doubled(width)), _ROWS))
 
 
-def _all_shared(pairs: DataFrame, window: int) -> DataFrame:
-    """doc_id, h: all windows of documents in which a seed is shared."""
-    by_key = Window.partitionBy("k")
-    seeds = pairs.mapInArrow(H.released(_seeds("text", window)), _ROWS).withColumn("n", F.count(F.lit(1)).over(by_key))
-    candidates = pairs.join(_lists(seeds.filter("known or n > 1")).hint("shuffle_hash"), "doc_id")
-    return candidates.mapInArrow(H.released(_windows("text", window)), _ROWS).select("doc_id", "h")
-
+def _doubled(width: int):
+    """Rows of the windows of ``width`` words both halves of which are among the hashes of their row."""
 
-def _extended(width: int, halves: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = _ids(batch)
             listed_rows, listed = _listed(batch, "hashes")
             hashes, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for words in H.words_of(batch.column(batch.schema.get_field_index("text")), H.BLANK, False):
-                half = width // halves
+                half = width // 2
                 row = words.first_row + words.row_of_word()
                 short = H.windows(words.hashes, half)
                 alive = H.starts_in_row(words.doc_off, half) & _among(row[: len(short)], short, listed_rows, listed)
                 at = np.flatnonzero(H.starts_in_row(words.doc_off, width))
-                at = at[alive[at] & alive[at + width - half]]
+                at = at[alive[at] & alive[at + half]]
                 hashes.append(H.windows(words.hashes, width)[at])
                 docs.append(ids[row[at]])
-            yield _combine(np.concatenate(hashes), np.concatenate(docs), True)
+            yield _combine(np.concatenate(hashes), np.concatenate(docs))
 
     return of
-
-
-def _doubled(width: int):
-    return _extended(width, 2)
-
-
-def _same(width: int):
-    return _extended(width, 1)
