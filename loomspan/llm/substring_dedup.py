@@ -149,7 +149,7 @@ def level_rows(docs: DataFrame, text: str = "text", window: int = WINDOW) -> lis
     out: list[DataFrame] = []
     for level in range(len(widths(window))):
         # an outer join, so that the texts dealt out by doc_id are the same at all levels and in dedup(): dealt out once
-        held = pairs.join(_lists(out[-1].filter("shared")), "doc_id", "left").select("doc_id", text, "hashes") if level else pairs
+        held = pairs.join(_lists(out[-1].filter("shared")).hint("merge"), "doc_id", "left").select("doc_id", text, "hashes") if level else pairs
         out.append(_met(held.mapInArrow(H.released(_candidates(text, window, level)), _ROWS)))
     return out
 
@@ -218,7 +218,7 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, with_text:
     kept = [c for c in docs.columns if c not in added and (with_text or c != text)]
     found = repeated_windows(docs, text, window)
     own = [c for c in docs.columns if c not in added and c != "hashes"]
-    joined = docs.select(*own).join(found, "doc_id", "left").select(*own, "hashes")
+    joined = docs.select(*own).join(found.hint("merge"), "doc_id", "left").select(*own, "hashes")
     kept = [c for c in kept if c in own]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_words long, n_removed long, kept_sha256 string"]
     return joined.mapInArrow(H.released(_removed(text, window, kept, with_text)), ", ".join(fields + (["left_text string"] if with_text else [])))
@@ -237,7 +237,7 @@ def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -
         if shared.isEmpty():
             return out.groupBy("doc_id").agg(F.max("words").alias("words"))
         width *= 2
-        rows = _met(pairs.join(_lists(shared), "doc_id").mapInArrow(H.released(_doubled(width)), _ROWS))
+        rows = _met(pairs.join(_lists(shared).hint("merge"), "doc_id").mapInArrow(H.released(_doubled(width)), _ROWS))
 
 
 def _doubled(width: int):
