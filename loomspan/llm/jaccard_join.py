@@ -14,16 +14,19 @@ first cut is by tiny pivots, single shingles, of which a text is at distance
     (c - ceil(t n) + 1) are pivots: linked classes have one of them in common.
 3.  Classes that have pivots in common, directly or over others, form a region
     (connected components); all links lie inside regions.
-4.  A small region is joined in one task, document pivots and triangle windows
-    sparing most comparisons: a class is compared only with classes of other
-    components inside all its windows.
-5.  A large region is cut again: sample pivots are sent to all its parts, every
-    class gets its distances, joins the star of a pivot within r, and belongs
-    to the Voronoi cell of its nearest pivot.  Classes outside the largest
-    component then go, as replicas, to each cell whose radius their triangle
-    window reaches, and are compared there exactly; classes inside it need no
-    comparison with each other, they are connected.  While many classes are
-    outside, further pivots are taken from them first.
+4.  A region is joined recursively.  Some classes of it are pivots; every class
+    gets its distances to them, is linked with those within r (the star of a
+    pivot), and belongs to the Voronoi cell of its nearest pivot.  A class that
+    is still asked for goes, as a replica, to each cell whose members its
+    triangle windows reach (all pivots at once), and is joined there with the
+    members of the cell by the same step, with pivots of its own.  Every pair is
+    met in one cell, that of its member; a pivot has met all and is asked no
+    more, so the steps end.  Classes of the largest component need no comparison
+    with each other, they are connected.
+5.  What one task can hold (``_TASK`` classes) goes through all these steps
+    there.  A larger region takes the first step in Spark: pivots are sent to
+    all its parts, replicas to all cells they reach, and each cell, in parts and
+    blocks that a task can hold, goes on from there.
 
 Every class pair that can link and is not connected yet is compared with the
 exact rule 100 * |x & y| >= 100 t * |x | y| on whole shingle sets.  Shared hot
@@ -54,7 +57,7 @@ from loomspan.llm.components import connected_components
 SHINGLE = 5
 PERCENT = 75
 _SPARE = 15  # per cent of a set that is looked at beyond the shortest prefix
-_LARGE = 2_000  # classes of a region that one task joins
+_TASK = 2_000  # classes that one task holds at a time
 _SET = 1_000  # shingles of a class, for sizing tasks
 _PIVOTS = 8
 _COUNTERS = 1 << 20
@@ -197,51 +200,93 @@ def _pivots(percent: int, counters):
     return of
 
 
-class _Region:
-    """The shingle sets of some classes, with an index from shingle to classes."""
+class _Sets:
+    """The shingle sets of some classes."""
 
     def __init__(self, rows: np.ndarray, hashes: np.ndarray, n: int):
-        self.n = n
         self.size = np.bincount(rows, minlength=n)
-        _, tid = np.unique(hashes, return_inverse=True)
-        self.tid, self.at = tid, np.concatenate([[0], np.cumsum(self.size)])
-        order = np.argsort(tid, kind="stable")
-        self.holder = rows[order]
-        counts = np.bincount(tid) if len(tid) else np.empty(0, np.int64)
-        self.post = np.concatenate([[0], np.cumsum(counts)])
-
-    def shared(self, x: int) -> np.ndarray:
-        """Size of the intersection of class x with every class."""
-        t = self.tid[self.at[x] : self.at[x + 1]]
-        first, many = self.post[t], self.post[t + 1] - self.post[t]
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.hashes = hashes
+
+    def of(self, x: int) -> np.ndarray:
+        return self.hashes[self.at[x] : self.at[x + 1]]
+
+
+class _Index:
+    """From a shingle to those of the given classes that hold it."""
+
+    def __init__(self, sets: _Sets, classes: np.ndarray):
+        many = sets.size[classes]
+        row = np.repeat(np.arange(len(classes)), many)
+        held = sets.hashes[np.repeat(sets.at[classes] - (np.cumsum(many) - many), many) + np.arange(len(row))]
+        order = np.argsort(held, kind="stable")
+        self.hashes, self.row, self.n = held[order], row[order], len(classes)
+
+    def shared(self, some: np.ndarray) -> np.ndarray:
+        """Size of the intersection of a set with every class."""
+        first = np.searchsorted(self.hashes, some, side="left")
+        many = np.searchsorted(self.hashes, some, side="right") - first
         where = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return np.bincount(self.holder[where], minlength=self.n)
+        return np.bincount(self.row[where], minlength=self.n)
 
 
-def _join(region: _Region, percent: int, asked: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect the asked classes with classes of other components, until nothing can be connected any more."""
+def _join(sets: _Sets, percent: int, asked: np.ndarray, comp: np.ndarray, all_asked: bool = False, log: list | None = None) -> list[tuple[int, int]]:
+    """Links that connect the asked classes with all classes, until nothing can be connected any more.
+
+    comp: what is connected already.  all_asked: every pair has both its classes among the asked ones, so the largest
+    component need not ask.  log gets (depth, asked, members) of each cell.
+    """
     edges: list[tuple[int, int]] = []
-    comp = comp.copy()
-    size = region.size
-    far: list[np.ndarray] = []  # distances from the first pivots
+    comp, size = comp.copy(), sets.size
     r = 1 - percent / 100 + 1e-9
-    for x in asked.tolist():
-        may = (comp != comp[x]) & (size * 100 >= percent * size[x]) & (percent * size <= 100 * size[x])
-        for d in far:
-            may &= np.abs(d - d[x]) <= r
-        if not may.any():
+    cells = [(0, asked, np.arange(len(size)))]
+    while cells:
+        depth, left, members = cells.pop()
+        asked = _open(left, members, comp, all_asked and not depth)
+        if not len(asked):
+            continue
+        if log is not None:
+            log.append((depth, len(asked), len(members)))
+        both = np.union1d(left, members)
+        index = _Index(sets, both)
+        place = np.searchsorted(both, members)
+        pivots: list[int] = []
+        far = np.empty((0, len(both)))
+        while len(asked) and len(pivots) < _PIVOTS:
+            # the next pivot is an asked class as far from the others as can be
+            x = int(asked[far[:, np.searchsorted(both, asked)].min(axis=0).argmax()]) if pivots else int(asked[0])
+            common = index.shared(sets.of(x))
+            union = size[both] + size[x] - common
+            pivots.append(x)
+            far = np.vstack([far, 1 - common / np.maximum(union, 1)])
+            linked = members[(100 * common >= percent * union)[place]]
+            for y in linked[comp[linked] != comp[x]].tolist():
+                if comp[y] != comp[x]:
+                    edges.append((x, y))
+                    comp[comp == comp[y]] = comp[x]
+            # from all that are left: another component may have become the largest
+            left = left[left != x]
+            asked = _open(left, members, comp, all_asked and not depth)
+        if not len(asked):
             continue
-        both = region.shared(x)
-        union = size + size[x] - both
-        if len(far) < _PIVOTS:
-            far.append(1 - both / np.maximum(union, 1))
-        for y in np.flatnonzero(may & (100 * both >= percent * union)).tolist():
-            if comp[y] != comp[x]:
-                edges.append((x, y))
-                comp[comp == comp[y]] = comp[x]
+        cell = far[:, place].argmin(axis=0)
+        mine = far[:, np.searchsorted(both, asked)]
+        for c in np.unique(cell).tolist():
+            inside = far[:, place[cell == c]]
+            reach = ((mine >= inside.min(axis=1)[:, None] - r) & (mine <= inside.max(axis=1)[:, None] + r)).all(axis=0)
+            if reach.any():
+                cells.append((depth + 1, asked[reach], members[cell == c]))
     return edges
 
 
+def _open(asked: np.ndarray, members: np.ndarray, comp: np.ndarray, all_asked: bool) -> np.ndarray:
+    """The asked classes that have a member of another component, but those of the largest one if all are asked."""
+    found, n = np.unique(comp[members], return_counts=True)
+    if len(found) == 1 or all_asked:
+        return asked[comp[asked] != found[n.argmax()]]
+    return asked
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], k: int):
     """For rows sorted by their keys: (key, batch of the group's rows, rows, shingles)."""
     held: list[pa.RecordBatch] = []
@@ -291,7 +336,7 @@ def _small(k: int, percent: int):
         for _, table, rows, hashes in _groups(batches, ["root"], k):
             cls = table.column(table.schema.get_field_index("cls")).to_numpy()
             n = len(cls)
-            yield _edges_batch(cls, _join(_Region(rows, hashes, n), percent, np.arange(n), np.arange(n)))
+            yield _edges_batch(cls, _join(_Sets(rows, hashes, n), percent, np.arange(n), np.arange(n), True))
 
     return of
 
@@ -303,12 +348,13 @@ def _stars(k: int, percent: int):
         for (root, _), table, rows, hashes in _groups(batches, ["root", "part"], k):
             cls = table.column(table.schema.get_field_index("cls")).to_numpy()
             pivot = table.column(table.schema.get_field_index("pivot")).to_numpy(zero_copy_only=False)
-            region = _Region(rows, hashes, len(cls))
+            sets = _Sets(rows, hashes, len(cls))
             at = np.flatnonzero(pivot)
             at = at[np.argsort(cls[at])]
             mine = np.flatnonzero(~pivot)
-            both = np.array([region.shared(x)[mine] for x in at.tolist()]).reshape(len(at), len(mine))
-            union = region.size[mine][None, :] + region.size[at][:, None] - both
+            index = _Index(sets, mine)
+            both = np.array([index.shared(sets.of(x)) for x in at.tolist()]).reshape(len(at), len(mine))
+            union = sets.size[mine][None, :] + sets.size[at][:, None] - both
             far = 1 - both / np.maximum(union, 1)
             linked = 100 * both >= percent * union
             yield pa.RecordBatch.from_arrays(
@@ -332,7 +378,7 @@ def _cells(k: int, percent: int):
             cls = table.column(table.schema.get_field_index("cls")).to_numpy()
             comp = np.unique(table.column(table.schema.get_field_index("comp")).to_numpy(), return_inverse=True)[1]
             asked = np.flatnonzero(table.column(table.schema.get_field_index("replica")).to_numpy(zero_copy_only=False))
-            yield _edges_batch(cls, _join(_Region(rows, hashes, len(cls)), percent, asked, comp))
+            yield _edges_batch(cls, _join(_Sets(rows, hashes, len(cls)), percent, asked, comp))
 
     return of
 
@@ -345,7 +391,7 @@ def _join_large(members: DataFrame, k: int, percent: int, rounds: int = 4) -> Da
     """Edges of the large regions (root, size, cls, text)."""
     edges = None
     outside = members.select("root", "cls")
-    parts = F.ceil(F.col("size") / _LARGE).cast("long")
+    parts = F.ceil(F.col("size") / _TASK).cast("long")
     placed = members.withColumn("part", F.pmod(F.xxhash64("cls"), parts))
     for turn in range(rounds):
         chosen = outside.withColumn("_salt", F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(_PIVOTS))).groupBy("root", "_salt").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn + 100))).alias("cls"))
@@ -361,16 +407,16 @@ def _join_large(members: DataFrame, k: int, percent: int, rounds: int = 4) -> Da
         main = sizes.groupBy("root").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
         outside = materialise(state.join(main, "root").filter("comp <> main").select("root", "cls", "comp"), "outside")
         left = outside.count()
-        if left <= _LARGE or turn and left > 0.7 * before:
+        if left <= _TASK or turn and left > 0.7 * before:
             break
         before = left  # noqa: F841 (used in the next turn)
     near = stars.join(state, ["root", "cls"]).select("root", "cls", "comp", "far", F.expr("array_position(far, array_min(far)) - 1").cast("long").alias("cell"))
     near = materialise(near, "cells")
     cells = near.groupBy("root", "cell").agg(F.max(F.expr("far[cell]")).alias("radius"), F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"))
-    cells = cells.withColumn("parts", F.ceil(F.col("n") / _LARGE).cast("long"))
+    cells = cells.withColumn("parts", F.ceil(F.col("n") / _TASK).cast("long"))
     texts = members.select("cls", "text")
     # blocks of replicas: each goes to the cells that its triangle window reaches
-    blocks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / _LARGE).cast("long").alias("blocks"))
+    blocks = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / _TASK).cast("long").alias("blocks"))
     mine = near.join(outside.select("cls"), "cls", "left_semi").join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")))
     reach = mine.select("root", "cls", "comp", "far", "block").join(cells.select("root", "cell", "radius", "parts"), "root").filter(F.expr("far[cell]") <= F.col("radius") + (1 - percent / 100) + 1e-9)
     replicas = reach.select("root", "cell", "cls", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -418,9 +464,9 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
     members = regions.select("cls", "root").join(sizes, "root")
     # rows that share a doc_id may differ in text: the class says which row is meant
     members = materialise(likely.select("cls", "text").join(members, "cls").select("root", "size", "cls", "text"), "members")
-    few = _dealt(members.filter(F.col("size") <= _LARGE).select("root", "cls", "text"), "root")
+    few = _dealt(members.filter(F.col("size") <= _TASK).select("root", "cls", "text"), "root")
     edges = materialise(few.mapInArrow(H.released(_small(k, percent)), "a long, b long"), "links")
-    many = members.filter(F.col("size") > _LARGE)
+    many = members.filter(F.col("size") > _TASK)
     if not many.isEmpty():
         edges = edges.unionByName(_join_large(many, k, percent))
     return edges

@@ -119,7 +119,7 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("large", [2_000, 6])
 def test_components_are_exact(spark, monkeypatch, large):
-    monkeypatch.setattr(jaccard_join, "_LARGE", large)
+    monkeypatch.setattr(jaccard_join, "_TASK", large)
     rng = random.Random(5)
     rows = [(d, t) for d, t in corpus(30, 2) if d is not None]
     chain = [f"w{i}" for i in range(60)]
@@ -133,6 +133,37 @@ def test_components_are_exact(spark, monkeypatch, large):
     assert found == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_cells_find_all_links(seed):
+    """The recursive cells of one region against all pairs, and that there are levels and cells of them."""
+    rng = random.Random(seed)
+    sets, words = [], range(4000)
+    for _ in range(rng.choice([3, 12])):
+        base = rng.sample(words, 40)
+        for _ in range(rng.choice([5, 25])):
+            one = list(base)
+            for _ in range(rng.choice([1, 3, 6, 9])):
+                one[rng.randrange(40)] = rng.choice(words)
+            sets.append(sorted(set(one[: rng.choice([40, 40, 33])])))
+    sets = [list(x) for x in sorted({tuple(x) for x in sets})]
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    held = jaccard_join._Sets(rows, np.array([h for x in sets for h in x], np.uint64), len(sets))
+    log = []
+    edges = jaccard_join._join(held, 75, np.arange(len(sets)), np.arange(len(sets)), True, log)
+    linked = lambda x, y: 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))
+    assert all(linked(sets[a], sets[b]) for a, b in edges)
+
+    def components(pairs):
+        of = list(range(len(sets)))
+        for a, b in pairs:
+            of = [min(of[a], of[b]) if c in (of[a], of[b]) else c for c in of]
+        return of
+
+    assert components(edges) == components([(a, b) for a in range(len(sets)) for b in range(a) if linked(sets[a], sets[b])])
+    if len(sets) > 60:
+        assert len(log) > 1 and max(depth for depth, *_ in log) >= 1
+
+
 def test_connected_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100 + i, 100) for i in range(1, 9)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
