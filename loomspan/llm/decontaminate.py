@@ -13,8 +13,13 @@ what they match beyond a window is part of a longer match, and a match shorter
 than a window counts for nothing.  ``matches`` gives the places of all matches.
 
 A document lies in one shard as a whole, so nothing is shuffled.  The
-benchmark is broadcast in blocks of at most ``block_bytes`` of text; a larger
-benchmark goes through the documents block after block in one stage.
+benchmark is broadcast in blocks of at most ``block_bytes`` of text.  A worker
+holds the index of one block at a time: with one block it is kept for all
+shards, with more each goes over ``HELD_BYTES`` of documents before the next is
+built.  The blocks of one pass have ``pass_bytes`` at most, which bounds what is
+broadcast and what the driver holds; a larger benchmark takes several passes,
+each of which writes the documents with what was found so far to the shared
+folder.
 
 Defined results: null or wordless text has 0 words and no hits; a null or
 wordless item has no windows; repeated rows are judged alike, each on its own;
@@ -33,9 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import hashing as H
+from loomspan.llm.common import materialise
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+PASS_BYTES = 256 << 20
+HELD_BYTES = 32 << 20
+_SHARD_BYTES = 4 << 20
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
 
 
@@ -164,23 +173,45 @@ def search(words: H.Words, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(found_at), np.concatenate(found_suffix), longest
 
 
+def _window_ranks(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window of ``width`` words at the places, equal for equal windows."""
+    rank, have = ids, 1
+    while have < width:
+        step = min(have, width - have)
+        rank = np.unique(_pair(rank[:-step], rank[step:]), return_inverse=True)[1]
+        have += step
+    return rank[at]
+
+
 class Index:
-    """A block with its equal windows: for each window's first place, all items that hold it."""
+    """A block with its equal windows: for each window's first place, all items and places that hold it (arrays only)."""
 
     def __init__(self, names: list[str], texts: list[str | None], window: int):
         self.s = s = build_suffixes(names, texts, window)
-        self.items: dict[int, list[int]] = {}
-        by_window: dict[bytes, list[int]] = {}
-        for p in np.flatnonzero(s.width > 0):
-            by_window.setdefault(s.ids[p : p + s.width[p]].tobytes(), []).append(int(p))
-        self.places = {same[0]: same for same in by_window.values()}
-        self.begins = np.searchsorted(s.item, np.arange(len(names))).tolist()
-        for same in by_window.values():
-            self.items[same[0]] = sorted({int(s.item[p]) for p in same})
-
-
-def _digest(names: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        self.begins = np.searchsorted(s.item, np.arange(len(names)))
+        group, n_groups = np.full(len(s.ids), -1), 0
+        for w in s.widths:
+            at = np.flatnonzero(s.width == w)
+            found, mine = np.unique(_window_ranks(s.ids, at, w), return_inverse=True)
+            group[at] = mine + n_groups
+            n_groups += len(found)
+        self.group = group
+        at = np.flatnonzero(group >= 0)
+        at = at[np.argsort(group[at], kind="stable")]
+        self.place, self.place_of = at, np.searchsorted(group[at], np.arange(n_groups + 1))
+        both = np.unique(np.stack([group[at], s.item[at]]), axis=1) if len(at) else np.empty((2, 0), np.int64)
+        self.item, self.item_of = both[1], np.searchsorted(both[0], np.arange(n_groups + 1))
+
+    def spread(self, values: np.ndarray, of: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the suffixes, value) for all values of the windows that the suffixes begin."""
+        g = self.group[suffix]
+        many = of[g + 1] - of[g]
+        which = np.repeat(np.arange(len(suffix)), many)
+        return which, values[np.repeat(of[g] - (np.cumsum(many) - many), many) + np.arange(len(which))]
+
+
+def _digest(names: list[str]) -> str:
+    return hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
 def mark(words: H.Words, index: Index) -> tuple[np.ndarray, list[set[str]], np.ndarray]:
@@ -195,45 +226,63 @@ def mark(words: H.Words, index: Index) -> tuple[np.ndarray, list[set[str]], np.n
     row = words.row_of_word()
     names: list[set[str]] = [set() for _ in range(words.n_rows)]
     if len(place):
-        for r, first in np.unique(np.stack([row[place], suffix], axis=1), axis=0).tolist():
-            names[r].update(s.names[i] for i in index.items[first] if s.names[i] is not None)
+        pairs = np.unique(np.stack([row[place], suffix]), axis=1)
+        which, item = index.spread(index.item, index.item_of, pairs[1])
+        for r, i in np.unique(np.stack([pairs[0][which], item]), axis=1).T.tolist():
+            if s.names[i] is not None:
+                names[r].add(s.names[i])
     best = np.zeros(words.n_rows, dtype=np.int64)
     if n:
         np.maximum.at(best, row, longest)
     return hit, names, best
 
 
-def _block_marks(words: H.Words, indexes: list[Index]):
-    hit = np.zeros(len(words.hashes), dtype=bool)
-    names: list[set[str]] = [set() for _ in range(words.n_rows)]
-    best = np.zeros(words.n_rows, dtype=np.int64)
-    for index in indexes:
-        h, found, b = mark(words, index)
-        hit |= h
-        best = np.maximum(best, b)
-        for mine, more in zip(names, found, strict=True):
-            mine |= more
-    return hit, names, best
-
-
-def _benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of the benchmark, none larger than block_bytes of text (or one item)."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, names, texts, held = [], [], [], 0
-    for r in rows.orderBy("item_id").toLocalIterator() if size > block_bytes else rows.collect():
+def _passes(benchmark: DataFrame, block_bytes: int, pass_bytes: int) -> Iterator[tuple[list, bool]]:
+    """(broadcast blocks, whether they are the last) of each pass; no block is larger than block_bytes of text (or one item)."""
+    context = benchmark.sparkSession.sparkContext
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").orderBy("item_id", "text")
+    blocks, names, texts, held, passed = [], [], [], 0, 0
+    for r in rows.toLocalIterator():
+        if held and held + len(r["text"] or "") > block_bytes:
+            blocks.append(context.broadcast((names, texts)))
+            names, texts, passed, held = [], [], passed + held, 0
+            if passed >= pass_bytes:
+                yield blocks, False
+                blocks, passed = [], 0
         names.append(r["item_id"])
         texts.append(r["text"])
-        held += len(r["text"] or "")
-        if held >= block_bytes:
-            blocks.append(spark.sparkContext.broadcast((names, texts)))
-            names, texts, held = [], [], 0
-    blocks.append(spark.sparkContext.broadcast((names, texts)))
-    return blocks
+        held += len((r["text"] or "").encode())
+    yield [*blocks, context.broadcast((names, texts))], True
 
 
-_INDEXES: dict[tuple, list[Index]] = {}
+_INDEX: dict[tuple, Index] = {}
+
+
+def _index(block, window: int) -> Index:
+    """The index of a block; a worker holds one."""
+    names, texts = block.value
+    key = (window, hash((tuple(names), tuple(texts))))
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Index(names, texts, window)
+    return _INDEX[key]
+
+
+def _held(batches: Iterator[pa.RecordBatch], text: str, many: bool) -> Iterator[pa.RecordBatch]:
+    """The batches; where the index changes from block to block, several as one, up to HELD_BYTES."""
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not many:
+            yield batch
+            continue
+        some.append(batch)
+        size += batch.column(batch.schema.get_field_index(text)).nbytes
+        if size >= HELD_BYTES:
+            yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+            some, size = [], 0
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
 
 
 def _spans(words: H.Words, index: Index) -> Iterator[tuple[int, str | None, int, int, int]]:
@@ -241,74 +290,116 @@ def _spans(words: H.Words, index: Index) -> Iterator[tuple[int, str | None, int,
     s = index.s
     place, suffix, _ = search(words, s)
     row = words.row_of_word()
-    pairs = [(int(p), int(q)) for p, f in zip(place.tolist(), suffix.tolist(), strict=True) for q in index.places[f]]
-    pairs.sort(key=lambda x: (x[0] - x[1], x[0]))  # windows of one match lie on one diagonal, next to each other
-    a = 0
-    while a < len(pairs):
-        b = a + 1
-        while b < len(pairs) and pairs[b][0] == pairs[b - 1][0] + 1 and pairs[b][1] == pairs[b - 1][1] + 1 and row[pairs[b][0]] == row[pairs[a][0]] and s.item[pairs[b][1]] == s.item[pairs[a][1]]:
-            b += 1
-        (p, q), (last, end) = pairs[a], pairs[b - 1]
-        r = int(row[p])
-        yield r, s.names[int(s.item[q])], q - index.begins[int(s.item[q])], p - int(words.doc_off[r]), last - p + int(s.width[end])
-        a = b
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    which, other = index.spread(index.place, index.place_of, suffix)
+    place = place[which]
+    order = np.lexsort((place, place - other))  # windows of one match lie on one diagonal, next to each other
+    place, other = place[order], other[order]
+    if not len(place):
+        return
+    goes_on = (np.diff(place) == 1) & (np.diff(other) == 1) & (row[place[1:]] == row[place[:-1]]) & (s.item[other[1:]] == s.item[other[:-1]])
+    first = np.flatnonzero(np.append(True, ~goes_on))
+    last = np.append(first[1:], len(place)) - 1
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        p, q = int(place[a]), int(other[a])
+        r, item = int(row[p]), int(s.item[q])
+        yield r, s.names[item], q - int(index.begins[item]), p - int(words.doc_off[r]), int(place[b]) - p + int(s.width[other[b]])
+
+
+def matches(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
     """A row for each maximal verbatim match of a window at least: the document's key, item_id, item_place, place, length.
 
     Places are counted in words from 0; rows of a document that share a key each give their own.
     """
-    blocks = _benchmark_blocks(benchmark, window, block_bytes)
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Index(*b.value, window) for b in blocks]
-        for batch in batches:
-            for words in H.words_of(batch.column(1), H.ALNUM, True, max_bytes=4 << 20):
-                found = [m for index in indexes for m in _spans(words, index)]
-                keys = batch.column(0).take(pa.array([words.first_row + m[0] for m in found], pa.int64()))
-                rest = [pa.array([m[i] for m in found], t) for i, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([keys, *rest], names=[key, "item_id", "item_place", "place", "length"])
+    def shard(blocks: list):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _held(batches, text, len(blocks) > 1):
+                for block in blocks:
+                    index = _index(block, window)
+                    for words in H.words_of(batch.column(1), H.ALNUM, True, max_bytes=_SHARD_BYTES):
+                        found = list(_spans(words, index))
+                        keys = batch.column(0).take(pa.array([words.first_row + m[0] for m in found], pa.int64()))
+                        rest = [pa.array([m[i] for m in found], t) for i, t in ((1, pa.string()), (2, pa.int64()), (3, pa.int64()), (4, pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([keys, *rest], names=[key, "item_id", "item_place", "place", "length"])
+
+        return of
 
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id string, item_place long, place long, length long"
-    return docs.select(key, text).mapInArrow(H.released(shard), schema)
+    out = None
+    for blocks, last in _passes(benchmark, block_bytes, pass_bytes):
+        found = docs.select(key, text).mapInArrow(H.released(shard(blocks)), schema)
+        if not last:
+            found = materialise(found, "matches")
+            _forget(blocks)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _forget(blocks: list) -> None:
+    for block in blocks:
+        block.destroy()
+
+
+_STATE = "_hit binary, _items array<string>, _longest long"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The documents with, beside their own columns, what the benchmark has in common with each.
 
     Adds n_words, n_hit (words inside an occurrence of a window), n_items, items_sha256, contaminated
     and longest_match (words of the longest verbatim match that holds a window).  Own columns of these
     names are replaced.
     """
-    blocks = _benchmark_blocks(benchmark, window, block_bytes)
     added = [c.split()[0] for c in RESULT.split(", ")]
-    kept = [c for c in docs.columns if c not in added]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [RESULT])
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (window, *(hash((tuple(b.value[0]), tuple(b.value[1]))) for b in blocks))
-        if key not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[key] = [Index(*b.value, window) for b in blocks]
-        indexes = _INDEXES[key]
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            out: dict[str, list] = {c: [] for c in added}
-            for words in H.words_of(column, H.ALNUM, True, max_bytes=4 << 20):  # a shard
-                hit, names, best = _block_marks(words, indexes)
-                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.doc_off])
-                out["n_words"] += np.diff(words.doc_off).tolist()
-                out["n_hit"] += n_hit.tolist()
-                out["n_items"] += [len(x) for x in names]
-                out["items_sha256"] += [_digest(x) for x in names]
-                out["contaminated"] += (n_hit > 0).tolist()
-                out["longest_match"] += best.tolist()
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns += [pa.array(out[c], pa.bool_() if c == "contaminated" else pa.string() if c == "items_sha256" else pa.int64()) for c in added]
-            yield pa.RecordBatch.from_arrays(columns, names=kept + added)
-
-    return docs.select(*kept).mapInArrow(H.released(shard), schema)
+    state = [c.split()[0] for c in _STATE.split(", ")]
+    kept = [c for c in docs.columns if c not in added and c not in state]
+    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+
+    def shard(blocks: list, began: bool, last: bool):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _held(batches, text, len(blocks) > 1):
+                column = batch.column(batch.schema.get_field_index(text))
+                before = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in state] if began else None
+                hits: list[np.ndarray] = [np.empty(0, bool)] * batch.num_rows
+                names: list[set[str]] = [set(before[1][i]) if began else set() for i in range(batch.num_rows)]
+                best = np.array(before[2] if began else np.zeros(batch.num_rows), dtype=np.int64)
+                for block in blocks:
+                    index = _index(block, window)
+                    for words in H.words_of(column, H.ALNUM, True, max_bytes=_SHARD_BYTES):  # a shard
+                        hit, found, longest = mark(words, index)
+                        for i in range(words.n_rows):
+                            r, mine = words.first_row + i, hit[words.doc_off[i] : words.doc_off[i + 1]]
+                            if block is blocks[0]:
+                                hits[r] = mine | np.unpackbits(np.frombuffer(before[0][r], np.uint8), count=len(mine)).astype(bool) if began else mine
+                            elif mine.any():
+                                hits[r] = hits[r] | mine
+                            if found[i]:
+                                names[r] |= found[i]
+                        at = slice(words.first_row, words.first_row + words.n_rows)
+                        best[at] = np.maximum(best[at], longest)
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+                if last:
+                    n_hit = [int(h.sum()) for h in hits]
+                    lists = [sorted(x) for x in names]
+                    columns += [pa.array([len(h) for h in hits], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in lists], pa.int64())]
+                    columns += [pa.array([_digest(x) for x in lists], pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(best)]
+                else:
+                    columns += [pa.array([np.packbits(h).tobytes() for h in hits], pa.binary()), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(best)]
+                yield pa.RecordBatch.from_arrays(columns, names=kept + (added if last else state))
+
+        return of
+
+    now = docs.select(*[F.col(f"`{c}`") for c in kept])
+    began = False
+    for blocks, last in _passes(benchmark, block_bytes, pass_bytes):
+        now = now.mapInArrow(H.released(shard(blocks, began, last)), f"{own}, {RESULT if last else _STATE}")
+        if not last:
+            now = materialise(now, "decontaminated")
+            _forget(blocks)
+        began = True
+    return now
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

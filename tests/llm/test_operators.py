@@ -53,16 +53,16 @@ def key(d, t):
 
 
 # -- 1 -----------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("block_bytes", [1 << 20, 64])
-def test_contamination_is_exact(spark, docs, rows, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_bytes"), [(1 << 20, 1 << 30), (700, 1 << 30), (700, 2000)])
+def test_contamination_is_exact(spark, docs, rows, block_bytes, pass_bytes):
     items = [(i, " ".join(BLANK.findall(t)[:k])) for i, ((_, t), k) in enumerate(zip(rows[:12], (40, 12, 10, 9, 3, 1, 25, 0, 60, 11, 30, 2), strict=True))]
-    items += [(3, items[0][1]), (77, None), (78, "...")]
+    items += [(3, items[0][1]), (77, None), (78, "..."), (None, items[1][1]), (80, next(t for d, t in rows if d == 905)), *[(81, items[10][1])] * 5]
     windows = {}
     for i, t in items:
         w = ALNUM.findall(lower(t))
         size = min(10, len(w))
         for j in range(len(w) - size + 1 if w else 0):
-            windows.setdefault(tuple(w[j : j + size]), set()).add(str(i))
+            windows.setdefault(tuple(w[j : j + size]), set()).update([] if i is None else [str(i)])
     sizes = {len(w) for w in windows}
     expected = []
     for d, t in rows:
@@ -73,7 +73,7 @@ def test_contamination_is_exact(spark, docs, rows, block_bytes):
                     hit.update(range(j, j + size))
                     found |= names
         expected.append((key(d, t), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    got = decontaminate.contamination(docs.withColumn("n_words", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = decontaminate.contamination(docs.withColumn("n_words", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes, pass_bytes=pass_bytes)
     got = [(key(r["doc_id"], r["text"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()]
     assert sorted(got) == sorted(expected)
 
@@ -84,8 +84,8 @@ def test_match_spans(spark):
     docs = [(10, " ".join(["x", *w[5:25], "y", *w[15:40]])), (11, " ".join(w[:9])), (12, "zero one two three one two"), (13, None), (14, " ".join([*w[:12], *w[:12]]))]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     expected = [(10, "1", 5, 1, 20), (10, "1", 15, 22, 15), (10, "2", 0, 27, 20), (12, "3", 0, 1, 2), (12, "3", 0, 4, 2), (14, "1", 0, 0, 12), (14, "1", 0, 12, 12)]
-    for block_bytes in (1 << 20, 16):
-        assert sorted(tuple(r) for r in decontaminate.matches(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes).collect()) == expected
+    for block_bytes, pass_bytes in ((1 << 20, 1 << 30), (16, 1 << 30), (16, 150)):
+        assert sorted(tuple(r) for r in decontaminate.matches(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes, pass_bytes=pass_bytes).collect()) == expected
 
 
 def test_decontaminate_with_empty_tables(spark, docs):
