@@ -61,6 +61,7 @@ _TASK = 2_000  # classes that one task holds at a time
 _SET = 1_000  # shingles of a class, for sizing tasks
 _PIVOTS = 8
 _COUNTERS = 1 << 20
+_SALTS = 8
 
 
 def _need(n, percent: int):
@@ -475,9 +476,11 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
 def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     every = materialise(classes(docs, text, k), "documents")
-    comps = connected_components(links(docs, every, text, k, percent), "links")
-    joined = every.join(comps.select(F.col("node").alias("cls"), F.col("root").alias("_root")), "cls", "left")
-    joined = joined.withColumn("_root", F.when(F.col("cls") != 0, F.coalesce("_root", "cls")))
-    least = joined.filter("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("component_id"))
-    out = joined.join(least, "_root", "left")
+    comps = connected_components(links(docs, every, text, k, percent), "links").withColumnRenamed("node", "cls")
+    # components are named through their classes, copies of a text being one; a component of very many classes is dealt out by salt
+    least = every.filter("cls <> 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    named = materialise(least.join(comps, "cls", "left").select("cls", "root", "least"), "named")
+    ids = named.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    named = named.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(_SALTS)).cast("int")).join(ids, ["root", "_salt"], "left")
+    out = every.join(named.select("cls", F.coalesce("component_id", "least").alias("component_id")), "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
