@@ -10,8 +10,9 @@ to the pages' own hashes if not.
 
 Pass 2 parses again and writes the text of the page without template subtrees,
 without elements that are no article by their nature (menus, footers, asides,
-forms, scripts, ...) or by what their class, id or role says (adverts,
-sidebars, notices, comments, ...).  If the page has an article or main element,
+forms, scripts, ...) or because a whole name in their class, id or role says so
+(ad, sidebar, cookie-notice, comments, ...; "no-sidebar" or "related-work" say
+nothing, and an article proper is never dropped by its name).  If the page has an article or main element,
 only what is inside counts.  Article and main elements, what encloses one, and
 paragraphs that stand in them directly are never template: an article that many
 pages carry is still an article.
@@ -58,15 +59,15 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "body", "html", "head", "summary", "figcaption"}
 _SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("article aside body div dl footer form header html main nav ol section table ul".split())
-_CONTAINER = frozenset("aside center details div dl fieldset footer form header menu nav ol section table ul".split())
+_CONTAINER = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 _NEVER = frozenset("aside button datalist dialog footer form head input menu nav audio video canvas".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-_NO_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|notification\w*|alert\w*|disclaimer\w*"
-    r"|sidebar\w*|side-bar|menu\w*|nav|navbar\w*|navigation|breadcrumb\w*|footer\w*|masthead|site-?header|page-?header|top-?bar|toolbar|skip-?link"
-    r"|comment|comments|commentlist|comment-\w+|disqus\w*|respond|replies|reply|share|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|signup|login|popup\w*|modal\w*|overlay|widget\w*|pagination|pager|tags|tagcloud)"
-    r"(?:$|[\s_-])",
-    re.I,
+# fixed values: whole names (of class or id) under which pages keep what is no article; part of a longer name says nothing
+_NO_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement adsense banner banners cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices site-notice sidebar sidebars side-bar "
+    "menu main-menu site-menu nav navbar navigation breadcrumb breadcrumbs footer site-footer page-footer site-header page-header masthead toolbar "
+    "comment comments comment-list commentlist comments-area disqus_thread respond replies share sharing share-buttons social-share related related-posts related-articles "
+    "newsletter newsletter-signup subscribe subscription popup modal pagination pager skip-link".split()
 )
 _SPACE = re.compile(r"\s+")
 
@@ -93,7 +94,7 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and tag not in ("body", "html", "main") and _NO_ARTICLE.search(value):
+        if name in ("class", "id") and tag not in ("body", "html", "main") and (tag != "article" or inside) and not _NO_ARTICLE.isdisjoint(value.lower().split()):
             return True
         if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
