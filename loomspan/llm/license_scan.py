@@ -89,6 +89,7 @@ HEADERS = {
 }
 RUN_WORDS = 300
 LEAST = 0.8
+SALTS = 16
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
 
@@ -282,8 +283,12 @@ def inherit(scored: DataFrame, path: str = "path", least: float = LEAST) -> Data
     parts = F.split("_dir", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     above = placed.select("_dir").filter("_dir is not null").distinct().withColumn("_up", F.explode(F.array_distinct(ups)))
-    nearest = above.join(licensed, "_up").groupBy("_dir").agg(F.max_by(F.struct("_license", "_up"), F.length("_up")).alias("_near"))
-    joined = placed.join(nearest, "_dir", "left")
+    # one directory may be above all others, or hold a third of all documents: licensed ones are there once for each salt
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    above = above.withColumn("_salt", salt("_dir")).join(licensed.select("*", salts), ["_up", "_salt"])
+    nearest = above.groupBy("_dir").agg(F.max_by(F.struct("_license", "_up"), F.length("_up")).alias("_near")).select("*", salts)
+    joined = placed.withColumn("_salt", salt(path)).join(nearest, ["_dir", "_salt"], "left").drop("_salt")
     inherited = F.col("own_license").isNull() & F.col("_near").isNotNull()
     out = joined.withColumn("license", F.coalesce("own_license", "_near._license")).withColumn("from_dir", F.when(inherited, F.col("_near._up")))
     return out.drop("_dir", "_near")
