@@ -32,6 +32,7 @@ from loomspan.llm.token_binary import _encoded
 
 CAPACITY = 2048
 _PER_BUCKET = 50_000
+_BUCKETS = 32  # at least, so that a length that a third of all pieces has is dealt out at any size
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -96,7 +97,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 
 def ranked(table: DataFrame, total: int) -> DataFrame:
     """The piece table with its rank (from 0) among the pieces of its length."""
-    buckets = max(1, total // _PER_BUCKET)
+    buckets = max(_BUCKETS, total // _PER_BUCKET)
     dealt = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
