@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_USED: set[tuple[str, str]] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets a local folder; on a cluster there is no folder that all could read, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = os.path.join(tempfile.gettempdir(), "loomspan-checkpoints")
     return folder.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    All tables of an application are in one folder there, which is deleted when the driver's Python ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/loomspan-{spark.sparkContext.applicationId}"
+    if not _USED:
+        atexit.register(_clean, spark)
+    _USED.add((spark.sparkContext.applicationId, home))
+    path = f"{home}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     writer = df.write.mode("overwrite")
     if partition_by:
@@ -33,18 +48,13 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, in bytes (files scanned, for a table scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a DataFrame, as the optimiser knows them."""
-
-    def leaves(node) -> int:
-        kids = node.children()
-        if kids.size() == 0:
-            return int(str(node.stats().sizeInBytes()))
-        return sum(leaves(kids.apply(i)) for i in range(kids.size()))
-
-    return leaves(df._jdf.queryExecution().optimizedPlan())
+def _clean(spark: SparkSession) -> None:
+    """Delete what this driver wrote; the JVM may be gone already, then the folder's owner has to."""
+    try:
+        jvm = spark._jvm
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for _, home in _USED:
+            path = jvm.org.apache.hadoop.fs.Path(home)
+            path.getFileSystem(conf).delete(path, True)
+    except Exception:  # noqa: BLE001 (the process ends; nothing depends on it)
+        return
