@@ -2,9 +2,9 @@
 
 Documents are dealt out in ascending doc_id order, encoded, and written as
 shards of about ``shard_ids`` ids.  In a shard, frequent pairs of neighbouring
-symbols are replaced by new symbols, round after round: each round counts the
-pairs, takes up to ``per_round`` of the most frequent ones and replaces them
-all, from the left, until no pair pays: a rule is 12 bytes in the file, a
+symbols are replaced by new symbols, round after round: each round counts all
+pairs, takes up to ``per_round`` (4096) of the most frequent ones and replaces
+them, from the left, until no pair pays: a rule is 12 bytes in the file, a
 replacement saves 2, so pairs that occur less than ``least`` (8) times stay, and
 rules end where the next would no longer fit in 16 bits and make every symbol 4
 bytes wide (vocabularies below 2^16).  Pairs never reach over the end of a document.
@@ -22,8 +22,8 @@ store that the session can reach:
     doc_ids        int64 (null: see doc_nulls), symbols and ids of each document: uint32
     doc_nulls      uint8, 1 where the doc_id is null
 
-A document is decoded alone from its symbols; its place in the stream is
-before + the ids of the documents ahead of it in the shard.
+A document is decoded alone from its symbols (``read_ids``); its place in the
+stream is before + the spans of the symbols ahead of it in the shard.
 
 Defined results: null or empty text is the end id alone; a null doc_id comes
 first; rows that share a doc_id follow each other in order of their text.
@@ -58,25 +58,19 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)
 
 
-def _best_pairs(symbols: np.ndarray, spot: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent pairs (left << 32 | right), found through counts of their slots; the slot after the last is for no pair."""
-    counts = np.bincount(spot, minlength=_SLOTS + 1)
-    counts[_SLOTS] = 0
-    floors = [least]
-    if (counts >= least).sum() > 4 * most:
-        floors.insert(0, max(least, int(np.partition(counts, -4 * most)[-4 * most])))
-    for floor in floors:  # full slots may hold rare pairs only: then all slots are looked through
-        at = np.flatnonzero((counts >= floor)[spot])
-        pairs, times = np.unique(symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1], return_counts=True)
-        pairs, times = pairs[times >= least], times[times >= least]
-        if len(pairs):
-            break
-    if len(pairs) > most:
-        pairs = pairs[np.lexsort((pairs, -times))[:most]]
-    return np.sort(pairs)
+def _best_pairs(pairs: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The most frequent of the pairs (left << 32 | right), those that occur ``least`` times at least, in order."""
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    times = np.diff(np.append(first, len(pairs)))
+    often = times >= least
+    found, times = pairs[first[often]], times[often]
+    if len(found) > most:
+        found = np.sort(found[np.lexsort((found, -times))[:most]])
+    return found
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds: int | None = None, per_round: int = 1024, least: int = 8):
+def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds: int | None = None, per_round: int = 4096, least: int = 8):
     """(symbols, symbols of each document, base, rules) of documents that each end with end_id."""
     symbols = ids.astype(np.uint32)
     ends = np.cumsum(lengths)
@@ -84,36 +78,44 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds:
     last[ends - 1] = True
     base = max(int(symbols.max()) + 1 if len(symbols) else 1, end_id + 1)
     rules = np.empty((0, 2), dtype=np.uint32)
-    done = 0
-    while rounds is None or done < rounds:
+    done, new = 0, None
+    while (rounds is None or done < rounds) and len(symbols) > 1:
         done += 1
-        if len(symbols) < 2:
-            break
-        spot = _slots(symbols[:-1], symbols[1:])
-        spot[last[:-1] | last[1:]] = _SLOTS
         room = (1 << 16) - base - len(rules) if base < 1 << 16 else per_round
         if room < 1:
             break
-        pairs = _best_pairs(symbols, spot, least, min(per_round, room))
+        at = ~(last[:-1] | last[1:])
+        if new is not None:  # all other pairs were looked at in the round before
+            at &= (symbols[:-1] >= new) | (symbols[1:] >= new)
+        at = np.flatnonzero(at)
+        left, right = symbols[at], symbols[at + 1]
+        every = left.astype(np.uint64) << np.uint64(32) | right
+        most = min(per_round, room)
+        pairs = _best_pairs(every, least, most) if len(at) else every
         if not len(pairs):
             break
         # the slot tells the pair; of pairs that share a slot one is replaced in this round
-        of_slot = np.full(_SLOTS + 1, -1, dtype=np.int32)
+        of_slot = np.full(_SLOTS, -1, dtype=np.int32)
         of_slot[_slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(len(pairs))
-        at = np.flatnonzero((of_slot >= 0)[spot])
-        which = of_slot[spot[at]]
-        fits = pairs[which] == (symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1])
-        at, which = at[fits], which[fits]
+        new = base + len(rules) if len(pairs) < most and (of_slot >= 0).sum() == len(pairs) else None
+        spot = _slots(left, right)
+        some = np.flatnonzero((of_slot >= 0)[spot])
+        which = of_slot[spot[some]]
+        fits = pairs[which] == every[some]
+        at, which = at[some[fits]], which[fits]
         # of overlapping places every second one is replaced, from the left
         step = np.ones(len(at), dtype=bool)
         step[1:] = np.diff(at) > 1
         first = np.maximum.accumulate(np.where(step, np.arange(len(at)), 0))
         turn = (np.arange(len(at)) - first) % 2 == 0
         at, which = at[turn], which[turn]
+        # pairs that others left no place for get no rule
+        used, which = np.unique(which, return_inverse=True)
         symbols[at] = (base + len(rules) + which).astype(np.uint32)
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
+        pairs = pairs[used]
         rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
     return symbols, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1])), base, rules
 
@@ -224,8 +226,16 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def read_ids(row: dict, i: int) -> np.ndarray:
-    """The ids of document i of one shard row, decoding nothing else."""
+    """The ids of document i of one shard row, expanding the rules of its own symbols only, a level at a time."""
     ends = np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64))
-    width = row["width"]
+    width, base = row["width"], row["base"]
     a, b = (int(ends[i - 1]) if i else 0), int(ends[i])
-    return expand(np.frombuffer(row["payload"][a * width : b * width], "<u2" if width == 2 else "<u4"), row["base"], np.frombuffer(row["rules"], np.uint32).reshape(-1, 2))
+    symbols = np.frombuffer(row["payload"][a * width : b * width], "<u2" if width == 2 else "<u4").astype(np.uint32)
+    rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
+    while (open_ := symbols >= base).any():
+        at = np.flatnonzero(open_)
+        pairs = rules[symbols[at] - base]
+        places = at + np.arange(len(at))
+        symbols = np.repeat(symbols, 1 + open_)
+        symbols[places], symbols[places + 1] = pairs[:, 0], pairs[:, 1]
+    return symbols
