@@ -21,8 +21,10 @@ first cut is by tiny pivots, single shingles, of which a text is at distance
     triangle windows reach (all pivots at once), and is joined there with the
     members of the cell by the same step, with pivots of its own.  Every pair is
     met in one cell, that of its member; a pivot has met all and is asked no
-    more, so the steps end.  Classes of the largest component need no comparison
-    with each other, they are connected.
+    more.  The steps end where few classes are left, or where these are so close
+    to each other that windows spare less than half of the comparisons: there
+    each asked class is a pivot.  Classes of the largest component need no
+    comparison with each other, they are connected.
 5.  What one task can hold (``_TASK`` classes) goes through all these steps
     there.  A larger region takes the first step in Spark: pivots are sent to
     all its parts, replicas to all cells they reach, and each cell, in parts and
@@ -56,10 +58,11 @@ from loomspan.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
-_SPARE = 15  # per cent of a set that is looked at beyond the shortest prefix
+_SPARE = 12  # per cent of a set that is looked at beyond the shortest prefix
 _TASK = 2_000  # classes that one task holds at a time
 _SET = 1_000  # shingles of a class, for sizing tasks
 _PIVOTS = 8
+_LEAF = 32  # members of a cell that is not cut
 _COUNTERS = 1 << 20
 _SALTS = 8
 
@@ -240,31 +243,39 @@ def _join(sets: _Sets, percent: int, asked: np.ndarray, comp: np.ndarray, all_as
     edges: list[tuple[int, int]] = []
     comp, size = comp.copy(), sets.size
     r = 1 - percent / 100 + 1e-9
-    cells = [(0, asked, np.arange(len(size)))]
+
+    def tie(x: int, linked: np.ndarray) -> None:
+        for y in linked[comp[linked] != comp[x]].tolist():
+            if comp[y] != comp[x]:
+                edges.append((x, y))
+                comp[comp == comp[y]] = comp[x]
+
+    cells = [(0, asked, np.arange(len(size)), False)]
     while cells:
-        depth, left, members = cells.pop()
+        depth, left, members, whole = cells.pop()
         asked = _open(left, members, comp, all_asked and not depth)
         if not len(asked):
             continue
         if log is not None:
             log.append((depth, len(asked), len(members)))
+        if whole or len(asked) <= _PIVOTS or len(members) <= _LEAF:  # each asked class is a pivot
+            index = _Index(sets, members)
+            for x in asked.tolist():
+                if (comp[members] != comp[x]).any():
+                    common = index.shared(sets.of(x))
+                    tie(x, members[100 * common >= percent * (size[members] + size[x] - common)])
+            continue
         both = np.union1d(left, members)
         index = _Index(sets, both)
         place = np.searchsorted(both, members)
-        pivots: list[int] = []
         far = np.empty((0, len(both)))
-        while len(asked) and len(pivots) < _PIVOTS:
+        while len(asked) and len(far) < _PIVOTS:
             # the next pivot is an asked class as far from the others as can be
-            x = int(asked[far[:, np.searchsorted(both, asked)].min(axis=0).argmax()]) if pivots else int(asked[0])
+            x = int(asked[far[:, np.searchsorted(both, asked)].min(axis=0).argmax()]) if len(far) else int(asked[0])
             common = index.shared(sets.of(x))
             union = size[both] + size[x] - common
-            pivots.append(x)
             far = np.vstack([far, 1 - common / np.maximum(union, 1)])
-            linked = members[(100 * common >= percent * union)[place]]
-            for y in linked[comp[linked] != comp[x]].tolist():
-                if comp[y] != comp[x]:
-                    edges.append((x, y))
-                    comp[comp == comp[y]] = comp[x]
+            tie(x, members[(100 * common >= percent * union)[place]])
             # from all that are left: another component may have become the largest
             left = left[left != x]
             asked = _open(left, members, comp, all_asked and not depth)
@@ -272,11 +283,16 @@ def _join(sets: _Sets, percent: int, asked: np.ndarray, comp: np.ndarray, all_as
             continue
         cell = far[:, place].argmin(axis=0)
         mine = far[:, np.searchsorted(both, asked)]
+        cut = []
         for c in np.unique(cell).tolist():
             inside = far[:, place[cell == c]]
             reach = ((mine >= inside.min(axis=1)[:, None] - r) & (mine <= inside.max(axis=1)[:, None] + r)).all(axis=0)
             if reach.any():
-                cells.append((depth + 1, asked[reach], members[cell == c]))
+                cut.append((depth + 1, asked[reach], members[cell == c], False))
+        # where windows spare less than half of the comparisons the classes are too close to each other for cells
+        if sum(len(a) * len(m) for _, a, m, _ in cut) > 0.5 * len(asked) * len(members):
+            cut = [(depth + 1, asked, members, True)]
+        cells += cut
     return edges
 
 
@@ -436,11 +452,14 @@ def classes(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", text).mapInArrow(H.released(_documents(text, k)), "doc_id long, n_shingles long, cls long")
 
 
-def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def by_class(of: DataFrame) -> DataFrame:
+    """cls, doc_id (the smallest), n: a row for each class, written once."""
+    return materialise(of.filter("cls <> 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
+
+
+def links(docs: DataFrame, by_class: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) between classes that connect all linked classes: every one is a link, and none that connects is lost."""
     spark = docs.sparkSession
-    by_class = of.filter("cls <> 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    by_class = materialise(by_class, "classes")
     named = docs.filter(F.col("doc_id").isNotNull())
     kind = "k long, h long, cls long"
     first = _shared(named.select(text).mapInArrow(H.released(_shingles(text, k, percent, False)), kind)).join(by_class, "cls")
@@ -476,11 +495,12 @@ def links(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE,
 def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     every = materialise(classes(docs, text, k), "documents")
-    comps = connected_components(links(docs, every, text, k, percent), "links").withColumnRenamed("node", "cls")
+    firsts = by_class(every)
+    comps = connected_components(links(docs, firsts, text, k, percent), "links").withColumnRenamed("node", "cls")
     # components are named through their classes, copies of a text being one; a component of very many classes is dealt out by salt
-    least = every.filter("cls <> 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = materialise(least.join(comps, "cls", "left").select("cls", "root", "least"), "named")
-    ids = named.filter("root is not null").groupBy("root").agg(F.min("least").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    named = named.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(_SALTS)).cast("int")).join(ids, ["root", "_salt"], "left")
-    out = every.join(named.select("cls", F.coalesce("component_id", "least").alias("component_id")), "cls", "left")
+    named = firsts.select("cls", "doc_id").join(comps, "cls").withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(_SALTS)).cast("int"))
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    connected = named.join(ids, ["root", "_salt"]).select("cls", "component_id")
+    every_class = firsts.join(connected, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = every.join(every_class, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
