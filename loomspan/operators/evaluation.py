@@ -41,8 +41,12 @@ def summary(trials: DataFrame) -> DataFrame:
 def equity(trials: DataFrame) -> DataFrame:
     """trial, session_idx, equity, drawdown from the running peak (which starts at the first equity)."""
     so_far = Window.partitionBy("trial").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, 0)
-    eq = trials.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(so_far)))
-    return eq.select("trial", "session_idx", "equity", (F.col("equity") / F.max("equity").over(so_far) - 1).alias("drawdown"))
+    # the running product of 1 + net: its size by logarithms, its sign by the number of losses beyond everything, 0 for good after one of 100%
+    grown = 1 + F.coalesce("net", F.lit(0.0))
+    size = F.exp(F.sum(F.when(grown != 0, F.ln(F.abs(grown)))).over(so_far))
+    sign = 1 - 2 * (F.count_if(grown < 0).over(so_far) % 2)
+    eq = trials.withColumn("equity", F.when(F.count_if(grown == 0).over(so_far) > 0, 0.0).otherwise(size * sign))
+    return eq.select("trial", "session_idx", "equity", (F.try_divide("equity", F.max("equity").over(so_far)) - 1).alias("drawdown"))
 
 
 def max_drawdown(trials: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,27 +125,40 @@ def calendar_features(sessions: DataFrame) -> DataFrame:
     )
 
 
+def mid_ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(earlier values that are smaller, plus half of the equal ones; number of earlier values) for each value, by merging sorted halves."""
+    n = len(values)
+    place = np.unique(values, return_inverse=True)[1]
+    below, equal = np.zeros(n), np.zeros(n)
+    width = 1
+    while width < n:  # each block of values against the block before it
+        block = np.arange(n) // width
+        left = block % 2 == 0
+        key = (block // 2) * (n + 1) + place  # pairs of blocks one after another, in order of the values
+        earlier = np.sort(key[left])
+        asked = np.flatnonzero(~left)
+        first = np.searchsorted(earlier, (block[asked] // 2) * (n + 1))
+        lo, hi = np.searchsorted(earlier, key[asked], side="left"), np.searchsorted(earlier, key[asked], side="right")
+        below[asked] += lo - first
+        equal[asked] += hi - lo
+        width *= 2
+    return below + equal / 2, np.arange(n)
+
+
 def expanding_pct(series: DataFrame, least: int = 252) -> DataFrame:
     """key, session_idx, pct: mid-rank of each value among all earlier ones of its key.
 
-    One ordered pass for each key with a sorted list; keys spread over the cluster, a key is one value for each session.
+    Keys spread over the cluster; a key is one value for each session, ranked by merging, O(n log^2 n).
     """
-    import bisect
-
-    import pandas as pd
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("session_idx")
-        seen: list[float] = []
-        out = []
-        for v in rows["value"].tolist():
-            if v is None or v != v:
-                out.append(None)
-                continue
-            lo, hi = bisect.bisect_left(seen, v), bisect.bisect_right(seen, v)
-            out.append((lo + 0.5 * (hi - lo)) / len(seen) if len(seen) >= least else None)
-            seen.insert(hi, v)
-        return pd.DataFrame({"key": rows["key"], "session_idx": rows["session_idx"], "pct": pd.Series(out, index=rows.index, dtype="float64")})
+        v = rows["value"].to_numpy(dtype=float)
+        out, known = np.full(len(v), np.nan), np.flatnonzero(~np.isnan(v))
+        rank, before = mid_ranks(v[known])
+        enough = before >= max(least, 1)
+        out[known[enough]] = rank[enough] / before[enough]
+        return pd.DataFrame({"key": rows["key"], "session_idx": rows["session_idx"], "pct": out})
 
     out = series.groupBy("key").applyInPandas(one, "key string, session_idx int, pct double")
     return out.withColumn("pct", F.nanvl("pct", F.lit(None).cast("double")))
@@ -152,22 +167,20 @@ def expanding_pct(series: DataFrame, least: int = 252) -> DataFrame:
 def ema_columns(panel: DataFrame, spans: tuple[int, ...], signal: tuple[int, int, int] = (12, 26, 9), value: str = "close") -> DataFrame:
     """The panel with ema_<span> of a value and ema_signal, the average of the difference of two of them.
 
-    Recursive averages have no window form; each ticker is one ordered fold over Arrow batches.
+    Recursive averages have no window form; each ticker is one ordered fold over (session, value), sent through Arrow and joined back.
     """
-    import pandas as pd
-
     names = [f"ema_{s}" for s in spans]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("session_idx")
+        rows = rows.sort_values("session_idx").copy()
         ema = {s: rows[value].ewm(span=s, adjust=False, min_periods=s).mean() for s in spans}
         for s in spans:
             rows[f"ema_{s}"] = ema[s]
         fast, slow, n = signal
         rows["ema_signal"] = (ema[fast] - ema[slow]).ewm(span=n, adjust=False, min_periods=n).mean()
-        return rows
+        return rows.drop(columns=value)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema) + "".join(f", {n} double" for n in [*names, "ema_signal"])
-    out = panel.groupBy("ticker").applyInPandas(one, schema)
-    doubles = [f.name for f in out.schema if f.dataType.simpleString() == "double"]
-    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in doubles})
+    added = [*names, "ema_signal"]
+    sent = panel.select("ticker", "session_idx", F.col(value).cast("double").alias(value))
+    out = sent.groupBy("ticker").applyInPandas(one, "ticker string, session_idx int" + "".join(f", {n} double" for n in added))
+    return panel.join(out.select("ticker", "session_idx", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in added]), ["ticker", "session_idx"])

@@ -16,11 +16,15 @@ a chain of common table expressions, which the correctness checks run.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-TIME, CROSS = "time", "cross"
+TIME, CROSS, FRAME = "time", "cross", "frame"
 EPS = 1e-12
 
 
@@ -100,7 +104,9 @@ def wrap(x) -> Expr:
 
 
 #: Operators that need a window, and the side on which they look.
-WINDOWS = dict.fromkeys("lag lead wcount wmean wsum wstd wmin wmax wskew wkurt wquant wcov rankpast sincemax sincemin last cumsum cumcount cummax runstart fmean fstd fcount fpath".split(), TIME)
+WINDOWS = dict.fromkeys("lag lead wcount wmean wsum wstd wmin wmax wskew wkurt wcov sincemax sincemin last cumsum cumcount cummax runstart fmean fstd fcount".split(), TIME)
+#: Over time, but of all values of a frame at once: one Arrow pass for each ticker, NumPy over sliding frames.
+WINDOWS |= dict.fromkeys("wquant rankpast fpath".split(), FRAME)
 WINDOWS |= dict.fromkeys("crank ccount cmean gmean csum gsum crow pick".split(), CROSS)
 
 
@@ -268,8 +274,11 @@ def slope(x: Expr, w: int) -> Expr:
 
 
 def rank_past(x: Expr, w: int, m: int) -> Expr:
-    """Mid-rank share of x among the present values of the w sessions before."""
-    return Expr("rankpast", x, w, m)
+    """Mid-rank share of x among the present values of the w sessions before.
+
+    Computed values count as equal if they agree to ten decimals: a window's sum that slides is not the sum made anew.
+    """
+    return Expr("rankpast", x if x.op == "col" else Expr("snug", x), w, m)
 
 
 def since_high(x: Expr, w: int) -> Expr:
@@ -385,6 +394,8 @@ class Emitter:
             return f"(CASE WHEN {t(0)} >= 0 THEN sqrt({t(0)}) END)"
         if op in ("floor", "ceil"):
             return f"CAST({op}({t(0)}) AS DOUBLE)"
+        if op == "snug":
+            return f"(CAST(floor({t(0)} * 1e10 + 0.5) AS DOUBLE) / 1e10)"
         if op == "sign":
             return f"CAST(sign({t(0)}) AS DOUBLE)"
         if op in ("abs", "exp", "greatest", "least", "coalesce", "sin", "cos"):
@@ -410,15 +421,9 @@ class Emitter:
             body = f"((({n} + 1) * (kurtosis({x}) {trailing}) + 6) * ({n} - 1) / greatest(({n} - 2) * ({n} - 3), 1))"
             return body if self.spark else f"kurtosis({x}) {trailing}"
         if op == "wquant":
-            return f"percentile({x}, {a[2]}) {trailing}" if self.spark else f"quantile_cont({x}, {a[2]}) {trailing}"
+            return f"quantile_cont({x}, {a[2]}) {trailing}"
         if op == "rankpast":
-            past = f"OVER ({by_time} ROWS BETWEEN {a[1]} PRECEDING AND 1 PRECEDING)"
-            if self.spark:
-                less = lambda s: f"size(filter(p.l, u -> u {s} p.v))"
-                row = f"named_struct('l', collect_list({x}) {past}, 'v', {x})"
-                rank_ = f"CASE WHEN p.v IS NOT NULL AND size(p.l) >= {a[2]} THEN ({less('<')} + 0.5D * {less('=')}) / size(p.l) END"
-                return f"element_at(transform(array({row}), p -> {rank_}), 1)"
-            lst = f"list({x}) FILTER ({x} IS NOT NULL) {past}"
+            lst = f"list({x}) FILTER ({x} IS NOT NULL) OVER ({by_time} ROWS BETWEEN {a[1]} PRECEDING AND 1 PRECEDING)"
             less = lambda s: f"len(list_filter({lst}, lambda u: u {s} {x}))"
             return f"(CASE WHEN {x} IS NOT NULL AND len({lst}) >= {a[2]} THEN ({less('<')} + 0.5 * {less('=')}) / len({lst}) END)"
         if op in ("sincemax", "sincemin"):
@@ -442,12 +447,6 @@ class Emitter:
         if op == "fpath":  # worst fall from the running peak over the next sessions a[1]..a[2], all of which must be present
             ahead = f"OVER ({by_time} ROWS BETWEEN {a[1]} FOLLOWING AND {a[2]} FOLLOWING)"
             many = a[2] - a[1] + 1
-            if self.spark:
-                fold = (
-                    "aggregate(p, named_struct('m', CAST(0 AS DOUBLE), 'd', CAST(0 AS DOUBLE)), "
-                    "(s, v) -> named_struct('m', greatest(s.m, v), 'd', least(s.d, v / greatest(s.m, v) - 1)), s -> s.d)"
-                )
-                return f"element_at(transform(array(collect_list({x}) {ahead}), p -> CASE WHEN size(p) = {many} THEN {fold} END), 1)"
             lst = f"list({x}) FILTER ({x} IS NOT NULL) {ahead}"
             worst = f"list_min(list_transform({lst}, lambda v, i: v / list_max(({lst})[1:i]) - 1))"
             return f"(CASE WHEN len({lst}) = {many} THEN least({worst}, 0) END)"
@@ -487,18 +486,74 @@ def stages(outputs: dict[str, Expr]) -> list[list[Expr]]:
         walk(e)
     plan = []
     for depth in range(1, max((e.depth for e in found), default=0) + 1):
-        for kind in (TIME, CROSS):
+        for kind in (TIME, FRAME, CROSS):
             if some := [e for e in found if e.depth == depth and WINDOWS[e.op] == kind]:
                 plan.append(some)
     return plan
 
 
+def _frames(x: np.ndarray, first: int, last: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """(rows, their frames) of the sessions first..last around each, missing beyond the ends; some rows at a time."""
+    padded = np.concatenate([np.full(max(0, -first), np.nan), x, np.full(max(0, last), np.nan)])
+    view = np.lib.stride_tricks.sliding_window_view(padded[max(0, first) :], last - first + 1)
+    for a in range(0, len(x), 4096):
+        yield slice(a, min(a + 4096, len(x))), view[a : min(a + 4096, len(x))]
+
+
+def frame_values(op: str, x: np.ndarray, *args) -> np.ndarray:
+    """The values of one frame operator over a ticker's sessions, NaN for missing."""
+    out = np.full(len(x), np.nan)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if op == "rankpast":
+            w, least = args
+            for rows, frame in _frames(x, -w, -1):
+                v, n = x[rows], (~np.isnan(frame)).sum(axis=1)
+                share = ((frame < v[:, None]).sum(axis=1) + 0.5 * (frame == v[:, None]).sum(axis=1)) / n
+                out[rows] = np.where(np.isnan(v) | (n < max(least, 1)), np.nan, share)
+        elif op == "wquant":
+            w, q = args
+            for rows, frame in _frames(x, 1 - w, 0):
+                n = (~np.isnan(frame)).sum(axis=1)
+                at = q * np.maximum(n - 1, 0)
+                lo = np.floor(at).astype(np.int64)
+                each, ordered = np.arange(len(frame)), np.sort(frame, axis=1)
+                below, above = ordered[each, lo], ordered[each, np.minimum(lo + 1, np.maximum(n - 1, 0))]
+                out[rows] = np.where(n > 0, below + (above - below) * (at - lo), np.nan)
+        else:
+            a, b = args
+            for rows, frame in _frames(x, a, b):
+                peak = np.maximum.accumulate(np.maximum(frame, 0), axis=1)
+                out[rows] = np.where(np.isnan(frame).any(axis=1), np.nan, np.minimum((frame / peak - 1).min(axis=1), 0))
+    return out
+
+
+def _frame_stage(df: DataFrame, group: list[Expr], emit: Emitter) -> DataFrame:
+    """The panel with the values of frame operators, one Arrow pass; a group is one ticker's sessions."""
+    given = df.selectExpr("*", *[f"CAST({emit.text(e.args[0])} AS DOUBLE) AS in_{e.name}" for e in group])
+    todo = [(e.name, e.op, tuple(e.args[1:])) for e in group]
+    names = df.columns
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("session_idx")
+        out = table.select(names)
+        for name, op, args in todo:
+            v = frame_values(op, table.column(f"in_{name}").to_numpy().astype(float), *args)
+            out = out.append_column(name, pa.array(v, pa.float64(), mask=np.isnan(v)))
+        return out
+
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n, *_ in todo]])
+    return given.groupBy("ticker").applyInArrow(one, schema)
+
+
 def evaluate(panel: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ("date", "ticker"), digits: int | None = None) -> DataFrame:
     """The panel's ``keep`` columns with the outputs."""
     emit = Emitter("spark")
     df = panel
     for group in stages(outputs):
-        df = df.selectExpr("*", *[f"{emit.text(e)} AS {e.name}" for e in group])
+        if WINDOWS[group[0].op] == FRAME:
+            df = _frame_stage(df, group, emit)
+        else:
+            df = df.selectExpr("*", *[f"{emit.text(e)} AS {e.name}" for e in group])
         emit.done |= {e: e.name for e in group}
     last = {n: rounded(emit.text(e), digits) for n, e in outputs.items()}
     return df.selectExpr(*keep, *[f"{t} AS {n}" for n, t in last.items()])

@@ -49,11 +49,11 @@ def _books() -> dict[str, A.Expr]:
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trial, session_idx, net of books that are rebalanced at every session."""
     held = A.evaluate(B.brand_panel(spark, sf_dir), _books(), keep=("session_idx", "ticker"))
-    nets = held.groupBy("session_idx").agg(*[_round(F.sum(F.col(f"w{i}") * F.col("r")) / 1000, 8).alias(f"t{i}") for i in range(1, 6)])
+    nets = held.groupBy("session_idx").agg(*[_round(F.sum(F.col(f"w{i}") * F.col("r")), 8).alias(f"t{i}") for i in range(1, 6)])
     return nets.unpivot("session_idx", [f"t{i}" for i in range(1, 6)], "trial", "net")
 
 
-TRIALS_SQL = f"""trials AS (SELECT trial, session_idx, net FROM (SELECT session_idx, {', '.join(f"{_r(f'sum(w{i} * r) / 1000', 8)} AS t{i}" for i in range(1, 6))}
+TRIALS_SQL = f"""trials AS (SELECT trial, session_idx, net FROM (SELECT session_idx, {', '.join(f"{_r(f'sum(w{i} * r)', 8)} AS t{i}" for i in range(1, 6))}
   FROM ({A.to_sql(B.BRAND_SQL, _books(), keep=('session_idx', 'ticker'))}) q GROUP BY session_idx) UNPIVOT (net FOR trial IN (t1, t2, t3, t4, t5)))"""
 
 
@@ -174,12 +174,12 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
     def returns(spark, d):
         filled = A.fill(A.col("close"), 20)  # brands skip days; an eigenvalue window wants nearly complete columns
         ret = A.where(A.history(A.col("close")) >= B.HISTORY, filled / A.lag(filled, 1) - 1)
-        return A.evaluate(B.brand_panel(spark, d), {"ret": ret}, keep=("session_idx", "ticker"))
+        return A.evaluate(B.brand_panel(spark, d, "p_brand"), {"ret": ret}, keep=("session_idx", "ticker"))
 
     @query("features_pca_state")
     def features_pca_state(spark, d):
         r = returns(spark, d)
-        base = ST.state_series(r, 63, 10, "etf").join(ST.state_series(r, 252, 10, "etf"), "session_idx", "left").join(ST.state_series(r, 126, 10, "etf"), "session_idx", "left")
+        base = ST.state_series(r, 63, 20, "etf").join(ST.state_series(r, 252, 20, "etf"), "session_idx", "left").join(ST.state_series(r, 126, 20, "etf"), "session_idx", "left")
         return ST.tercile(ST.derived_state(base, "etf", 63, 252), "etf_eff_n_63")
 
     @query("features_pca_factors")
@@ -204,12 +204,12 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
     @query("fixed_benchmarks")
     def fixed_benchmarks(spark, d):
         held = C.benchmark_targets(B.brand_panel(spark, d), B.ROLES, 300)
-        return S.simulate(held.withColumn("r_next", F.col("r_next") / 1000).withColumn("cash_next", F.lit(0.0001)), cost=0.001)
+        return S.simulate(held.withColumn("cash_next", F.lit(0.0001)), cost=0.001)
 
     @query("random_books")
     def random_books(spark, d):
         rows = A.evaluate(B.brand_panel(spark, d), {"r": P.next_open_return(), "ok": A.flag(A.TRADABLE)}, keep=("session_idx", "ticker"))
-        panel = rows.select("session_idx", "ticker", (F.col("ok") > 0).alias("tradable"), (F.col("r") / 1000).alias("r_next"), F.lit(0.0001).alias("cash_next"))
+        panel = rows.select("session_idx", "ticker", (F.col("ok") > 0).alias("tradable"), F.col("r").alias("r_next"), F.lit(0.0001).alias("cash_next"))
         return C.random_books(panel, 300, cost=0.001).groupBy("trial", "draw").agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd"))
 
     @query("group_map")
@@ -226,7 +226,7 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
     @query("book_controls")
     def book_controls(spark, d):
         s = scores(spark, d)
-        stress = G.stress([A.std(A.cross_mean(catalogue._names()["ret"]) / 10, 21)])
+        stress = G.stress([A.std(A.cross_mean(catalogue._names()["ret"]), 21)])
         mask = A.evaluate(B.brand_panel(spark, d), {"stress": stress}, keep=("session_idx", "ticker")).groupBy("session_idx").agg(F.max("stress").alias("stress"))
         cases = [("real", s), ("stale", C.stale(s)), ("shuffled 0", C.shuffled(s, 0))]
         out = cases[0][1].withColumn("case", F.lit("real"))
@@ -261,7 +261,7 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
         return s.select("trial", "n", _round("sharpe").alias("sharpe"), _round("cagr").alias("cagr"), _round("vol").alias("vol"), _round("hit_rate").alias("hit_rate"), _round("kurt", 2).alias("kurt"))
 
     @query("max_drawdown", net(f"""SELECT trial, {_r('min(eq / peak - 1)')} AS max_drawdown FROM (SELECT trial, eq, max(eq) OVER (PARTITION BY trial ORDER BY session_idx) AS peak FROM
-(SELECT trial, session_idx, exp(sum(ln(1 + net)) OVER (PARTITION BY trial ORDER BY session_idx)) AS eq FROM trials) q) q2 GROUP BY trial"""))
+(SELECT trial, session_idx, product(1 + net) OVER (PARTITION BY trial ORDER BY session_idx) AS eq FROM trials) q) q2 GROUP BY trial"""))
     def max_drawdown(spark, d):
         return E.max_drawdown(trials(spark, d)).select("trial", _round("max_drawdown").alias("max_drawdown"))
 
@@ -328,7 +328,7 @@ UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), {_r('median(c_acctbal)'
     def targets(spark, d):
         held = A.evaluate(B.brand_panel(spark, d), _books(), keep=("session_idx", "ticker"))
         long = held.unpivot(["session_idx", "ticker", "r"], [f"w{i}" for i in range(1, 6)], "trial", "target")
-        return long.withColumnRenamed("r", "r_next").withColumn("r_next", F.col("r_next") / 1000).withColumn("rebalance", S.rebalance_every(300, 5)).withColumn("cash_next", F.lit(0.0001))
+        return long.withColumnRenamed("r", "r_next").withColumn("rebalance", S.rebalance_every(300, 5)).withColumn("cash_next", F.lit(0.0001))
 
     @query("sim_band")
     def sim_band(spark, d):

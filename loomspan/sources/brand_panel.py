@@ -1,14 +1,21 @@
-"""A panel from order tables: a session for each ship date, a ticker for each brand, prices from line items."""
+"""A panel from order tables: a session for each ship date, eight tickers that share the brands, prices from line items.
+
+Eight tickers have bars on nearly all sessions, also in the small tables, so that gated windows hold values.  A price is
+100 + sqrt(price of the line item) / 10, which moves by a few per cent from session to session, as prices do.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HISTORY = 252
 
-#: Roles that formulas ask for, and the brands that play them.
-ROLES = {"SPY": "Brand#11", "TLT": "Brand#12", "HYG": "Brand#13", "GLD": "Brand#14", "UUP": "Brand#15", "VXX": "Brand#21", "LQD": "Brand#22", "IEF": "Brand#23", "SHY": "Brand#24"}
+#: Roles that formulas ask for, and the tickers that play them.
+ROLES = {"SPY": "T1", "TLT": "T2", "HYG": "T3", "GLD": "T4", "UUP": "T5", "VXX": "T6", "LQD": "T7", "IEF": "T0", "SHY": "T2"}
+TICKERS = 8
+_PANELS: dict[tuple, DataFrame] = {}
 
 
 def densify(bars: DataFrame) -> DataFrame:
@@ -21,38 +28,50 @@ def densify(bars: DataFrame) -> DataFrame:
     return dates.crossJoin(F.broadcast(tickers)).join(bars, ["date", "ticker"], "left")
 
 
-def brand_bars(spark: SparkSession, sf_dir: str, asset: str = "p_brand") -> DataFrame:
-    """date, ticker, open, high, low, close, volume of the days on which a brand (or another column of part) was shipped."""
+def brand_bars(spark: SparkSession, sf_dir: str, asset: str | None = None) -> DataFrame:
+    """date, ticker, open, high, low, close, volume of the days on which a ticker's brands (or a value of a column of part) were shipped."""
+    number = F.expr(f"concat('T', CAST(CAST(substring(p_brand, 7) AS INT) % {TICKERS} AS STRING))")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col(asset).alias("ticker"))
-    lines = items.join(parts, "l_partkey").select(F.to_date("l_shipdate").alias("date"), "ticker", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), (F.col(asset) if asset else number).alias("ticker"))
+    lines = items.join(parts, "l_partkey").select(F.to_date("l_shipdate").alias("date"), "ticker", (100 + F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")) / 10).alias("price"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("at"))
     return lines.groupBy("date", "ticker").agg(
         F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.sum("l_quantity").alias("volume")
     )
 
 
-def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session_idx, date, ticker, asset_group, open, high, low, close, volume, adv, tradable."""
-    dense = densify(brand_bars(spark, sf_dir))
+def brand_panel(spark: SparkSession, sf_dir: str, asset: str | None = None) -> DataFrame:
+    """session_idx, date, ticker, asset_group, open, high, low, close, volume, adv, tradable.
+
+    Built once for an application and kept, dealt out by ticker and in order of sessions: windows over time then need
+    no shuffle and no sort.  A lost executor's part is made again from the tables.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, asset)
+    if key not in _PANELS:
+        _PANELS[key] = _brand_panel(spark, sf_dir, asset).persist(StorageLevel.MEMORY_AND_DISK)
+    return _PANELS[key]
+
+
+def _brand_panel(spark: SparkSession, sf_dir: str, asset: str | None) -> DataFrame:
+    dense = densify(brand_bars(spark, sf_dir, asset))
     by_ticker = Window.partitionBy("ticker").orderBy("session_idx")
     month = by_ticker.rowsBetween(-29, 0)
     value = F.col("close") * F.col("volume")
     adv = F.when(F.count(value).over(month) >= 24, F.expr("percentile(close * volume, 0.5)").over(month))
     seen = F.count("close").over(by_ticker.rowsBetween(Window.unboundedPreceding, 0))
     return dense.select(
-        "session_idx", "date", "ticker", F.substring("ticker", -1, 1).alias("asset_group"), "open", "high", "low", "close", "volume",
+        "session_idx", "date", "ticker", F.expr("CAST(CAST(right(ticker, 1) AS INT) % 3 AS STRING)").alias("asset_group") if asset is None else F.substring("ticker", -1, 1).alias("asset_group"), "open", "high", "low", "close", "volume",
         adv.alias("adv"), (F.col("close").isNotNull() & (seen >= HISTORY)).alias("tradable"),
     )
 
 
-BRAND_SQL = f"""li AS (SELECT CAST(l_shipdate AS DATE) AS d, p_brand AS tk, l_extendedprice / l_quantity AS px, l_quantity AS q,
-  row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), p_brand ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS first,
-  row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), p_brand ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS final
+BRAND_SQL = f"""li AS (SELECT CAST(l_shipdate AS DATE) AS d, 'T' || CAST(CAST(substring(p_brand, 7) AS INTEGER) % {TICKERS} AS VARCHAR) AS tk, p_brand, 100 + sqrt(l_extendedprice / l_quantity) / 10 AS px, l_quantity AS q,
+  row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), CAST(substring(p_brand, 7) AS INTEGER) % {TICKERS} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS first,
+  row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), CAST(substring(p_brand, 7) AS INTEGER) % {TICKERS} ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS final
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 bars AS (SELECT d, tk, max(CASE WHEN first = 1 THEN px END) AS open, max(px) AS high, min(px) AS low, max(CASE WHEN final = 1 THEN px END) AS close, sum(q) AS volume FROM li GROUP BY d, tk),
 days AS (SELECT d, CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS session_idx FROM (SELECT DISTINCT d FROM li) q),
 names AS (SELECT DISTINCT tk FROM li),
-dense AS (SELECT session_idx, days.d AS date, names.tk AS ticker, right(names.tk, 1) AS asset_group, open, high, low, close, volume
+dense AS (SELECT session_idx, days.d AS date, names.tk AS ticker, CAST(CAST(right(names.tk, 1) AS INTEGER) % 3 AS VARCHAR) AS asset_group, open, high, low, close, volume
   FROM days CROSS JOIN names LEFT JOIN bars ON bars.d = days.d AND bars.tk = names.tk),
 panel AS (SELECT *,
   CASE WHEN count(close * volume) OVER m >= 24 THEN quantile_cont(close * volume, 0.5) OVER m END AS adv,
