@@ -104,9 +104,10 @@ def wrap(x) -> Expr:
 
 
 #: Operators that need a window, and the side on which they look.
-WINDOWS = dict.fromkeys("lag lead wcount wmean wsum wstd wmin wmax wskew wkurt wcov sincemax sincemin last cumsum cumcount cummax runstart fmean fstd fcount".split(), TIME)
-#: Over time, but of all values of a frame at once: one Arrow pass for each ticker, NumPy over sliding frames.
-WINDOWS |= dict.fromkeys("wquant rankpast fpath".split(), FRAME)
+WINDOWS = dict.fromkeys("lag lead last cumsum cumcount cummax runstart fmean fstd fcount".split(), TIME)
+#: Over time, of a frame that slides.  Spark makes each frame anew, value by value; NumPy takes all frames of a ticker at once,
+#: in one Arrow pass for all operators of a depth, some twenty times as fast.
+WINDOWS |= dict.fromkeys("wcount wmean wsum wstd wmin wmax wskew wkurt wcov sincemax sincemin wquant rankpast fpath".split(), FRAME)
 WINDOWS |= dict.fromkeys("crank ccount cmean gmean csum gsum crow pick".split(), CROSS)
 
 
@@ -415,11 +416,8 @@ class Emitter:
         if op == "wcov":
             return f"covar_samp({x}, {self.text(a[1])}) OVER ({by_time} ROWS BETWEEN {a[2] - 1} PRECEDING AND CURRENT ROW)"
         n = f"count({x}) {trailing}"
-        if op == "wskew":
-            return f"(skewness({x}) {trailing} * sqrt({n} * ({n} - 1)) / greatest({n} - 2, 1))" if self.spark else f"skewness({x}) {trailing}"
-        if op == "wkurt":
-            body = f"((({n} + 1) * (kurtosis({x}) {trailing}) + 6) * ({n} - 1) / greatest(({n} - 2) * ({n} - 3), 1))"
-            return body if self.spark else f"kurtosis({x}) {trailing}"
+        if op in ("wskew", "wkurt"):
+            return f"{dict(wskew='skewness', wkurt='kurtosis')[op]}({x}) {trailing}"
         if op == "wquant":
             return f"quantile_cont({x}, {a[2]}) {trailing}"
         if op == "rankpast":
@@ -428,10 +426,7 @@ class Emitter:
             return f"(CASE WHEN {x} IS NOT NULL AND len({lst}) >= {a[2]} THEN ({less('<')} + 0.5 * {less('=')}) / len({lst}) END)"
         if op in ("sincemax", "sincemin"):
             v = x if op == "sincemax" else f"(-1 * {x})"
-            if self.spark:
-                at = f"(max(CASE WHEN {x} IS NOT NULL THEN named_struct('v', {v}, 'i', session_idx) END) {trailing}).i"
-            else:
-                at = f"(max(CASE WHEN {x} IS NOT NULL THEN struct_pack(v := {v}, i := session_idx) END) {trailing}).i"
+            at = f"(max(CASE WHEN {x} IS NOT NULL THEN struct_pack(v := {v}, i := session_idx) END) {trailing}).i"
             return f"(CASE WHEN session_idx >= {a[1] - 1} AND {n} >= {0.8 * a[1]} THEN CAST(session_idx - {at} AS DOUBLE) / {a[1]} END)"
         so_far = f"OVER ({by_time} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         if op == "last":
@@ -500,8 +495,34 @@ def _frames(x: np.ndarray, first: int, last: int) -> Iterator[tuple[slice, np.nd
         yield slice(a, min(a + 4096, len(x))), view[a : min(a + 4096, len(x))]
 
 
-def frame_values(op: str, x: np.ndarray, *args) -> np.ndarray:
-    """The values of one frame operator over a ticker's sessions, NaN for missing."""
+def _moments(op: str, frame: np.ndarray, other: np.ndarray | None) -> np.ndarray:
+    known = ~np.isnan(frame)
+    n = known.sum(axis=1)
+    if op == "wcount":
+        return n.astype(float)
+    if op in ("wmin", "wmax"):
+        pick, none = (np.min, np.inf) if op == "wmin" else (np.max, -np.inf)
+        return np.where(n > 0, pick(np.where(known, frame, none), axis=1), np.nan)
+    total = np.where(known, frame, 0.0).sum(axis=1)
+    if op == "wsum":
+        return np.where(n > 0, total, np.nan)
+    if op == "wmean":
+        return np.where(n > 0, total / n, np.nan)
+    off = np.where(known, frame - (total / n)[:, None], 0.0)
+    if op == "wcov":
+        theirs = np.where(known, other, 0.0)
+        return np.where(n > 1, (off * (theirs - (theirs.sum(axis=1) / n)[:, None])).sum(axis=1) / (n - 1), np.nan)
+    square = (off**2).sum(axis=1)
+    if op == "wstd":
+        return np.where(n > 1, np.sqrt(square / (n - 1)), np.nan)
+    if op == "wskew":  # with the correction for small samples
+        return np.where(n > 2, (off**3).sum(axis=1) / n / (square / n) ** 1.5 * np.sqrt(n * (n - 1.0)) / (n - 2), np.nan)
+    flat = (off**4).sum(axis=1) / n / (square / n) ** 2 - 3
+    return np.where(n > 3, ((n + 1) * flat + 6) * (n - 1) / ((n - 2.0) * (n - 3)), np.nan)
+
+
+def frame_values(op: str, x: np.ndarray, *args, other: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+    """The values of one frame operator over a ticker's sessions (from session ``first`` on), NaN for missing."""
     out = np.full(len(x), np.nan)
     with np.errstate(invalid="ignore", divide="ignore"):
         if op == "rankpast":
@@ -519,42 +540,101 @@ def frame_values(op: str, x: np.ndarray, *args) -> np.ndarray:
                 each, ordered = np.arange(len(frame)), np.sort(frame, axis=1)
                 below, above = ordered[each, lo], ordered[each, np.minimum(lo + 1, np.maximum(n - 1, 0))]
                 out[rows] = np.where(n > 0, below + (above - below) * (at - lo), np.nan)
-        else:
+        elif op in ("sincemax", "sincemin"):
+            (w,) = args
+            for rows, frame in _frames(x if op == "sincemax" else -x, 1 - w, 0):
+                known = ~np.isnan(frame)
+                ago = np.where(known, frame, -np.inf)[:, ::-1].argmax(axis=1)  # of equal ones the latest
+                session = first + np.arange(rows.start, rows.stop)
+                out[rows] = np.where((session >= w - 1) & (known.sum(axis=1) >= 0.8 * w), ago / w, np.nan)
+        elif op == "fpath":
             a, b = args
             for rows, frame in _frames(x, a, b):
                 peak = np.maximum.accumulate(np.maximum(frame, 0), axis=1)
                 out[rows] = np.where(np.isnan(frame).any(axis=1), np.nan, np.minimum((frame / peak - 1).min(axis=1), 0))
+        else:
+            (w,) = args
+            theirs = _frames(other, 1 - w, 0) if other is not None else None
+            for rows, frame in _frames(x, 1 - w, 0):
+                out[rows] = _moments(op, frame, next(theirs)[1] if theirs else None)
     return out
 
 
 def _frame_stage(df: DataFrame, group: list[Expr], emit: Emitter) -> DataFrame:
     """The panel with the values of frame operators, one Arrow pass; a group is one ticker's sessions."""
-    given = df.selectExpr("*", *[f"CAST({emit.text(e.args[0])} AS DOUBLE) AS in_{e.name}" for e in group])
-    todo = [(e.name, e.op, tuple(e.args[1:])) for e in group]
+    given: dict[str, str] = {}
+    todo = []
+    for e in group:
+        inputs = [given.setdefault(emit.text(a), f"in_{len(given)}") for a in e.args if isinstance(a, Expr)]
+        todo.append((e.name, e.op, inputs, tuple(a for a in e.args if not isinstance(a, Expr))))
     names = df.columns
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by("session_idx")
+        values = {c: table.column(c).to_numpy().astype(float) for c in given.values()}
+        first = table.column("session_idx")[0].as_py() if table.num_rows else 0
         out = table.select(names)
-        for name, op, args in todo:
-            v = frame_values(op, table.column(f"in_{name}").to_numpy().astype(float), *args)
+        for name, op, inputs, args in todo:
+            v = frame_values(op, values[inputs[0]], *args, other=values[inputs[1]] if len(inputs) > 1 else None, first=first)
             out = out.append_column(name, pa.array(v, pa.float64(), mask=np.isnan(v)))
         return out
 
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n, *_ in todo]])
-    return given.groupBy("ticker").applyInArrow(one, schema)
+    return df.selectExpr("*", *[f"CAST({text} AS DOUBLE) AS {c}" for text, c in given.items()]).groupBy("ticker").applyInArrow(one, schema)
+
+
+def _shared(outputs: dict[str, Expr]) -> list[Expr]:
+    """Row-wise expressions of some size that several others read, those below first."""
+    readers: dict[Expr, int] = {}
+    order: list[Expr] = []
+
+    def walk(e: Expr) -> None:
+        readers[e] = readers.get(e, 0) + 1
+        if readers[e] == 1:
+            for a in e.args:
+                if isinstance(a, Expr):
+                    walk(a)
+            order.append(e)
+
+    for e in outputs.values():
+        walk(e)
+    return [e for e in order if readers[e] > 1 and e.op not in WINDOWS and e.op not in ("col", "lit", "notnull") and e.args]
+
+
+def _named(df: DataFrame, shared: list[Expr], emit: Emitter) -> DataFrame:
+    """The panel with a column for each shared expression whose windows are there; one projection for each level of them."""
+
+    def ready(e: Expr) -> bool:
+        return e in emit.done or e.op not in WINDOWS and all(ready(a) for a in e.args if isinstance(a, Expr))
+
+    def level(e: Expr) -> int:
+        below = max((level(a) for a in e.args if isinstance(a, Expr)), default=0) if e not in emit.done else 0
+        return below + (e in todo)
+
+    todo = [e for e in shared if e not in emit.done and ready(e)]
+    todo = dict.fromkeys(todo)
+    levels: dict[int, list[Expr]] = {}
+    for e in todo:
+        levels.setdefault(level(e), []).append(e)
+    for k in sorted(levels):
+        df = df.selectExpr("*", *[f"{emit.text(e)} AS {e.name}" for e in levels[k]])
+        emit.done |= {e: e.name for e in levels[k]}
+    return df
 
 
 def evaluate(panel: DataFrame, outputs: dict[str, Expr], keep: tuple[str, ...] = ("date", "ticker"), digits: int | None = None) -> DataFrame:
     """The panel's ``keep`` columns with the outputs."""
     emit = Emitter("spark")
     df = panel
+    shared = _shared(outputs)
     for group in stages(outputs):
+        df = _named(df, shared, emit)
         if WINDOWS[group[0].op] == FRAME:
             df = _frame_stage(df, group, emit)
         else:
             df = df.selectExpr("*", *[f"{emit.text(e)} AS {e.name}" for e in group])
         emit.done |= {e: e.name for e in group}
+    df = _named(df, shared, emit)
     last = {n: rounded(emit.text(e), digits) for n, e in outputs.items()}
     return df.selectExpr(*keep, *[f"{t} AS {n}" for n, t in last.items()])
 
