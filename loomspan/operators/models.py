@@ -1,73 +1,139 @@
-"""Walk-forward fits: purged ridge regressions, one task for each (retrain session, horizon)."""
+"""Walk-forward ridge regressions from sufficient statistics.
+
+A ridge fit needs no rows, only counts, sums and cross products.  They are additive, so sessions are cut into segments
+at all places where a training span begins or ends, each segment is reduced once for each horizon, and the statistics
+of a span are a difference of two running sums.  A row is read once for each horizon, however many fits it serves, and a
+task holds the rows of one segment or the sums of one horizon, never a training span.
+
+Columns are standardised by the present values of the span, missing ones stand at the mean, targets are centred:
+(G + alpha I) w = c with G = Z'Z / n and c = Z'(y - mean) / n, where Z'Z and Z'y follow from sums over present cells.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-class Ridge:
-    """Ridge on standardised columns; missing values stand at the mean; several targets share one solve."""
-
-    def __init__(self, alpha: float = 1.0):
-        self.alpha = alpha
-
-    def _z(self, x: np.ndarray) -> np.ndarray:
-        return np.nan_to_num((x - self.mean) / self.sd)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Ridge:
-        with np.errstate(invalid="ignore"):
-            self.mean, sd = np.nan_to_num(np.nanmean(x, axis=0)), np.nanstd(x, axis=0)
-        self.sd = np.where(sd > 1e-9, sd, 1.0)
-        z = self._z(x)
-        self.y_mean = y.mean(axis=0)
-        gram = z.T @ z / len(z) + self.alpha * np.eye(z.shape[1])
-        self.coef = np.linalg.solve(gram, z.T @ (y - self.y_mean) / len(z))
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self._z(x) @ self.coef + self.y_mean
-
-
-MODELS = {"ridge": Ridge}
-
-
-def walk_forward(rows: DataFrame, fits: DataFrame, features: list[str], targets: dict[int, list[str]], model: str = "ridge", least: int = 50, **settings) -> DataFrame:
+SEGMENT = 63  # sessions of a segment at most
+_FIELDS = ("n", "pairs", "first", "cross", "y", "present_y", "x_y")
+
+
+def reduce_rows(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The sums of some rows: of present cells of x (m: its mask) and of y, which is complete."""
+    m = np.isfinite(x).astype(float)
+    x = np.where(m > 0, x, 0.0)
+    return {"n": np.array([float(len(x))]), "pairs": m.T @ m, "first": x.T @ m, "cross": x.T @ x, "y": y.sum(axis=0), "present_y": m.T @ y, "x_y": x.T @ y}
+
+
+def solve(s: dict[str, np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights of raw columns: columns x targets, centres of columns, means of targets)."""
+    n, have = s["n"][0], np.maximum(np.diag(s["pairs"]), 1)
+    centre = np.diag(s["first"]) / have
+    spread = np.sqrt(np.maximum(np.diag(s["cross"]) / have - centre**2, 0))
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    base = s["y"] / n
+    gram = s["cross"] - s["first"] * centre[None, :] - (s["first"] * centre[None, :]).T + np.outer(centre, centre) * s["pairs"]
+    moved = s["x_y"] - centre[:, None] * s["present_y"] - np.outer(np.diag(s["first"]), base) + np.outer(centre * have * (np.diag(s["pairs"]) > 0), base)
+    system = gram / np.outer(spread, spread) / n + alpha * np.eye(len(centre))
+    return np.linalg.solve(system, moved / spread[:, None] / n) / spread[:, None], centre, base
+
+
+def _pack(s: dict[str, np.ndarray]) -> bytes:
+    return np.concatenate([s[f].ravel() for f in _FIELDS]).tobytes()
+
+
+def _unpack(raw: bytes, p: int, q: int) -> dict[str, np.ndarray]:
+    shapes = {"n": (1,), "pairs": (p, p), "first": (p, p), "cross": (p, p), "y": (q,), "present_y": (p, q), "x_y": (p, q)}
+    flat, out, at = np.frombuffer(raw), {}, 0
+    for f, shape in shapes.items():
+        size = int(np.prod(shape))
+        out[f], at = flat[at : at + size].reshape(shape), at + size
+    return out
+
+
+def coefficients(rows: DataFrame, spans: list, features: list[str], targets: dict[int, list[str]], alpha: float, least: int) -> DataFrame:
+    """retrain, h, target, weights, centre, base of each fit with ``least`` rows.  spans: (retrain, h, train_start, train_end), a few for each month."""
+    spark = rows.sparkSession
+    sessions = sorted(r[0] for r in rows.select("session_idx").distinct().collect())  # the calendar
+    where = []
+    for h in targets:
+        edges = np.unique([e for _, k, a, b in spans if k == h for e in (a, b)])
+        for s in sessions:
+            if len(edges) and edges[0] <= s < edges[-1]:
+                start = int(edges[np.searchsorted(edges, s, side="right") - 1])
+                where.append((h, s, start + (s - start) // SEGMENT * SEGMENT))
+    dealt = rows.filter("tradable").join(F.broadcast(spark.createDataFrame(where, "h int, session_idx int, segment int")), "session_idx")
+    complete = F.lit(False)
+    for h, names in targets.items():
+        complete = complete | ((F.col("h") == h) & F.expr(" AND ".join(f"`{t}` IS NOT NULL" for t in names)))
+    every = sorted({t for ts in targets.values() for t in ts})
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        h = int(part["h"].iloc[0])
+        s = reduce_rows(part[features].to_numpy(dtype=float), part[targets[h]].to_numpy(dtype=float))
+        return pd.DataFrame({"h": [h], "segment": [int(part["segment"].iloc[0])], "sums": [_pack(s)]})
+
+    reduced = dealt.filter(complete).select("h", "segment", *features, *every).groupBy("h", "segment").applyInPandas(sums, "h int, segment int, sums binary")
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, kept, left = None, None, {}, []
+
+        def closed(upto: float) -> Iterator[pa.RecordBatch]:
+            """Keep the sums where a span begins, fit the spans that end, at all edges up to here."""
+            nonlocal left
+            for _, _, a, _ in left:
+                if a <= upto and a not in kept:
+                    kept[a] = total
+            done = [s for s in left if s[3] <= upto]
+            left = [s for s in left if s[3] > upto]
+            for retrain, h, a, _ in done:
+                mine = {f: total[f] - kept[a][f] for f in _FIELDS} if kept[a] is not None else total
+                if mine is None or mine["n"][0] < least:
+                    continue
+                w, centre, base = solve(mine, alpha)
+                q = len(targets[h])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([retrain] * q, pa.int32()), pa.array([h] * q, pa.int32()), pa.array(targets[h]), pa.array(w.T.tolist(), pa.list_(pa.float64())), pa.array([centre.tolist()] * q, pa.list_(pa.float64())), pa.array(base)],
+                    names=["retrain", "h", "target", "weights", "centre", "base"],
+                )
+            for a in [a for a in kept if all(s[2] != a for s in left)]:
+                del kept[a]
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["h"] != now:
+                    if now is not None:
+                        yield from closed(float("inf"))
+                    now, total, kept, left = row["h"], None, {}, sorted((s for s in spans if s[1] == row["h"]), key=lambda s: s[3])
+                yield from closed(row["segment"])
+                s = _unpack(row["sums"], len(features), len(targets[now]))
+                total = s if total is None else {f: total[f] + s[f] for f in _FIELDS}
+        if now is not None:
+            yield from closed(float("inf"))
+
+    schema = "retrain int, h int, target string, weights array<double>, centre array<double>, base double"
+    return reduced.repartition("h").sortWithinPartitions("h", "segment").mapInArrow(fits, schema)
+
+
+def walk_forward(rows: DataFrame, fits: DataFrame, features: list[str], targets: dict[int, list[str]], alpha: float = 1.0, least: int = 50) -> DataFrame:
     """retrain, h, session_idx, ticker, target, pred.
 
     rows: session_idx, ticker, tradable, the features and all target columns.  Each fit is trained on the tradable rows
     of [train_start, train_end) whose targets are all present, and predicts from its retrain session up to the next.
-    Rows reach a fit by a join on ranges of sessions, of which there are few beside the rows (broadcast: a row a fit).
     """
-    from pyspark.sql import Window
-
-    ordered = Window.partitionBy("h").orderBy("retrain")
-    spans = fits.withColumn("until", F.lead("retrain").over(ordered))
-    s = F.col("session_idx")
-    trains = (s >= F.col("train_start")) & (s < F.col("train_end"))
-    predicts = (s >= F.col("retrain")) & (F.col("until").isNull() | (s < F.col("until")))
-    used = rows.filter("tradable").join(F.broadcast(spans), trains | predicts).withColumn("_train", trains)
-    names = sorted({t for ts in targets.values() for t in ts})
-    out_schema = "retrain int, h int, session_idx int, ticker string, target string, pred double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = int(pdf["h"].iloc[0])
-        mine = targets[h]
-        train = pdf[pdf["_train"]].dropna(subset=mine)
-        new = pdf[~pdf["_train"]]
-        if len(train) < least or not len(new):
-            return pd.DataFrame({"retrain": [], "h": [], "session_idx": [], "ticker": [], "target": [], "pred": []})
-        train = train.sort_values(["session_idx", "ticker"])
-        fitted = MODELS[model](**settings).fit(train[features].to_numpy(dtype=float), train[mine].to_numpy(dtype=float))
-        pred = fitted.predict(new[features].to_numpy(dtype=float))
-        n = len(new)
-        return pd.DataFrame(
-            {
-                "retrain": np.tile(new["retrain"].to_numpy(), len(mine)), "h": h, "session_idx": np.tile(new["session_idx"].to_numpy(), len(mine)),
-                "ticker": list(new["ticker"]) * len(mine), "target": [t for t in mine for _ in range(n)], "pred": pred.T.ravel(),
-            }
-        )
-
-    return used.select("retrain", "h", "session_idx", "ticker", "_train", *features, *names).groupBy("retrain", "h").applyInPandas(one, out_schema)
+    spark = rows.sparkSession
+    until = F.lead("retrain").over(Window.partitionBy("h").orderBy("retrain"))
+    spans = [tuple(r) for r in fits.select("retrain", "h", "train_start", "train_end", until.alias("until")).collect()]  # a row for each fit
+    used = coefficients(rows, [s[:4] for s in spans], features, targets, alpha, least)
+    last = rows.agg(F.max("session_idx")).first()[0]
+    when = [(h, s, retrain) for retrain, h, _, _, stop in spans for s in range(retrain, (last if stop is None else stop - 1) + 1)]
+    asked = rows.filter("tradable").join(F.broadcast(spark.createDataFrame(when, "h int, session_idx int, retrain int")), "session_idx")
+    placed = asked.select("retrain", "h", "session_idx", "ticker", F.array(*[F.col(f).cast("double") for f in features]).alias("_x")).join(used, ["retrain", "h"])
+    off = F.zip_with("_x", "centre", lambda x, c: F.coalesce(x - c, F.lit(0.0)))
+    pred = F.col("base") + F.aggregate(F.zip_with(off, F.col("weights"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return placed.select("retrain", "h", "session_idx", "ticker", "target", pred.alias("pred"))

@@ -108,7 +108,7 @@ WINDOWS = dict.fromkeys("lag lead last cumsum cumcount cummax runstart fmean fst
 #: Over time, of a frame that slides.  Spark makes each frame anew, value by value; NumPy takes all frames of a ticker at once,
 #: in one Arrow pass for all operators of a depth, some twenty times as fast.
 WINDOWS |= dict.fromkeys("wcount wmean wsum wstd wmin wmax wskew wkurt wcov sincemax sincemin wquant rankpast fpath".split(), FRAME)
-WINDOWS |= dict.fromkeys("crank ccount cmean gmean csum gsum crow pick".split(), CROSS)
+WINDOWS |= dict.fromkeys("crank ccount cmean gmean csum gsum crow grow pick".split(), CROSS)
 
 
 def _masked_pair(x: Expr, y: Expr) -> tuple[Expr, Expr]:
@@ -340,6 +340,15 @@ def position(x: Expr) -> Expr:
     return Expr("crow", x)
 
 
+def is_ticker(name: str) -> Expr:
+    return Expr("named", name)
+
+
+def first_of_group() -> Expr:
+    """True at one ticker of each group and session, the first by name."""
+    return Expr("grow", col("session_idx")) <= 1.0
+
+
 def cross_count(x: Expr) -> Expr:
     return Expr("ccount", x)
 
@@ -377,6 +386,8 @@ class Emitter:
         t = lambda i: self.text(a[i])
         if op == "col":
             return a[0]
+        if op == "named":
+            return f"(ticker = '{a[0]}')"
         if op == "lit":
             return f"CAST({a[0]!r} AS DOUBLE)"
         if op in "+-*" or op in ("<", "<=", ">", ">=", "AND", "OR"):
@@ -385,6 +396,8 @@ class Emitter:
             return f"try_divide({t(0)}, {t(1)})" if self.spark else f"({t(0)} / nullif({t(1)}, 0))"
         if op == "sdiv":
             return f"(CASE WHEN abs({t(1)}) > {EPS} THEN {t(0)} / {t(1)} END)"
+        if op == "NOT":
+            return f"(NOT {t(0)})"
         if op == "notnull":
             return f"({t(0)} IS NOT NULL)"
         if op == "if":
@@ -454,6 +467,8 @@ class Emitter:
             return f"{dict(gmean='avg', gsum='sum')[op]}({x}) OVER ({cross}, asset_group)"
         if op == "crow":
             return f"row_number() OVER ({cross} ORDER BY {x} ASC NULLS LAST, ticker)"
+        if op == "grow":
+            return f"row_number() OVER ({cross}, asset_group ORDER BY ticker)"
         if op == "pick":
             return f"max(CASE WHEN ticker = '{a[1]}' THEN {x} END) OVER ({cross})"
         raise ValueError(f"unknown operator {op}")

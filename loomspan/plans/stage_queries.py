@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
 
     @query("env_correlation")
     def env_correlation(spark, d):
-        return ST.environment_correlation(returns(spark, d))
+        return ST.environment_correlation(A.evaluate(B.brand_panel(spark, d), {"ret": P.next_open_return()}, keep=("session_idx", "ticker")))
 
     # -- benchmarks and controls -----------------------------------------------------------------------------------
     @query("fixed_benchmarks")
@@ -340,14 +341,12 @@ UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), {_r('median(c_acctbal)'
 
     @query("ridge_walkforward")
     def ridge_walkforward(spark, d):
-        names = ("ret_5", "ret_21", "ret_63", "sharpe_21", "slope_log_price_21")
-        features = {n: e for n, e in catalogue.family(catalogue.MOMENTUM, B.ROLES).items() if n in names}
-        normal = {n: A.first_of(A.rank(e) - 0.5, 0.0) for n, e in features.items()}
-        targets_ = {h: P.labels(h, payoff=None) for h in (1, 5)}
-        outputs = normal | {"is_tradable": A.flag(A.TRADABLE)} | {n: e for t in targets_.values() for n, e in t.items() if n.startswith(("vol_scaled", "rank"))}
-        rows = A.evaluate(B.brand_panel(spark, d), outputs, keep=("session_idx", "ticker")).withColumn("tradable", F.col("is_tradable") > 0)
-        fits = I.fits(I.retrain_schedule(sessions_of(spark, d), 600, 12), (1, 5), None, 252, P.reach)
-        names_of = {h: [n for n in t if n.startswith(("vol_scaled", "rank"))] for h, t in targets_.items()}
-        return M.walk_forward(rows, fits, sorted(normal), names_of)
+        """All momentum features, all horizons and their scaled and ranked labels, a fit every month."""
+        normal = {n: A.first_of(A.rank(e) - 0.5, 0.0) for n, e in catalogue.family(catalogue.MOMENTUM, B.ROLES).items()}
+        targets_ = {h: {n: e for n, e in P.labels(h, payoff=None).items() if n.startswith(("vol_scaled", "rank"))} for h in P.HORIZONS}
+        outputs = normal | {"is_tradable": A.flag(A.TRADABLE)} | {n: e for t in targets_.values() for n, e in t.items()}
+        rows = A.evaluate(B.brand_panel(spark, d), outputs, keep=("session_idx", "ticker")).withColumn("tradable", F.col("is_tradable") > 0).persist(StorageLevel.MEMORY_AND_DISK)
+        fits = I.fits(I.retrain_schedule(sessions_of(spark, d), 600, 1), P.HORIZONS, None, 252, P.reach)
+        return M.walk_forward(rows, fits, sorted(normal), {h: sorted(t) for h, t in targets_.items()})
 
     G.register(query, B, A, _r, _round)

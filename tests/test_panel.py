@@ -189,13 +189,48 @@ def test_resolve_needs_an_instrument(spark):
     assert I.resolve(universe.filter("ticker = 'A'"), instruments, "etf").first()["instrument_uid"] == "u2"
 
 
-def test_ridge_solves_the_normal_equations():
+def test_ridge_from_sums_is_the_ridge_of_the_rows():
     rng = np.random.default_rng(0)
-    x, y = rng.normal(size=(200, 4)), rng.normal(size=(200, 2))
-    m = M.Ridge(0.5).fit(x, y)
-    z = (x - x.mean(0)) / x.std(0)
-    b = np.linalg.solve(z.T @ z / 200 + 0.5 * np.eye(4), z.T @ (y - y.mean(0)) / 200)
-    np.testing.assert_allclose(m.predict(x), z @ b + y.mean(0))
+    x, y = rng.normal(size=(300, 5)), rng.normal(size=(300, 2))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 4] = 1.0
+    parts = [M.reduce_rows(x[a:b], y[a:b]) for a, b in ((0, 120), (120, 130), (130, 300))]
+    w, centre, base = M.solve({f: sum(p[f] for p in parts) for f in parts[0]}, 0.5)
+    spread = np.nanstd(x, axis=0)
+    z = np.nan_to_num((x - np.nanmean(x, axis=0)) / np.where(spread > 1e-9, spread, 1))
+    b = np.linalg.solve(z.T @ z / 300 + 0.5 * np.eye(5), z.T @ (y - y.mean(0)) / 300)
+    np.testing.assert_allclose(np.nan_to_num(x - centre) @ w + base, z @ b + y.mean(0), atol=1e-10)
+
+
+def test_walk_forward_fits_each_span(spark):
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"session_idx": np.repeat(np.arange(260), 3), "ticker": list("ABC") * 260, "tradable": rng.random(780) > 0.1, "f": rng.normal(size=780), "g": rng.normal(size=780), "y1": rng.normal(size=780), "y3": rng.normal(size=780)})
+    rows["session_idx"] = rows["session_idx"].astype("int32")
+    spans = [(200, 1, 0, 190), (230, 1, 0, 220), (200, 3, 100, 180), (230, 3, 130, 210)]
+    fits = spark.createDataFrame(spans, "retrain int, h int, train_start int, train_end int")
+    got = M.walk_forward(spark.createDataFrame(rows), fits, ["f", "g"], {1: ["y1"], 3: ["y3"]}).toPandas()
+    assert len(got) == 2 * int((rows["tradable"] & (rows["session_idx"] >= 200)).sum())
+    for retrain, h, a, b in spans:
+        t = rows[rows["tradable"] & (rows["session_idx"] >= a) & (rows["session_idx"] < b)]
+        w, centre, base = M.solve(M.reduce_rows(t[["f", "g"]].to_numpy(), t[[f"y{h}"]].to_numpy()), 1.0)
+        mine = got[(got["retrain"] == retrain) & (got["h"] == h)].merge(rows, on=["session_idx", "ticker"])
+        assert mine["session_idx"].min() == retrain
+        np.testing.assert_allclose(mine["pred"], ((mine[["f", "g"]].to_numpy() - centre) @ w + base)[:, 0], atol=1e-9)
+
+
+def test_drawdown_of_a_book_that_loses_everything(spark):
+    nets = {"gone": [0.1, -1.0, 0.5], "below": [0.2, -1.5, 0.1], "plain": [0.1, -0.2, 0.3]}
+    rows = [(n, i, r) for n, rs in nets.items() for i, r in enumerate(rs)]
+    got = {r["trial"]: r["max_drawdown"] for r in E.max_drawdown(spark.createDataFrame(rows, "trial string, session_idx int, net double")).collect()}
+    for n, rs in nets.items():
+        eq = np.cumprod(1 + np.array(rs))
+        assert got[n] == pytest.approx((eq / np.maximum.accumulate(eq) - 1).min())
+
+
+def test_expanding_mid_ranks():
+    v = np.random.default_rng(1).integers(0, 9, 300).astype(float)
+    rank, before = I.mid_ranks(v)
+    assert all(rank[i] == (v[:i] < v[i]).sum() + 0.5 * (v[:i] == v[i]).sum() and before[i] == i for i in range(300))
 
 
 def test_ledger_upsert_replaces_runs(spark):

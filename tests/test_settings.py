@@ -18,14 +18,25 @@ def test_overlays_merge_and_named_entries_keep_their_fields():
 
 
 @pytest.mark.parametrize(
-    "text",
-    ["nokey=1", "labels.new=1", "data.fence_date=2030-01-01", "labels.horizons=[]", "labels.horizons=[1,1]", "labels.variants=[odd]", "labels.variants=[payoff_l-1]", "context.market_lag_sessions=0", "limits.max_gross=0.5", "environment.stress.threshold=0", "environment.stress.input=x", "walkforward.purge_extra_sessions=-1", "models.q.alpha=1", "models.r=1", "compute.workers=true", "justtext"],
-)
-def test_bad_settings_are_refused(text):
-    with pytest.raises(S.SettingsError):
+    ("text", "word"),
+    [
+        ("walkforward.retrain_every_months=2.5", "whole number from 1"), ("groups.purge_extra_sessions=-3", "whole number from 0"), ("labels.min_vol_window=1", "from 2"), ("limits.max_gross=none", "a number from 1"),
+        ("environment.stress.threshold=1.01", "share"), ("environment.stress.input=[vol]", "one of"), ("labels.horizons=[2, 3, 2]", "different"), ("labels.variants=[rank, payoff_lx]", "variants"),
+        ("walkforward.window_sessions.z=1", "named windows"), ("models.r.enabled=false", "enabled model"), ("benchmarks.random_draws=true", "whole number"),
+        ("labels.horizon=3", "unknown key"), ("paths.unlock_file=other.yaml", "read-only"), ("no equals sign", "key.path=value"),
+    ],
+)
+def test_bad_settings_are_refused(text, word):
+    with pytest.raises(S.SettingsError, match=word):
         S.load(BASE, sets=[text])
 
 
+def test_one_error_names_all_that_is_wrong():
+    with pytest.raises(S.SettingsError, match="compute.workers = 0.*|labels.horizons = .*") as e:
+        S.load(BASE, sets=["compute.workers=0", "labels.horizons=[]"])
+    assert "compute.workers" in str(e.value) and "labels.horizons" in str(e.value)
+
+
 def test_hash_ignores_what_changes_no_result():
     same = S.load(BASE, sets=["compute.workers=8", "run.notes=x"])
     assert S.settings_hash(same) == S.settings_hash(BASE) != S.settings_hash(S.load(BASE, sets=["labels.min_vol_window=6"]))
