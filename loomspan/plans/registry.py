@@ -61,13 +61,12 @@ def _register() -> None:
     _panel_query("feature_ret_21_rank", {"value": A.where(A.TRADABLE, A.rank(k21) - 0.5)})
     for name in ("momentum", "volatility", "drawdown", "trend", "candles", "gaps", "compression", "volume", "relative", "screeners"):
         outputs = catalogue.family(catalogue.FAMILIES[name], B.ROLES)
-        _panel_query(f"features_{name}", outputs)
+        # sums of whole volumes give values halfway between two numbers of four digits
+        _panel_query(f"features_{name}", outputs, 5 if name == "volume" else DIGITS)
     _panel_query("features_normalised", {n: A.where(A.TRADABLE, A.rank(e) - 0.5) for n, e in catalogue.family(catalogue.FAMILIES["momentum"], B.ROLES).items()})
 
-    for h in (1, 5, 21):
+    for h in P.HORIZONS:
         _panel_query(f"labels_h{h}", P.labels(h))
-    for h in (3, 7, 10, 15, 32, 44):
-        _panel_query(f"labels_h{h}", {n: e for n, e in P.labels(h).items() if not n.startswith(("drawdown", "payoff"))})
 
     pct, ts = P.ordinal_pct(k21), P.time_bins(k21)
     for label, rule in P.rules().items():
