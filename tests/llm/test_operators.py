@@ -351,6 +351,37 @@ def test_substring_dedup_is_exact(spark, docs, rows):
     assert left and all(hashlib.sha256(" ".join(BLANK.findall(r["left_text"])).encode()).hexdigest() == r["kept_sha256"] for r in left)
 
 
+def test_levels_extend_what_is_repeated(spark):
+    """Three levels run on the documents of sf0.01; each has candidates only where the one below is shared."""
+    some = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert substring_dedup.widths(13) == [4, 8, 13]
+    found = [r.agg(F.count(F.lit(1)), F.count_if("shared")).first() for r in substring_dedup.level_rows(some)]
+    assert len(found) == 3 and all(0 < shared < n for n, shared in found) and found[1][0] < found[0][0]
+
+
+def test_empty_and_repeated_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    twice = spark.createDataFrame([(1, "a b c d e f g h i j k l m n"), (1, "a b c d e f g h i j k l m n"), (2, "a b c d e f g h i j k l m n")], "doc_id long, text string")
+    assert substring_dedup.dedup(none).count() == 0 and jaccard_join.components(none).count() == 0
+    assert sorted(r["n_removed"] for r in substring_dedup.dedup(twice).collect()) == [0, 0, 14]
+    assert [r["component_id"] for r in jaccard_join.components(twice).collect()] == [1, 1, 1]
+    assert substring_dedup.longest_repeats(none).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.classify(none, labels).count() == 0
+    assert quality_rules.judge(none.selectExpr("*", "'x' AS lang"), labels).count() == 0
+    assert license_scan.scan(none.selectExpr("*", "'a/b' AS path")).count() == 0
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_names_that_only_contain_a_word_say_nothing():
+    cases = {
+        '<article class="post no-sidebar"><p>a b</p></article>': "a b", '<div class="content has-sidebar"><p>a</p></div>': "a",
+        '<article><div class="related-work"><p>x</p></div><p class="social-science">y</p><p class="notice-period">z</p><section id="comments"><p>no</p></section></article>': "x\ny\nz",
+    }
+    for page, text in cases.items():
+        assert html_extract.parse(page)[0] == text
+
+
 def test_longest_repeats(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(words)), (2, " ".join(["x"] + words[20:75] + ["y"])), (3, " ".join(words[:14])), (4, "unlike the others " * 3)]
@@ -436,7 +467,12 @@ def test_grammar_expands_to_its_input():
 
 def test_packing_is_whole_and_gapless(docs, rows, tokenizers):
     path, tokenizer = tokenizers["word_bpe_49k.json"]
-    out = packing.pack(docs, path, capacity=64).collect()
+    out = packing.pack(docs.withColumn("length", F.lit("clash")).withColumn("rank", F.lit(0)), path, capacity=64).collect()
+    pieces = []
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        pieces += [(key(d, None)[:2], k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())) for k in range(0, len(ids), 64)]
+    assert sorted((key(r["doc_id"], None)[:2], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(pieces)
     lengths = sorted(min(64, n - k) for _, t in rows for n in [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1] for k in range(0, n, 64))
     assert sorted(r["length"] for r in out) == lengths
     sequences = {}
