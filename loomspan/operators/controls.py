@@ -44,14 +44,19 @@ def benchmark_targets(panel: DataFrame, roles: dict[str, str], first: int, top:
     on = lambda role, w: F.when(F.col("ticker") == roles[role], w).otherwise(0.0)
     held = A.evaluate(panel, outputs, keep=("session_idx", "date", "ticker"))
     held = held.withColumns({"spy": on("SPY", F.lit(1.0)), "spy_ief_60_40": on("SPY", F.lit(0.6)) + on("IEF", F.lit(0.4)), "trend_200d": on("SPY", F.col("_above"))})
+    every = clocks(held.select("session_idx", "date").distinct(), first, {f"on_{n}": r for n, r in REBALANCE.items()}).drop("date")  # a row for each session
+    long = held.unpivot(["session_idx", "ticker", "r_next"], list(REBALANCE), "trial", "target").join(F.broadcast(every), "session_idx")
+    rebalance = F.coalesce(*[F.when(F.col("trial") == n, F.col(f"on_{n}")) for n in REBALANCE])
+    return long.withColumn("rebalance", rebalance).drop(*[f"on_{n}" for n in REBALANCE])
+
+
+def clocks(sessions: DataFrame, first: int, rules: dict[str, int | str]) -> DataFrame:
+    """The sessions (session_idx, date) with a flag for each rule: every N sessions, "monthly" (first of a month) or "once", from ``first`` on."""
     month = F.trunc("date", "month")
-    before = F.lag(month).over(Window.partitionBy("ticker").orderBy("session_idx"))
+    before = F.lag(month).over(Window.partitionBy(F.lit(1)).orderBy("session_idx"))  # a row for each session
     s = F.col("session_idx")
-    starts = held.withColumn("_month", (s >= first) & (before.isNull() | (before != month)))
-    long = starts.unpivot(["session_idx", "ticker", "r_next", "_month"], list(REBALANCE), "trial", "target")
-    rules = {"monthly": F.col("_month"), "once": s == first}
-    rebalance = F.coalesce(*[F.when(F.col("trial") == n, rules[r] if isinstance(r, str) else S.rebalance_every(first, r)) for n, r in REBALANCE.items()])
-    return long.withColumn("rebalance", rebalance).drop("_month")
+    kinds = {"monthly": (s >= first) & (before.isNull() | (before != month)), "once": s == first}
+    return sessions.withColumns({n: kinds[r] if isinstance(r, str) else S.rebalance_every(first, r) for n, r in rules.items()})
 
 
 def random_target(score: np.ndarray, tradable: np.ndarray, fraction: float) -> np.ndarray:
@@ -119,13 +124,22 @@ def group_map(tickers: DataFrame) -> DataFrame:
     return grouped.withColumn("group_idx", rank.cast("int"))
 
 
+def shuffles(scores: DataFrame, draws: int | list[int]) -> DataFrame:
+    """draw, session_idx, ticker, score: the present scores of each session dealt out anew among the tickers that have one, for every draw."""
+    wanted = list(range(draws)) if isinstance(draws, int) else draws
+    each = scores.select("session_idx", "ticker", "score", F.explode(F.array(*[F.lit(d) for d in wanted])).alias("draw"))
+    by = Window.partitionBy("draw", "session_idx", F.col("score").isNull())
+    at = F.row_number().over(by.orderBy("ticker"))
+    to = F.row_number().over(by.orderBy(F.xxhash64(F.lit(RANDOM_SEED), "draw", "session_idx", "ticker")))
+    placed = each.select("*", at.alias("_at"), to.alias("_to"))
+    given = placed.filter("score is not null").select("draw", "session_idx", F.col("_to").alias("_at"), F.col("score").alias("_given"))
+    joined = placed.join(given, ["draw", "session_idx", "_at"], "left")
+    return joined.select("draw", "session_idx", "ticker", F.when(F.col("score").isNotNull(), F.col("_given")).alias("score"))
+
+
 def shuffled(scores: DataFrame, draw: int) -> DataFrame:
-    """The present scores of each session dealt out anew among the tickers that have one: (session_idx, ticker, score)."""
-    by = Window.partitionBy("session_idx", F.col("score").isNull())
-    placed = scores.select("session_idx", "ticker", "score", F.row_number().over(by.orderBy("ticker")).alias("_at"), F.row_number().over(by.orderBy(F.xxhash64(F.lit(RANDOM_SEED), F.lit(draw), "session_idx", "ticker"))).alias("_to"))
-    given = placed.filter("score is not null").select("session_idx", F.col("_to").alias("_at"), F.col("score").alias("_given"))
-    joined = placed.join(given, ["session_idx", "_at"], "left")
-    return joined.select("session_idx", "ticker", F.when(F.col("score").isNotNull(), F.col("_given")).alias("score"))
+    """One draw of shuffles: (session_idx, ticker, score)."""
+    return shuffles(scores, [draw]).drop("draw")
 
 
 def stale(scores: DataFrame, lag: int = STALE_LAG) -> DataFrame:

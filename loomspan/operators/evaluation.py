@@ -7,6 +7,7 @@ multiple-testing statistics, which work on a handful of numbers for each trial,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 from statistics import NormalDist
 
@@ -102,37 +103,76 @@ def add_deflated_sharpe(measures: DataFrame, n_trials: int | None = None) -> Dat
     return joined.withColumn("dsr", F.nanvl(dsr("sharpe", "n", "skew", "kurt", "_trials", "_var"), F.lit(None).cast("double"))).drop("_trials", "_var")
 
 
+_BLOCK = 512  # splits that are worked at once
+_FIRST = "split int, inside double, trial string, outside double"
+
+
+def _split_masks(k: int) -> np.ndarray:
+    """(splits, k): 1 for the slices in sample, for every choice of half of them."""
+    chosen = np.array(list(combinations(range(k), k // 2)))
+    inside = np.zeros((len(chosen), k))
+    np.put_along_axis(inside, chosen, 1.0, axis=1)
+    return inside
+
+
+def _mask_sharpe(mask: np.ndarray, n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """(splits, trials): Sharpe over the slices of each mask, from moments (trials, slices)."""
+    m = (mask @ n)[:, None]
+    mean = mask @ s1.T / m
+    var = (mask @ s2.T - m * mean**2) / (m - 1)
+    return np.divide(mean, np.sqrt(np.maximum(var, 0)), out=np.full(mean.shape, -np.inf), where=var > 1e-24)
+
+
 def overfitting(moments: DataFrame) -> DataFrame:
     """pbo, n_splits: share of symmetric splits in which the best trial in sample ranks in the lower half out of sample.
 
-    The moments (slices x trials) are two numbers for each slice and trial; the splits run in one task over them.
+    Trials stay dealt out: one pass finds the best trial of each split within some trials, an aggregate the best of
+    all (ties: the first by name); a second pass counts the trials below it out of sample.  What goes to every task is
+    a row for each split and the lengths of the slices, both of fixed size.
     """
-
-    def splits(rows: pd.DataFrame) -> pd.DataFrame:
-        s1 = rows.pivot(index="slice", columns="trial", values="s1").to_numpy()
-        s2 = rows.pivot(index="slice", columns="trial", values="s2").to_numpy()
-        n = rows.groupby("slice")["n"].first().to_numpy(dtype=float)
-        k = len(n)
-        chosen = np.array(list(combinations(range(k), k // 2)))
-        inside = np.zeros((len(chosen), k))
-        np.put_along_axis(inside, chosen, 1.0, axis=1)
-
-        def sharpe(mask: np.ndarray) -> np.ndarray:
-            m = (mask @ n)[:, None]
-            mean = mask @ s1 / m
-            var = (mask @ s2 - m * mean**2) / (m - 1)
-            return np.divide(mean, np.sqrt(np.maximum(var, 0)), out=np.full(mean.shape, -np.inf), where=var > 1e-24)
-
-        low, n_trials = 0, s1.shape[1]
-        for a in range(0, len(inside), 512):
-            best = sharpe(inside[a : a + 512]).argmax(axis=1)
-            out = sharpe(1 - inside[a : a + 512])
-            mine = out[np.arange(len(best)), best][:, None]
-            rank = (out < mine).sum(axis=1) + 0.5 * ((out == mine).sum(axis=1) - 1) + 1
-            low += int((rank / (n_trials + 1) <= 0.5).sum())
-        return pd.DataFrame({"pbo": [low / len(inside)], "n_splits": [len(inside)]})
-
-    return moments.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(splits, "pbo double, n_splits long")
+    packed = F.sort_array(F.collect_list(F.struct("slice", "s1", "s2")))
+    rows = moments.groupBy("trial").agg(packed.alias("_m")).select("trial", F.col("_m.s1").alias("s1"), F.col("_m.s2").alias("s2"))
+    lengths = {r["slice"]: r["n"] for r in moments.groupBy("slice").agg(F.max("n").alias("n")).collect()}  # a row for each slice
+    n = np.array([lengths[k] for k in sorted(lengths)], dtype=float)
+    k = len(n)
+
+    def blocks(batch: pd.DataFrame):
+        masks = _split_masks(k)
+        s1, s2 = np.stack(batch["s1"]).astype(float), np.stack(batch["s2"]).astype(float)
+        for a in range(0, len(masks), _BLOCK):
+            part = masks[a : a + _BLOCK]
+            yield a, part, s1, s2
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values("trial")
+            names = batch["trial"].to_numpy()
+            for a, part, s1, s2 in blocks(batch):
+                inside = _mask_sharpe(part, n, s1, s2)
+                at = inside.argmax(axis=1)
+                each = np.arange(len(part))
+                yield pd.DataFrame({"split": a + each, "inside": inside[each, at], "trial": names[at], "outside": _mask_sharpe(1 - part, n, s1, s2)[each, at]})
+
+    found = rows.mapInPandas(best, _FIRST).groupBy("split").agg(F.min_by(F.col("outside"), F.struct(-F.col("inside"), "trial")).alias("mine"))
+    mine = np.array([r["mine"] for r in found.orderBy("split").collect()])  # a number for each split
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, part, s1, s2 in blocks(batch):
+                outside, own = _mask_sharpe(1 - part, n, s1, s2), mine[a : a + _BLOCK, None]
+                yield pd.DataFrame({"split": a + np.arange(len(part)), "trials": len(batch), "rank": (outside < own).sum(axis=1) + 0.5 * (outside == own).sum(axis=1)})
+
+    ranks = rows.mapInPandas(below, "split int, trials long, rank double").groupBy("split").agg(F.sum("trials").alias("trials"), F.sum("rank").alias("rank"))
+    low = (F.col("rank") + 0.5) / (F.col("trials") + 1) <= 0.5
+    return ranks.agg(F.avg(low.cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
+
+
+def dated_sharpes(trials: DataFrame, blocks: tuple[tuple[str, str], ...]) -> DataFrame:
+    """trial, block, sharpe over the sessions of each block of dates (first, last), both included; trials have a date."""
+    named = trials.sparkSession.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(blocks)], "block int, _from string, _to string")
+    on = (F.col("date") >= F.col("_from").cast("date")) & (F.col("date") <= F.col("_to").cast("date"))
+    sd = F.stddev_samp("net")
+    return trials.join(F.broadcast(named), on).groupBy("trial", "block").agg(F.when(sd > 1e-12, F.avg("net") / sd * math.sqrt(YEAR)).alias("sharpe"))
 
 
 def daily_ic(ranked: DataFrame, least: int = 5) -> DataFrame:
@@ -176,9 +216,14 @@ def spearman(forecasts: DataFrame, horizon: int, first: int = 0, stop: int = 1 <
     return ranked.groupBy("key").agg(n.alias("n"), c.alias("spearman")).withColumn("t", F.col("spearman") * F.sqrt(F.col("n") / horizon))
 
 
+def known_mean(forecasts: DataFrame, reach: int, min_sessions: int, base: str = "base") -> DataFrame:
+    """The rows with the mean of their key's labels y that are known by then; missing for fewer than min_sessions."""
+    known = Window.partitionBy("key").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, -(reach + 1))
+    return forecasts.withColumn(base, F.when(F.count("y").over(known) >= min_sessions, F.avg("y").over(known)))
+
+
 def oos_r2(forecasts: DataFrame, reach: int, min_sessions: int, first: int = 0, stop: int = 1 << 30, least: int = 100) -> DataFrame:
     """key, n, oos_r2: 1 - SSE(p) / SSE(mean of the labels known by then); a row for each key and session."""
-    known = Window.partitionBy("key").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, -(reach + 1))
-    rows = forecasts.withColumn("_base", F.when(F.count("y").over(known) >= min_sessions, F.avg("y").over(known))).filter(_measured(forecasts, first, stop) & F.col("_base").isNotNull())
+    rows = known_mean(forecasts, reach, min_sessions, "_base").filter(_measured(forecasts, first, stop) & F.col("_base").isNotNull())
     miss, plain = F.sum((F.col("y") - F.col("p")) ** 2), F.sum((F.col("y") - F.col("_base")) ** 2)
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, 1 - F.try_divide(miss, plain)).alias("oos_r2"))

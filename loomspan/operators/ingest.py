@@ -91,6 +91,12 @@ def upsert_runs(ledger: DataFrame, rows: DataFrame, key: str = "run_id") -> Data
     return ledger.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.select(ledger.columns))
 
 
+def evaluation_window(sessions: DataFrame, start: str, end: str | None) -> DataFrame:
+    """first, stop: the position of the first session from start on, and one past the last up to end."""
+    through = F.lit(True) if end is None else F.col("date") <= F.lit(end).cast("date")
+    return sessions.agg(F.count_if(F.col("date") < F.lit(start).cast("date")).cast("int").alias("first"), F.count_if(through).cast("int").alias("stop"))
+
+
 def retrain_schedule(sessions: DataFrame, first: int, months: int) -> DataFrame:
     """session_idx, date of the first session of every months-th month from session ``first`` on."""
     starts = sessions.filter(F.col("session_idx") >= first).groupBy(F.trunc("date", "month").alias("_m")).agg(F.min("session_idx").alias("session_idx"), F.min("date").alias("date"))

@@ -16,6 +16,7 @@ from loomspan.operators import simulation as S
 from loomspan.operators import stages as G
 from loomspan.operators import state as ST
 from loomspan.plans import algebra as A
+from loomspan.plans import run_queries
 from loomspan.sources import brand_panel as B
 from loomspan.sources import global_series as GS
 
@@ -350,3 +351,4 @@ UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), {_r('median(c_acctbal)'
         return M.walk_forward(rows, fits, sorted(normal), {h: sorted(t) for h, t in targets_.items()})
 
     G.register(query, B, A, _r, _round)
+    run_queries.register(query, trials, TRIALS_SQL, B.BRAND_SQL, _r, _round)
