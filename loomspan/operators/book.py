@@ -147,7 +147,7 @@ def _clean(df: DataFrame) -> DataFrame:
 def _cells(scores: DataFrame, panel: DataFrame, by: str) -> DataFrame:
     """Every cell of the panel for every score, a few of them: by, the panel's columns, score."""
     names = scores.select(by).distinct()
-    return panel.crossJoin(F.broadcast(names)).join(scores.select(by, "session_idx", "ticker", "score"), [by, "session_idx", "ticker"], "left")
+    return panel.drop("score", by).crossJoin(F.broadcast(names)).join(scores.select(by, "session_idx", "ticker", "score"), [by, "session_idx", "ticker"], "left")
 
 
 def book_grid(scores: DataFrame, panel: DataFrame, first: int, stop: int | None = None, blocks=(), selection=SELECTION) -> DataFrame:

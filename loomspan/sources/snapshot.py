@@ -136,7 +136,7 @@ def build(spark: SparkSession, root: str, folder: str, tickers: DataFrame, fence
     tickers.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/tickers.csv")  # a row for each ticker
     for name, (df, dev) in tables.items():
         manifest["files"] |= write_table(df, folder, name, dev)
-    spark.createDataFrame([(json.dumps(manifest, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/MANIFEST.json", lineSep="")
+    spark.createDataFrame([(json.dumps(manifest, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/MANIFEST.json")
     return manifest
 
 
