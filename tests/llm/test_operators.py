@@ -172,6 +172,35 @@ def test_cells_find_all_links(seed):
         assert len(log) > 1 and max(depth for depth, *_ in log) >= 1
 
 
+def test_jaccard_counters_reach_the_driver_as_bytes(spark):
+    from types import SimpleNamespace
+
+    from loomspan.llm import common
+
+    rng = np.random.default_rng(5)
+    hashes = [rng.integers(-(2**63), 2**63 - 1, 60_000), rng.integers(-(2**63), 2**63 - 1, 60_000)]
+    hashes[1][:5_000] = hashes[0][0]
+    lists = spark.createDataFrame([(h.tolist(),) for h in hashes], "hs array<long>").repartition(2)
+    rows = jaccard_join._frequencies(lists).collect()
+    assert len(rows) <= jaccard_join._COUNTERS // jaccard_join._BLOCK and sum(len(r["levels"]) for r in rows) <= jaccard_join._COUNTERS
+    table = np.zeros((jaccard_join._COUNTERS // jaccard_join._BLOCK, jaccard_join._BLOCK), np.uint8)
+    for block, levels in rows:
+        table[block] = np.frombuffer(levels, np.uint8)
+    n = np.bincount((np.concatenate(hashes).view(np.uint64) >> np.uint64(44)).astype(np.int64), minlength=jaccard_join._COUNTERS)
+    order = np.argsort(n, kind="stable")
+    assert (np.diff(table.reshape(-1)[order].astype(int)) >= 0).all() and ((table.reshape(-1) > 0) == (n > 0)).all() and table.max() == 8 * math.log2(n.max() + 1) // 1
+
+    # garbage is collected between the steps, but only where the heap has grown
+    calls = []
+    heap = SimpleNamespace(totalMemory=lambda: 300, maxMemory=lambda: 750)
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: calls.append(1)))))
+    common.tidy(SimpleNamespace(_jvm=jvm))
+    assert not calls
+    heap.totalMemory = lambda: 400
+    common.tidy(SimpleNamespace(_jvm=jvm))
+    assert calls == [1]
+
+
 def test_connected_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100 + i, 100) for i in range(1, 9)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
