@@ -59,7 +59,7 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _best_pairs(pairs: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent of the pairs (left << 32 | right), those that occur ``least`` times at least, in order."""
+    """The most frequent of the pairs (left symbol in the upper half), those that occur ``least`` times at least, in order."""
     pairs = np.sort(pairs)
     first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
     times = np.diff(np.append(first, len(pairs)))
@@ -78,25 +78,29 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds:
     last[ends - 1] = True
     base = max(int(symbols.max()) + 1 if len(symbols) else 1, end_id + 1)
     rules = np.empty((0, 2), dtype=np.uint32)
+    # rules never reach beyond 16 bits, so two symbols fit in 32 where the vocabulary does
+    wide, half = (np.uint32, np.uint32(16)) if base < 1 << 16 else (np.uint64, np.uint64(32))
+    low = (wide(1) << half) - wide(1)
     done, new = 0, None
     while (rounds is None or done < rounds) and len(symbols) > 1:
         done += 1
         room = (1 << 16) - base - len(rules) if base < 1 << 16 else per_round
         if room < 1:
             break
-        at = ~(last[:-1] | last[1:])
+        inside = ~(last[:-1] | last[1:])
         if new is not None:  # all other pairs were looked at in the round before
-            at &= (symbols[:-1] >= new) | (symbols[1:] >= new)
-        at = np.flatnonzero(at)
-        left, right = symbols[at], symbols[at + 1]
-        every = left.astype(np.uint64) << np.uint64(32) | right
+            young = symbols >= new
+            inside &= young[:-1] | young[1:]
+        at = np.flatnonzero(inside)
+        left, right = symbols[at], symbols[1:][at]
+        every = left.astype(wide) << half | right
         most = min(per_round, room)
         pairs = _best_pairs(every, least, most) if len(at) else every
         if not len(pairs):
             break
         # the slot tells the pair; of pairs that share a slot one is replaced in this round
         of_slot = np.full(_SLOTS, -1, dtype=np.int32)
-        of_slot[_slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = np.arange(len(pairs))
+        of_slot[_slots((pairs >> half).astype(np.uint32), (pairs & low).astype(np.uint32))] = np.arange(len(pairs))
         new = base + len(rules) if len(pairs) < most and (of_slot >= 0).sum() == len(pairs) else None
         spot = _slots(left, right)
         some = np.flatnonzero((of_slot >= 0)[spot])
@@ -116,7 +120,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds:
         stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
         pairs = pairs[used]
-        rules = np.concatenate([rules, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
+        rules = np.concatenate([rules, np.stack([pairs >> half, pairs & low], axis=1).astype(np.uint32)])
     return symbols, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1])), base, rules
 
 
