@@ -201,6 +201,35 @@ def test_jaccard_counters_reach_the_driver_as_bytes(spark):
     assert calls == [1]
 
 
+def test_rounds_of_components_are_planned_one_star_at_a_time(spark, monkeypatch):
+    read = []
+    write = components.materialise
+
+    def watched(df, label, *keys):
+        read.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return write(df, label, *keys)
+
+    monkeypatch.setattr(components, "materialise", watched)
+    edges = write(spark.createDataFrame([(i, i + 1) for i in range(1, 20)], "a long, b long"), "path")
+    got = components.connected_components(edges).collect()
+    assert {r["node"] for r in got} == set(range(1, 21)) and {r["root"] for r in got} == {1}
+    assert len(read) > 3 and max(read) <= 4  # the edges that each plan reads: both stars in one would read them 12 times
+
+
+def test_native_memory_of_the_driver_is_given_back(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loomspan.llm import common
+
+    commands = spark._jvm.java.lang.management.ManagementFactory.getRuntimeMXBean().getSpecVersion()
+    assert common._trim(spark) or int(commands.split(".")[0]) < 17
+    assert not common._trim(SimpleNamespace(_jvm=None))  # without such a command nothing fails
+    calls = []
+    monkeypatch.setattr(common, "_trim", calls.append)
+    common.materialise(spark.range(3).toDF("a"), "small")
+    assert calls == [spark]
+
+
 def test_connected_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100 + i, 100) for i in range(1, 9)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
