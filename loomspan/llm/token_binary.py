@@ -33,9 +33,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,10 +63,10 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _best_pairs(pairs: np.ndarray, least: int, most: int) -> np.ndarray:
     """The most frequent of the pairs (left symbol in the upper half), those that occur ``least`` times at least, in order."""
     pairs = np.sort(pairs)
-    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-    times = np.diff(np.append(first, len(pairs)))
-    often = times >= least
-    found, times = pairs[first[often]], times[often]
+    # of a pair that occurs n times, n - least + 1 stay
+    pairs = pairs[np.flatnonzero(pairs[least - 1 :] == pairs[: max(0, len(pairs) - least + 1)])]
+    first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.empty(0, dtype=np.int64)
+    found, times = pairs[first], np.diff(np.append(first, len(pairs)))
     if len(found) > most:
         found = np.sort(found[np.lexsort((found, -times))[:most]])
     return found
@@ -72,56 +74,64 @@ def _best_pairs(pairs: np.ndarray, least: int, most: int) -> np.ndarray:
 
 def compress(ids: np.ndarray, lengths: np.ndarray, end_id: int = END_ID, rounds: int | None = None, per_round: int = 4096, least: int = 8):
     """(symbols, symbols of each document, base, rules) of documents that each end with end_id."""
-    symbols = ids.astype(np.uint32)
-    ends = np.cumsum(lengths)
-    last = np.zeros(len(symbols), dtype=bool)
-    last[ends - 1] = True
-    base = max(int(symbols.max()) + 1 if len(symbols) else 1, end_id + 1)
+    ends = np.cumsum(lengths) - 1
+    base = max(int(ids.max()) + 1 if len(ids) else 1, end_id + 1)
     rules = np.empty((0, 2), dtype=np.uint32)
     # rules never reach beyond 16 bits, so two symbols fit in 32 where the vocabulary does
-    wide, half = (np.uint32, np.uint32(16)) if base < 1 << 16 else (np.uint64, np.uint64(32))
+    narrow, wide, half = (np.uint16, np.uint32, np.uint32(16)) if base < 1 << 16 else (np.uint32, np.uint64, np.uint64(32))
     low = (wide(1) << half) - wide(1)
+    symbols = ids.astype(narrow)
     done, new = 0, None
     while (rounds is None or done < rounds) and len(symbols) > 1:
         done += 1
         room = (1 << 16) - base - len(rules) if base < 1 << 16 else per_round
         if room < 1:
             break
-        inside = ~(last[:-1] | last[1:])
+        inside = np.ones(len(symbols), dtype=bool)
+        inside[ends] = False
+        inside[ends[ends > 0] - 1] = False
+        inside = inside[:-1]
+        left, right = symbols[:-1], symbols[1:]
+        at = None
         if new is not None:  # all other pairs were looked at in the round before
             young = symbols >= new
-            inside &= young[:-1] | young[1:]
-        at = np.flatnonzero(inside)
-        left, right = symbols[at], symbols[1:][at]
+            at = np.flatnonzero(inside & (young[:-1] | young[1:]))
+            left, right = left[at], right[at]
+        left, right = left.astype(np.uint32), right.astype(np.uint32)
         every = left.astype(wide) << half | right
         most = min(per_round, room)
-        pairs = _best_pairs(every, least, most) if len(at) else every
+        pairs = _best_pairs(every[inside] if at is None else every, least, most)
         if not len(pairs):
             break
         # the slot tells the pair; of pairs that share a slot one is replaced in this round
-        of_slot = np.full(_SLOTS, -1, dtype=np.int32)
-        of_slot[_slots((pairs >> half).astype(np.uint32), (pairs & low).astype(np.uint32))] = np.arange(len(pairs))
-        new = base + len(rules) if len(pairs) < most and (of_slot >= 0).sum() == len(pairs) else None
+        slots = _slots((pairs >> half).astype(np.uint32), (pairs & low).astype(np.uint32))
+        taken, of_slot = np.zeros(_SLOTS, dtype=bool), np.empty(_SLOTS, dtype=np.int32)
+        taken[slots], of_slot[slots] = True, np.arange(len(pairs))
+        new = base + len(rules) if len(pairs) < most and (of_slot[slots] == np.arange(len(pairs))).all() else None
         spot = _slots(left, right)
-        some = np.flatnonzero((of_slot >= 0)[spot])
+        some = np.flatnonzero(taken[spot] & inside if at is None else taken[spot])
         which = of_slot[spot[some]]
-        fits = pairs[which] == every[some]
-        at, which = at[some[fits]], which[fits]
+        fits = np.flatnonzero(pairs[which] == every[some])
+        some, which = some[fits], which[fits]
+        at = some if at is None else at[some]
         # of overlapping places every second one is replaced, from the left
-        step = np.ones(len(at), dtype=bool)
-        step[1:] = np.diff(at) > 1
-        first = np.maximum.accumulate(np.where(step, np.arange(len(at)), 0))
-        turn = (np.arange(len(at)) - first) % 2 == 0
-        at, which = at[turn], which[turn]
+        after = np.flatnonzero(np.diff(at) == 1) + 1
+        if len(after):
+            begins = np.append(True, np.diff(after) > 1)
+            turn = np.ones(len(at), dtype=bool)
+            turn[after] = (after - np.maximum.accumulate(np.where(begins, after - 1, 0))) % 2 == 0
+            turn = np.flatnonzero(turn)
+            at, which = at[turn], which[turn]
         # pairs that others left no place for get no rule
-        used, which = np.unique(which, return_inverse=True)
-        symbols[at] = (base + len(rules) + which).astype(np.uint32)
+        used = np.bincount(which, minlength=len(pairs)) > 0
+        symbols[at] = (base + len(rules) - 1 + np.cumsum(used)).astype(narrow)[which]
         stay = np.ones(len(symbols), dtype=bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols = symbols[stay]
+        ends = ends - np.searchsorted(at, ends)  # a document ends outside of pairs, so places before its end lose one symbol each
         pairs = pairs[used]
         rules = np.concatenate([rules, np.stack([pairs >> half, pairs & low], axis=1).astype(np.uint32)])
-    return symbols, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1])), base, rules
+    return symbols.astype(np.uint32), np.diff(np.concatenate([[0], ends + 1])), base, rules
 
 
 def spans_of(base: int, rules: np.ndarray) -> np.ndarray:
@@ -147,18 +157,27 @@ def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
     return flat[places]
 
 
-def _encoded(texts: list, ids: list, path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _encoded(texts: list | pa.Array, ids: list, path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Groups of documents of about 2^20 characters; up to four groups of an Arrow column are encoded in one call."""
     enc = encoder(path)
+    column = isinstance(texts, pa.Array)
+    sizes = (pc.fill_null(pc.utf8_length(texts), 0).to_numpy() + 1).tolist() if column else [len(t or "") + 1 for t in texts]
     a = 0
     while a < len(texts):
-        b, size = a, 0
-        while b < len(texts) and size < 1 << 20:
-            size += len(texts[b] or "") + 1
-            b += 1
-        found, lengths = enc.encode([t or "" for t in texts[a:b]])
-        at = np.cumsum(lengths)
-        yield ids[a:b], np.insert(found, at, END_ID), lengths + 1
-        a = b
+        edges, total = [a], 0
+        while edges[-1] < len(texts) and total < (4 << 20 if column else 1):
+            b, size = edges[-1], 0
+            while b < len(texts) and size < 1 << 20:
+                size += sizes[b]
+                b += 1
+            edges.append(b)
+            total += size
+        found, lengths = enc.encode(texts[a:b])
+        found, lengths = np.insert(found, np.cumsum(lengths), END_ID), lengths + 1
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        for b, c in pairwise(edges):
+            yield ids[b:c], found[ends[b - a] : ends[c - a]], lengths[b - a : c - a]
+        a = c
 
 
 def _shards(path: str, shard_ids: int):
@@ -184,7 +203,7 @@ def _shards(path: str, shard_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for some in _encoded(batch.column(1).to_pylist(), batch.column(0).to_pylist(), path):
+            for some in _encoded(batch.column(1), batch.column(0).to_pylist(), path):
                 held.append(some)
                 if sum(len(h[1]) for h in held) >= shard_ids:
                     yield shard()

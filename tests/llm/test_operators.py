@@ -482,6 +482,52 @@ def test_memo_shrinks_without_harm(tokenizers, monkeypatch):
         assert enc.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_columns_are_encoded_as_the_library_does(tokenizers, rows):
+    import pyarrow as pa
+
+    from loomspan.llm import encoding
+
+    rng = random.Random(4)
+    parts = ["word", "Wort", "é", "née.", "don't", "it's.", "a,b", "x.", "y", "...", "#", "*", "|", "|>", "<|endoftext|>", "end<|endoftext|>.", "…", "…!", " ", "\n", " ", " ", " ", "\n", "\t", "\xa0", "\u2003", "½", "7", "3.5", "日本", "语。"]
+    texts = [t for _, t in rows] + ODD + ["", None, " ", "\n", "."] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    for path, tokenizer in tokenizers.values():
+        enc = encoding.Encoder(path)
+        for kind in (pa.string(), pa.large_string()):
+            for some in (texts, texts[::-1]):  # a slice, so that the column begins within its buffer
+                ids, counts = enc.encode(pa.array(["cut off", None, *some], kind).slice(2))
+                at = np.concatenate([[0], np.cumsum(counts)])
+                for i, t in enumerate(some):
+                    assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+        assert [len(x) for x in enc.encode(pa.array([None, ""], pa.string()))] == [0, 2] and len(enc.encode(pa.array([], pa.string()))[1]) == 0
+
+
+def test_a_word_is_learnt_once_whatever_sign_follows(tokenizers):
+    from loomspan.llm import encoding
+
+    path, tokenizer = tokenizers["byte_bpe_50k.json"]
+    enc = encoding.Encoder(path)
+    text = " ".join(f"wort{c}{sign}" for c in "abcdefghij" for sign in (".", ",", ";", ":", "!", "?", "...", "***"))
+    ids, _ = enc.encode([text, text])
+    assert ids.tolist() == 2 * tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(enc.memo) <= 11 + 8  # words with a blank before, the first word, signs
+
+
+def test_compressing_leaves_the_same_grammar_whatever_the_width():
+    """Ids below and above 16 bits, documents of one id, overlapping runs: the symbols expand to the input and keep to their documents."""
+    rng = np.random.default_rng(5)
+    for shift in (0, 1 << 16):
+        for n in (1, 2, 9, 3000):
+            lengths = rng.integers(1, 40, n)
+            ids = (rng.integers(1, 4, lengths.sum()) + shift).astype(np.uint32)
+            ids[np.cumsum(lengths) - 1] = 0
+            symbols, per_doc, base, rules = token_binary.compress(ids, lengths, least=2)
+            assert (token_binary.expand(symbols, base, rules) == ids).all() and per_doc.sum() == len(symbols)
+            starts = np.cumsum(per_doc) - per_doc
+            for i in range(0, n, 7):
+                own = symbols[starts[i] : starts[i] + per_doc[i]]
+                assert len(token_binary.expand(own, base, rules)) == lengths[i]
+
+
 def test_shards_round_trip(spark, docs, rows, tokenizers):
     path, tokenizer = tokenizers["byte_bpe_50k.json"]
     odd = [(10_000 + i, t) for i, t in enumerate(ODD)]
