@@ -236,6 +236,48 @@ def test_connected_components_of_paths(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100 + i: 100 for i in range(9)}
 
 
+@pytest.mark.parametrize(("seed", "chunk"), [(0, 1 << 20), (1, 8), (2, 50)])
+def test_edges_are_contracted_without_loss(monkeypatch, seed, chunk):
+    import pyarrow as pa
+
+    monkeypatch.setattr(components, "_CHUNK", chunk)
+    monkeypatch.setattr(components, "_BATCH", 3)
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(-(2**63), 2**63 - 1, 120)
+    edges = [(ids[i], ids[i + 1]) for i in range(30)] + [(ids[a], ids[b]) for a, b in rng.integers(31, 120, (60, 2))]
+    of = {x: x for e in edges for x in e}
+    for a, b in edges:
+        of = {x: min(of[a], of[b]) if c in (of[a], of[b]) else c for x, c in of.items()}
+    batches = [pa.RecordBatch.from_pydict({"a": [int(a) for a, _ in edges[i : i + 7]], "b": [int(b) for _, b in edges[i : i + 7]]}) for i in range(0, len(edges), 7)]
+    stars = list(components._contracted(iter(batches)))
+    assert all(a > b for x in stars for a, b in zip(*x.to_pydict().values(), strict=True))
+    got = {n: r for x in components._rooted(iter(stars)) for n, r in zip(*x.to_pydict().values(), strict=True)}
+    loops = {a for a, b in edges if a == b}
+    assert {x: c for x, c in of.items() if x in got} == got and set(of) - set(got) <= loops
+    assert not list(components._contracted(iter(()))) and not list(components._rooted(iter(())))
+
+
+def test_few_edges_are_connected_in_one_task(spark, monkeypatch):
+    """Rounds of stars cost five shuffles each, however few the edges are; more edges than a task holds go through them."""
+    chain = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(chain[: 30 + k])) for k in range(24)], "doc_id long, text string").repartition(3)
+    written = []
+    write = components.materialise
+
+    def watched(df, label, *keys):
+        written.append(label)
+        return write(df, label, *keys)
+
+    monkeypatch.setattr(components, "materialise", watched)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs).collect()}
+    assert found == dict.fromkeys(range(24), 0)
+    assert written == ["regions", "regions", "links", "links"]
+    written.clear()
+    monkeypatch.setattr(jaccard_join, "_EDGES", 3)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs).collect()} == found
+    assert len(written) > 4
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------
 def test_quality_measures(spark, docs, rows):
     extra = [(5000, "#a b c\n#a b c\n#a b c\n|\n\n"), (5001, "a b a b a b a"), (5002, "x " * 5000)]
