@@ -278,6 +278,22 @@ def test_few_edges_are_connected_in_one_task(spark, monkeypatch):
     assert len(written) > 4
 
 
+@pytest.mark.parametrize(("within", "tables"), [(400, 2), (100, 3), (20, 0)])
+def test_edges_that_many_tasks_know_are_contracted_again(spark, monkeypatch, within, tables):
+    written = []
+    write = components.materialise
+
+    def watched(df, label, *keys):
+        written.append(label)
+        return write(df, label, *keys)
+
+    monkeypatch.setattr(components, "materialise", watched)
+    edges = spark.sparkContext.parallelize([(i, i + 1) for _ in range(8) for i in range(39)], 8).toDF("a long, b long")
+    got = {r["node"]: r["root"] for r in components.connected_components(edges, "path", within).collect()}
+    assert got == dict.fromkeys(range(40), 0)
+    assert len(written) == tables if tables else len(written) > 4
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------
 def test_quality_measures(spark, docs, rows):
     extra = [(5000, "#a b c\n#a b c\n#a b c\n|\n\n"), (5001, "a b a b a b a"), (5002, "x " * 5000)]
