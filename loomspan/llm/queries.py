@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat, decontaminate, html_extract, jaccard_join, license_scan, packing, quality_classifier, quality_rules, substring_dedup, token_binary
+from loomspan.llm import chat, chat_repair, decontaminate, fill_middle, html_extract, jaccard_join, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_binary
 from loomspan.llm.common import table
 
 
@@ -67,6 +67,21 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = chat_repair.damage(table(spark, sf_dir, "conversations"))
+    return chat_repair.report(chat_repair.repair(damaged, live="live"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    output, form = F.col("output"), F.col("form")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(output, 256).alias("output_sha256"), F.sha2(fill_middle.restored(output, form), 256).alias("restored_sha256"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
