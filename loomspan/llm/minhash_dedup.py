@@ -209,7 +209,12 @@ def _verified(k: int, percent: int, miss: float):
 def _members(keys: DataFrame) -> DataFrame:
     """k, cls, n: the rows of keys that n > 1 classes have."""
     met = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keys.join(met, "k")
+    return keys.join(met.hint("merge"), "k")
+
+
+def _spread(rows: DataFrame, key: str) -> DataFrame:
+    """Groups side by side, over as many tasks as the session shuffles to: their work counts, not their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
 
 
 def candidates(firsts: DataFrame, percent: int, miss: float, bucket: int) -> tuple[DataFrame, DataFrame | None]:
@@ -227,8 +232,8 @@ def candidates(firsts: DataFrame, percent: int, miss: float, bucket: int) -> tup
         small = small.unionByName(again.filter(F.col("n") <= bucket).select("k", "cls"))
         rest = again.filter(F.col("n") > bucket).select("k", "cls")
         rest = None if rest.isEmpty() else rest
-    rows = small.join(firsts.select("cls", "sketch"), "cls").select("k", "cls", "sketch")
-    found = J._dealt(rows, "k").mapInArrow(H.released(_screened(percent, miss)), "a long, b long")
+    rows = small.join(firsts.select("cls", "sketch").hint("merge"), "cls").select("k", "cls", "sketch")
+    found = _spread(rows, "k").mapInArrow(H.released(_screened(percent, miss)), "a long, b long")
     return materialise(found, "survivors"), rest
 
 
@@ -241,8 +246,9 @@ def links(docs: DataFrame, firsts: DataFrame, text: str = "text", k: int = SHING
     regions = materialise(regions.join(firsts.select("cls", "doc_id", "n"), "cls"), "regions")
     sizes = regions.groupBy("root").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / J._SET)).cast("long").alias("size"))
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    members = materialise(texts.join(regions, "doc_id").join(sizes, "root").select("root", "size", "cls", "text"), "members")
-    few = J._dealt(members.filter(F.col("size") <= J._TASK).select("root", "cls", "text"), "root")
+    # sorted at every size: texts are dealt out once, whether few or many of them are in a region
+    members = materialise(texts.join(regions.join(sizes, "root").hint("merge"), "doc_id").select("root", "size", "cls", "text"), "members")
+    few = _spread(members.filter(F.col("size") <= J._TASK).select("root", "cls", "text"), "root")
     edges = materialise(few.mapInArrow(H.released(_verified(k, percent, miss)), "a long, b long"), "links")
     many = members.filter(F.col("size") > J._TASK)
     if not many.isEmpty():
