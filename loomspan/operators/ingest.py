@@ -98,17 +98,22 @@ def evaluation_window(sessions: DataFrame, start: str, end: str | None) -> DataF
 
 
 def retrain_schedule(sessions: DataFrame, first: int, months: int) -> DataFrame:
-    """session_idx, date of the first session of every months-th month from session ``first`` on."""
-    starts = sessions.filter(F.col("session_idx") >= first).groupBy(F.trunc("date", "month").alias("_m")).agg(F.min("session_idx").alias("session_idx"), F.min("date").alias("date"))
+    """session_idx, date of the first session of every months-th month, counted from the first month of the data; those from session ``first`` on."""
+    starts = sessions.groupBy(F.trunc("date", "month").alias("_m")).agg(F.min("session_idx").alias("session_idx"), F.min("date").alias("date"))
     placed = starts.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("session_idx")) - 1)  # a row for each month
-    return placed.filter(F.col("_n") % months == 0).select("session_idx", "date")
+    return placed.filter((F.col("_n") % months == 0) & (F.col("session_idx") >= first)).select("session_idx", "date")
 
 
-def fits(schedule: DataFrame, horizons: tuple[int, ...], window: int | None, first_row: int, reach, extra: int = 0) -> DataFrame:
-    """retrain, h, train_start, train_end (exclusive): purged so that no label reads past the retrain session."""
-    rows = [schedule.select(F.col("session_idx").alias("retrain"), F.lit(h).alias("h"), (F.col("session_idx") - reach(h) - extra).alias("train_end")) for h in horizons]
-    start = F.lit(first_row) if window is None else F.greatest(F.lit(first_row), F.col("train_end") - window)
-    return reduce(DataFrame.unionByName, rows).withColumn("train_start", start).filter("train_end > train_start").select("retrain", "h", "train_start", "train_end")
+def fits(schedule: DataFrame, horizons: tuple[int, ...], window: int | None, first_row: int, back, history: int = 252) -> DataFrame:
+    """retrain, h, train_start, train_end (inclusive): the last training session is back(h) before the retrain.
+
+    ``back`` is the reach of a label and the sessions that are purged beside it.  A rolling window has its whole length
+    from first_row on or is no fit; an expanding one (None) needs ``history`` sessions.
+    """
+    rows = [schedule.select(F.col("session_idx").alias("retrain"), F.lit(h).alias("h"), (F.col("session_idx") - back(h)).alias("train_end")) for h in horizons]
+    start = F.lit(first_row) if window is None else F.col("train_end") - (window - 1)
+    enough = F.col("train_end") - first_row + 1 >= history if window is None else F.col("train_start") >= first_row
+    return reduce(DataFrame.unionByName, rows).withColumn("train_start", start).filter(enough).select("retrain", "h", "train_start", "train_end")
 
 
 def calendar_features(sessions: DataFrame) -> DataFrame:

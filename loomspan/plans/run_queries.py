@@ -6,7 +6,6 @@ walk-forward ridge fits.  What several queries share is made once for an applica
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import grid as GR
 from loomspan.operators import ingest as I
-from loomspan.operators import models as M
+from loomspan.operators import learners as L
 from loomspan.operators import panel_ops as P
 from loomspan.operators import simulation as S
 from loomspan.operators import stages as G
@@ -29,6 +28,11 @@ FIRST = 300
 HORIZONS = (5, 21)
 BLOCKS = (("1996-01-01", "1997-12-31"), ("1998-01-01", "1999-12-31"), ("2000-01-01", "2001-12-31"))
 DEFENSIVE = ("TLT", "IEF", "GLD", "UUP")
+RIDGE = {"name": "ridge", "kind": "ridge", "alpha": 1.0}
+TREES = {
+    "name": "trees", "kind": "boosted",
+    "params": {"num_leaves": 7, "learning_rate": 0.15, "num_boost_round": 16, "min_data_in_leaf": 100, "max_bin": 31, "feature_fraction": 0.5, "bagging_fraction": 0.5, "bagging_freq": 1, "lambda_l2": 1.0, "seed": 7},
+}
 
 
 @kept
@@ -73,41 +77,76 @@ def deflated(spark, d) -> DataFrame:
 
 
 @kept
-def group_preds(spark, d) -> DataFrame:
-    """model, window, h, session_idx, group, pred: ridge on the groups' mean momentum features, a fit every month."""
-    features = {n: A.group_mean(e) for n, e in catalogue.family(catalogue.MOMENTUM, B.ROLES).items()}
+def group_rows(spark, d) -> DataFrame:
+    """session_idx, ticker (the group), tradable, the groups' mean momentum features and their rank labels."""
+    features = group_features()
     alive = A.group_sum(A.flag(A.TRADABLE)) > 0
     r = A.group_mean(P.next_open_return())
     labels = {f"label_h{h}": G.group_label(r, alive, h, P.average_pct) for h in HORIZONS}
     outputs = features | labels | {"_alive": A.flag(alive)}
     panel = B.brand_panel(spark, d)
     rows = A.evaluate(panel, outputs, keep=("session_idx", "ticker")).join(panel.select("session_idx", "ticker", "asset_group"), ["session_idx", "ticker"])
-    each = rows.groupBy("session_idx", "asset_group").agg(*[F.max(c).alias(c) for c in outputs]).withColumnRenamed("asset_group", "ticker").withColumn("tradable", F.col("_alive") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-    fits = I.fits(I.retrain_schedule(sessions(spark, d), FIRST, 1), HORIZONS, None, 0, lambda h: h + max(h, P.MIN_VOL_WINDOW) - 1, extra=2)
-    out = M.walk_forward(each, fits, sorted(features), {h: [f"label_h{h}"] for h in HORIZONS})
-    return out.select(F.lit("ridge").alias("model"), F.lit("expanding").alias("window"), "h", "session_idx", F.col("ticker").alias("group"), "pred")
+    return rows.groupBy("session_idx", "asset_group").agg(*[F.max(c).alias(c) for c in outputs]).withColumnRenamed("asset_group", "ticker").withColumn("tradable", F.col("_alive") > 0)
+
+
+def group_features() -> dict[str, A.Expr]:
+    return {n: A.group_mean(e) for n, e in catalogue.family(catalogue.MOMENTUM, B.ROLES).items()}
+
+
+def group_fits(spark, d, spec: dict, months: int = 1) -> DataFrame:
+    """model, window, h, session_idx, group, pred of a model entry: a training span ends h + max(h, 5) + 2 sessions before its retrain, at session 300 or later."""
+    fits = I.fits(I.retrain_schedule(sessions(spark, d), FIRST, months), HORIZONS, None, 0, lambda h: h + max(h, P.MIN_VOL_WINDOW) + 2, history=301)
+    out = L.walk_forward(group_rows(spark, d), fits, sorted(group_features()), {h: [f"label_h{h}"] for h in HORIZONS}, spec)
+    return out.select(F.lit(spec["name"]).alias("model"), F.lit("expanding").alias("window"), "h", "session_idx", F.col("ticker").alias("group"), "pred")
 
 
 @kept
-def environment_preds(spark, d) -> DataFrame:
-    """h, session_idx, target, pred: ridge on market and calendar features for the basket's return, fall and volatility.
+def group_preds(spark, d) -> DataFrame:
+    """model, window, h, session_idx, group, pred: ridge on the groups' mean momentum features, a fit every month."""
+    return group_fits(spark, d, RIDGE)
 
-    A session counts if more than half of its features are there.
-    """
+
+ENVIRONMENT_HORIZONS = (3, 5, 10, 21)
+
+
+def environment_features(spark, d) -> list[str]:
+    calendar = I.calendar_features(sessions(spark, d).select("date"))
+    return sorted([*catalogue.family(catalogue.MACRO, B.ROLES), *(c for c in calendar.columns if c != "date")])
+
+
+@kept
+def environment_rows(spark, d) -> DataFrame:
+    """session_idx, ticker, asked, share (of the features that are there), market and calendar features and the basket's targets."""
     macro = catalogue.family(catalogue.MACRO, B.ROLES)
     daily = G.basket(G.eligible(B.ROLES["SHY"]), P.next_open_return())
-    horizons = (3, 5, 10, 21)
-    targets = {h: G.environment_targets(daily, h) for h in horizons}
-    outputs = macro | {n: e for t in targets.values() for n, e in t.items()}
+    outputs = macro | {n: e for h in ENVIRONMENT_HORIZONS for n, e in G.environment_targets(daily, h).items()}
     panel = GS.with_globals(B.brand_panel(spark, d), GS.daily(spark, d))
     rows = A.evaluate(panel, outputs, keep=("session_idx", "date", "ticker")).filter(F.col("ticker") == B.ROLES["SPY"])
-    calendar = I.calendar_features(sessions(spark, d).select("date"))
-    features = sorted([*macro, *(c for c in calendar.columns if c != "date")])
-    joined = rows.join(calendar, "date")
+    joined = rows.join(I.calendar_features(sessions(spark, d).select("date")), "date")
+    features = environment_features(spark, d)
     there = sum((F.col(f).isNotNull().cast("int") for f in features[1:]), F.col(features[0]).isNotNull().cast("int"))
-    used = joined.withColumn("tradable", there > 0.5 * len(features)).drop("date").persist(StorageLevel.MEMORY_AND_DISK)
-    fits = I.fits(I.retrain_schedule(sessions(spark, d), FIRST, 1), horizons, None, 0, lambda h: max(h, 10) + 1, extra=1)
-    return M.walk_forward(used, fits, features, {h: sorted(t) for h, t in targets.items()}, least=100).select("h", "session_idx", "target", "pred")
+    return joined.withColumns({"share": there / len(features), "asked": F.lit(True)}).drop("date")
+
+
+def environment_fits(spark, d, spec: dict, months: int = 1) -> DataFrame:
+    """h, session_idx, target, pred of a model entry.
+
+    A session trains if more than half of its features are there and the target is; every session is predicted.  A
+    training span ends 1 + max(h, 10) + 1 sessions before its retrain.
+    """
+    rows = environment_rows(spark, d)
+    fits = I.fits(I.retrain_schedule(sessions(spark, d), FIRST, months), ENVIRONMENT_HORIZONS, None, 0, lambda h: 1 + max(h, 10) + 1, history=1)
+    parts = []
+    for measure in ("env_ret", "env_dd", "env_vol"):  # each target is fitted on the sessions that have it
+        targets = {h: [f"{measure}_h{h}"] for h in ENVIRONMENT_HORIZONS}
+        parts.append(L.walk_forward(rows.withColumn("trains", F.col("share") > 0.5), fits, environment_features(spark, d), targets, spec, least=100, trains="trains", asked="asked"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("h", "session_idx", "target", "pred")
+
+
+@kept
+def environment_preds(spark, d) -> DataFrame:
+    """h, session_idx, target, pred: ridge on market and calendar features for the basket's return, fall and volatility."""
+    return environment_fits(spark, d, RIDGE)
 
 
 @kept
@@ -143,6 +182,48 @@ def sources(spark, d) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@kept
+def momentum_rows(spark, d) -> DataFrame:
+    """session_idx, ticker, tradable, normalised momentum features and the scaled and ranked labels of all horizons."""
+    outputs = momentum_features() | {"is_tradable": A.flag(A.TRADABLE)} | {n: e for t in momentum_targets().values() for n, e in t.items()}
+    return A.evaluate(B.brand_panel(spark, d), outputs, keep=("session_idx", "ticker")).withColumn("tradable", F.col("is_tradable") > 0)
+
+
+def momentum_features() -> dict[str, A.Expr]:
+    return {n: A.first_of(A.rank(e) - 0.5, 0.0) for n, e in catalogue.family(catalogue.MOMENTUM, B.ROLES).items()}
+
+
+def momentum_targets() -> dict[int, dict[str, A.Expr]]:
+    return {h: {n: e for n, e in P.labels(h, payoff=None).items() if n.startswith(("vol_scaled", "rank"))} for h in P.HORIZONS}
+
+
+def register_walkforwards(query, sessions_of) -> None:
+    """Walk-forwards by the name of their kind of model."""
+
+    def momentum(spark, d, spec, horizons, months, store=None):
+        """All momentum features, the scaled and ranked labels of some horizons."""
+        fits = I.fits(I.retrain_schedule(sessions_of(spark, d), 600, months), horizons, None, 252, lambda h: P.reach(h) + 1)
+        targets = {h: sorted(t) for h, t in momentum_targets().items() if h in horizons}
+        return L.walk_forward(momentum_rows(spark, d), fits, sorted(momentum_features()), targets, spec, store=store)
+
+    @query("ridge_walkforward")
+    def ridge_walkforward(spark, d):
+        return momentum(spark, d, RIDGE, P.HORIZONS, 1)
+
+    @query("boosted_walkforward")
+    def boosted_walkforward(spark, d):
+        """Boosted trees for two horizons, two labels each, a fit every half year."""
+        return momentum(spark, d, TREES, HORIZONS, 6)
+
+    @query("group_walkforward_trees")
+    def group_walkforward_trees(spark, d):
+        return group_fits(spark, d, TREES, 6)
+
+    @query("environment_walkforward_trees")
+    def environment_walkforward_trees(spark, d):
+        return environment_fits(spark, d, TREES, 6)
+
+
 def register(query, trials_of, trials_sql: str, panel_sql: str, r, rounded) -> None:
     """Put the queries into a registry; trials_of and trials_sql are the books that stage_queries compares with SQL."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,6 @@ from loomspan.functions import catalogue
 from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
-from loomspan.operators import models as M
 from loomspan.operators import panel_ops as P
 from loomspan.operators import simulation as S
 from loomspan.operators import stages as G
@@ -107,19 +105,21 @@ SELECT days.d AS date, ks.k AS key, {_r('(SELECT arg_max(f.v, f.d) FROM f WHERE
     def sessions_of(spark, d):
         return B.densify(B.brand_bars(spark, d)).select("session_idx", "date").distinct()
 
-    schedule = "sched AS (SELECT session_idx, date FROM (SELECT *, row_number() OVER (ORDER BY session_idx) - 1 AS n FROM (SELECT min(session_idx) AS session_idx, min(d) AS date FROM days WHERE session_idx >= 300 GROUP BY date_trunc('month', d)) q) q2 WHERE n % 6 = 0)"
+    # months are numbered from the first of the data, and only then cut at session 300
+    schedule = "sched AS (SELECT session_idx, date FROM (SELECT *, row_number() OVER (ORDER BY session_idx) - 1 AS n FROM (SELECT min(session_idx) AS session_idx, min(d) AS date FROM days GROUP BY date_trunc('month', d)) q) q2 WHERE n % 6 = 0 AND session_idx >= 300)"
 
     @query("retrain_schedule", f"{_PANEL}, {schedule} SELECT session_idx, date FROM sched")
     def retrain_schedule(spark, d):
         return I.retrain_schedule(sessions_of(spark, d), 300, 6)
 
+    # the last open of a label of session t is t + 1 + max(h, 5); one session more is purged; a window of 500 sessions is whole from session 100 on
     @query("purge_rows", f"""{_PANEL}, {schedule}, h AS (SELECT unnest([1, 5, 21]) AS h),
-f AS (SELECT CAST(session_idx AS INTEGER) AS retrain, CAST(h AS INTEGER) AS h, CAST(greatest(100, session_idx - 1 - greatest(h, 5) - 500) AS INTEGER) AS train_start, CAST(session_idx - 1 - greatest(h, 5) AS INTEGER) AS train_end FROM sched, h)
-SELECT retrain, h, train_start, train_end, count(*) AS n_rows FROM f JOIN panel ON panel.session_idx >= train_start AND panel.session_idx < train_end AND tradable GROUP BY ALL""")
+f AS (SELECT CAST(session_idx AS INTEGER) AS retrain, CAST(h AS INTEGER) AS h, CAST(session_idx - (1 + greatest(h, 5)) - 1 AS INTEGER) AS train_end FROM sched, h)
+SELECT retrain, h, train_end - 499 AS train_start, train_end, count(*) AS n_rows FROM f JOIN panel ON panel.session_idx BETWEEN train_end - 499 AND train_end AND tradable WHERE train_end - 499 >= 100 GROUP BY ALL""")
     def purge_rows(spark, d):
-        fits = I.fits(I.retrain_schedule(sessions_of(spark, d), 300, 6), (1, 5, 21), 500, 100, P.reach)
+        fits = I.fits(I.retrain_schedule(sessions_of(spark, d), 300, 6), (1, 5, 21), 500, 100, lambda h: P.reach(h) + 1)
         rows = B.brand_panel(spark, d).filter("tradable").select("session_idx")
-        joined = rows.join(F.broadcast(fits), (F.col("session_idx") >= F.col("train_start")) & (F.col("session_idx") < F.col("train_end")))
+        joined = rows.join(F.broadcast(fits), F.col("session_idx").between(F.col("train_start"), F.col("train_end")))
         return joined.groupBy("retrain", "h", "train_start", "train_end").agg(F.count(F.lit(1)).alias("n_rows"))
 
     @query("ledger_upsert", "SELECT o_orderstatus AS run_id, o_orderkey AS trial, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS fresh FROM orders WHERE o_orderkey % 2 = 0 OR o_orderstatus = 'F'")
@@ -340,15 +340,6 @@ UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR), {_r('median(c_acctbal)'
     def sim_levered(spark, d):
         return S.simulate(targets(spark, d).withColumn("target", F.col("target") * 1.5), levered=True, spread=0.0001, cost=0.001)
 
-    @query("ridge_walkforward")
-    def ridge_walkforward(spark, d):
-        """All momentum features, all horizons and their scaled and ranked labels, a fit every month."""
-        normal = {n: A.first_of(A.rank(e) - 0.5, 0.0) for n, e in catalogue.family(catalogue.MOMENTUM, B.ROLES).items()}
-        targets_ = {h: {n: e for n, e in P.labels(h, payoff=None).items() if n.startswith(("vol_scaled", "rank"))} for h in P.HORIZONS}
-        outputs = normal | {"is_tradable": A.flag(A.TRADABLE)} | {n: e for t in targets_.values() for n, e in t.items()}
-        rows = A.evaluate(B.brand_panel(spark, d), outputs, keep=("session_idx", "ticker")).withColumn("tradable", F.col("is_tradable") > 0).persist(StorageLevel.MEMORY_AND_DISK)
-        fits = I.fits(I.retrain_schedule(sessions_of(spark, d), 600, 1), P.HORIZONS, None, 252, P.reach)
-        return M.walk_forward(rows, fits, sorted(normal), {h: sorted(t) for h, t in targets_.items()})
-
+    run_queries.register_walkforwards(query, sessions_of)
     G.register(query, B, A, _r, _round)
     run_queries.register(query, trials, TRIALS_SQL, B.BRAND_SQL, _r, _round)

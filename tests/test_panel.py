@@ -202,22 +202,6 @@ def test_ridge_from_sums_is_the_ridge_of_the_rows():
     np.testing.assert_allclose(np.nan_to_num(x - centre) @ w + base, z @ b + y.mean(0), atol=1e-10)
 
 
-def test_walk_forward_fits_each_span(spark):
-    rng = np.random.default_rng(4)
-    rows = pd.DataFrame({"session_idx": np.repeat(np.arange(260), 3), "ticker": list("ABC") * 260, "tradable": rng.random(780) > 0.1, "f": rng.normal(size=780), "g": rng.normal(size=780), "y1": rng.normal(size=780), "y3": rng.normal(size=780)})
-    rows["session_idx"] = rows["session_idx"].astype("int32")
-    spans = [(200, 1, 0, 190), (230, 1, 0, 220), (200, 3, 100, 180), (230, 3, 130, 210)]
-    fits = spark.createDataFrame(spans, "retrain int, h int, train_start int, train_end int")
-    got = M.walk_forward(spark.createDataFrame(rows), fits, ["f", "g"], {1: ["y1"], 3: ["y3"]}).toPandas()
-    assert len(got) == 2 * int((rows["tradable"] & (rows["session_idx"] >= 200)).sum())
-    for retrain, h, a, b in spans:
-        t = rows[rows["tradable"] & (rows["session_idx"] >= a) & (rows["session_idx"] < b)]
-        w, centre, base = M.solve(M.reduce_rows(t[["f", "g"]].to_numpy(), t[[f"y{h}"]].to_numpy()), 1.0)
-        mine = got[(got["retrain"] == retrain) & (got["h"] == h)].merge(rows, on=["session_idx", "ticker"])
-        assert mine["session_idx"].min() == retrain
-        np.testing.assert_allclose(mine["pred"], ((mine[["f", "g"]].to_numpy() - centre) @ w + base)[:, 0], atol=1e-9)
-
-
 def test_drawdown_of_a_book_that_loses_everything(spark):
     nets = {"gone": [0.1, -1.0, 0.5], "below": [0.2, -1.5, 0.1], "plain": [0.1, -0.2, 0.3]}
     rows = [(n, i, r) for n, rs in nets.items() for i, r in enumerate(rs)]
