@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 import numpy as np
@@ -76,16 +75,6 @@ def check_fence(df: DataFrame, fence: str, date: str = "date") -> DataFrame:
     return df
 
 
-def split_and_write(df: DataFrame, path: str, fence: str, date: str = "date") -> dict:
-    """Write the parts before and from the fence; returns the manifest of both (rows, first, last)."""
-    manifest = {}
-    for part, rows in (("dev", df.filter(F.col(date) < F.lit(fence))), ("holdout", df.filter(F.col(date) >= F.lit(fence)))):
-        rows.write.mode("overwrite").parquet(f"{path}/{part}")
-        m = df.sparkSession.read.parquet(f"{path}/{part}").agg(F.count(F.lit(1)), F.min(date), F.max(date)).first()
-        manifest[part] = {"rows": m[0], "first": str(m[1]), "last": str(m[2])}
-    return json.loads(json.dumps(manifest))
-
-
 def upsert_runs(ledger: DataFrame, rows: DataFrame, key: str = "run_id") -> DataFrame:
     """The ledger with all rows of the given runs replaced."""
     return ledger.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.select(ledger.columns))

@@ -6,17 +6,20 @@ walk-forward ridge fits.  What several queries share is made once for an applica
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogue
-from loomspan.functions.keeping import kept
+from loomspan.functions.keeping import folder, kept
 from loomspan.operators import book as K
 from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import grid as GR
 from loomspan.operators import ingest as I
 from loomspan.operators import learners as L
+from loomspan.operators import orchestrator as O
 from loomspan.operators import panel_ops as P
 from loomspan.operators import simulation as S
 from loomspan.operators import stages as G
@@ -28,6 +31,7 @@ FIRST = 300
 HORIZONS = (5, 21)
 BLOCKS = (("1996-01-01", "1997-12-31"), ("1998-01-01", "1999-12-31"), ("2000-01-01", "2001-12-31"))
 DEFENSIVE = ("TLT", "IEF", "GLD", "UUP")
+RUN_WINDOWS = {"expanding": None, "rolling_3y": 756}
 RIDGE = {"name": "ridge", "kind": "ridge", "alpha": 1.0}
 TREES = {
     "name": "trees", "kind": "boosted",
@@ -215,6 +219,50 @@ def register_walkforwards(query, sessions_of) -> None:
         """Boosted trees for two horizons, two labels each, a fit every half year."""
         return momentum(spark, d, TREES, HORIZONS, 6)
 
+    @query("walkforward_run")
+    def walkforward_run(spark, d):
+        """Two ridges and trees x two windows x two horizons as jobs side by side; what an application has made is not made again."""
+        rows = momentum_rows(spark, d)
+        first = O.first_usable(rows)
+        schedule = I.retrain_schedule(sessions_of(spark, d), 600, 12)
+        specs = {m["name"]: m for m in (RIDGE | {"name": "ridge_a01", "alpha": 0.1}, RIDGE | {"name": "ridge_a1"}, TREES | {"params": TREES["params"] | {"num_boost_round": 4}})}
+        targets = {h: [f"vol_scaled_h{h}"] for h in HORIZONS}
+
+        def work(job):
+            fits = I.fits(schedule, (job.h,), RUN_WINDOWS[job.window], first, lambda h: P.reach(h) + 1)
+            return L.walk_forward(rows, fits, sorted(momentum_features()), {job.h: targets[job.h]}, specs[job.model]).drop("h")
+
+        jobs = [O.Job(m, w, h) for m in specs for w in RUN_WINDOWS for h in HORIZONS]
+        where = f"{folder(spark)}/run-{hashlib.sha256(d.encode()).hexdigest()[:12]}"
+        O.check(O.run(spark, jobs, work, where, slow=lambda job: job.model == "trees", say=lambda _: None))
+        return O.predictions(spark, where, jobs).select("model", "window", "h", "retrain", "session_idx", "ticker", "target", "pred")
+
+    windows_sql = " UNION ALL ".join(f"""SELECT '{w}' AS "window", CAST({n if n else 'NULL'} AS INTEGER) AS size""" for w, n in RUN_WINDOWS.items())
+    spans_sql = f"""m AS (SELECT min(session_idx) AS s FROM days GROUP BY date_trunc('month', d)), nth AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS n FROM m),
+first_row AS (SELECT min(session_idx) AS f FROM panel WHERE tradable), w AS ({windows_sql}),
+ends AS (SELECT "window", size, f, CAST(h AS INTEGER) AS h, s AS retrain, s - (1 + greatest(h, 5)) - 1 AS e FROM nth, w, first_row, (SELECT unnest([5, 21]) AS h) hs WHERE n % 3 = 0),
+spans AS (SELECT "window", h, retrain, CASE WHEN size IS NULL THEN f ELSE e - size + 1 END AS a, e AS b FROM ends WHERE CASE WHEN size IS NULL THEN e - f + 1 >= 252 ELSE e - size + 1 >= f END)"""
+
+    def run_spans(spark, d):
+        first = O.first_usable(B.brand_panel(spark, d))
+        schedule = I.retrain_schedule(sessions_of(spark, d), 0, 3)
+        each = [I.fits(schedule, HORIZONS, n, first, lambda h: P.reach(h) + 1).withColumn("window", F.lit(w)) for w, n in RUN_WINDOWS.items()]
+        return each[0].unionByName(each[1])
+
+    @query("walkforward_fit_log", f"""WITH {B.BRAND_SQL}, {spans_sql}
+SELECT "window", h, r.d AS retrain, x.d AS train_start, y.d AS train_end, (SELECT count(*) FROM panel WHERE tradable AND session_idx BETWEEN a AND b) AS "rows"
+FROM spans JOIN days r ON r.session_idx = retrain JOIN days x ON x.session_idx = a JOIN days y ON y.session_idx = b""")
+    def walkforward_fit_log(spark, d):
+        spans = run_spans(spark, d)
+        parts = [O.fit_log(spans.filter(F.col("window") == w), B.brand_panel(spark, d), sessions_of(spark, d)).withColumn("window", F.lit(w)) for w in RUN_WINDOWS]
+        return parts[0].unionByName(parts[1])
+
+    @query("first_full_bins", f"""WITH {B.BRAND_SQL}, {spans_sql}
+SELECT w."window", CAST(hs.h AS INTEGER) AS h, CAST((SELECT min(retrain) + 63 FROM spans WHERE spans."window" = w."window" AND spans.h = hs.h) AS INTEGER) AS session_idx FROM w, (SELECT unnest([5, 21]) AS h) hs""")
+    def first_full_bins(spark, d):
+        asked = sessions_of(spark, d).select(F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(h).alias("h")) for w in RUN_WINDOWS for h in HORIZONS])).alias("x")).select("x.*").distinct()
+        return O.first_full_bins(run_spans(spark, d), asked)
+
     @query("group_walkforward_trees")
     def group_walkforward_trees(spark, d):
         return group_fits(spark, d, TREES, 6)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import catalogue
+from loomspan.functions import catalogue, sql_callable
 from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
@@ -127,10 +127,43 @@ SELECT retrain, h, train_end - 499 AS train_start, train_end, count(*) AS n_rows
         orders = table(spark, d, "orders").select(F.col("o_orderstatus").alias("run_id"), F.col("o_orderkey").alias("trial"))
         return I.upsert_runs(orders.filter("trial % 2 = 0").withColumn("fresh", F.lit(0)), orders.filter("run_id = 'F'").withColumn("fresh", F.lit(1)))
 
-    @query("expanding_pct")
+    past = "SELECT ticker, session_idx, close, list(close) OVER (PARTITION BY ticker ORDER BY session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM panel"
+    share = "(len(list_filter(p, lambda x: x < close)) + 0.5 * len(list_filter(p, lambda x: x = close))) / len(p)"
+    pct_sql = f"{_PANEL}, q AS (SELECT ticker, session_idx, close, list_filter(p, lambda x: x IS NOT NULL) AS p FROM ({past}) q0) SELECT ticker AS key, session_idx, CASE WHEN close IS NOT NULL AND len(p) >= 252 THEN {_r(share, 6)} END AS pct FROM q"
+
+    @query("expanding_pct", pct_sql)
     def expanding_pct(spark, d):
         return I.expanding_pct(B.brand_panel(spark, d).select(F.col("ticker").alias("key"), "session_idx", F.col("close").alias("value"))).select("key", "session_idx", _round("pct", 6).alias("pct"))
 
+    def keyed(spark, d):
+        """The panel's closes as a view for SQL calls."""
+        sql_callable.register(spark)
+        B.brand_panel(spark, d).select(F.col("ticker").alias("key"), "session_idx", F.col("close").alias("value")).createOrReplaceTempView("panel_values")
+
+    @query("sql_expanding_pct", pct_sql)
+    def sql_expanding_pct(spark, d):
+        keyed(spark, d)
+        return spark.sql("SELECT * FROM expanding_pct(TABLE(panel_values) PARTITION BY (key) ORDER BY (session_idx), 252)").select("key", "session_idx", _round("result", 6).alias("pct"))
+
+    @query("sql_rank_past", f"""{_PANEL}, q AS (SELECT ticker, session_idx, close, list_filter(list(close) OVER (PARTITION BY ticker ORDER BY session_idx ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL) AS p FROM panel)
+SELECT ticker AS key, session_idx, CASE WHEN close IS NOT NULL AND len(p) >= 40 THEN {_r(share, 6)} END AS share FROM q""")
+    def sql_rank_past(spark, d):
+        keyed(spark, d)
+        ranked = spark.sql("SELECT key, session_idx, rank_past(value, 40) OVER (PARTITION BY key ORDER BY session_idx ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS share FROM panel_values")
+        return ranked.withColumn("share", _round(F.nanvl("share", F.lit(None).cast("double")), 6))
+
+    # the average one session after another: a missing close ages the weight of what is known
+    @query("sql_ts_ema", f"""WITH RECURSIVE {B.BRAND_SQL}, e AS (
+SELECT ticker, session_idx, close AS mean, CAST(1 AS DOUBLE) AS weight, CASE WHEN close IS NULL THEN 0 ELSE 1 END AS present FROM panel WHERE session_idx = 0
+UNION ALL SELECT p.ticker, p.session_idx,
+  CASE WHEN e.mean IS NULL THEN p.close WHEN p.close IS NULL THEN e.mean ELSE (e.weight * (11 / 13.0::DOUBLE) * e.mean + 2 / 13.0::DOUBLE * p.close) / (e.weight * (11 / 13.0::DOUBLE) + 2 / 13.0::DOUBLE) END,
+  CASE WHEN e.mean IS NULL OR p.close IS NOT NULL THEN 1 ELSE e.weight * (11 / 13.0::DOUBLE) END, e.present + CASE WHEN p.close IS NULL THEN 0 ELSE 1 END
+  FROM e JOIN panel p ON p.ticker = e.ticker AND p.session_idx = e.session_idx + 1)
+SELECT ticker AS key, session_idx, CASE WHEN present >= 12 THEN {_r('mean', 6)} END AS ema FROM e""")
+    def sql_ts_ema(spark, d):
+        keyed(spark, d)
+        return spark.sql("SELECT * FROM ts_ema(TABLE(panel_values) PARTITION BY (key) ORDER BY (session_idx), 12)").select("key", "session_idx", _round("result", 6).alias("ema"))
+
     @query("features_calendar", f"""{_PANEL}, c AS (SELECT d, last_day(d) - CAST(greatest(isodow(last_day(d)) - 5, 0) AS INTEGER) AS e, last_day(d + INTERVAL 1 MONTH) AS l2, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS n FROM days),
 e AS (SELECT d, n, CASE WHEN d > e THEN l2 - CAST(greatest(isodow(l2) - 5, 0) AS INTEGER) ELSE e END AS e FROM c),
 t AS (SELECT d, n, CAST(len(list_filter(range(d + 1, e + 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) AS DOUBLE) AS k FROM e)

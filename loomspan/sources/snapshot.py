@@ -153,12 +153,13 @@ def read_unlock(unlock: dict | None, run_exists) -> dict:
     return dict(unlock)
 
 
-def read(spark: SparkSession, folder: str, name: str, mode: str, fence: str, unlock: dict | None = None) -> DataFrame:
-    """A table of the snapshot: mode dev is checked against the fence, mode full adds the holdout and needs an unlock."""
+def read(spark: SparkSession, folder: str, name: str, mode: str, fence: str, unlock: dict | None = None, runs: str | None = None) -> DataFrame:
+    """A table of the snapshot: mode dev is checked against the fence; mode full adds the holdout, for an unlock that names a run of the folder ``runs`` with trials."""
     if mode not in ("dev", "full"):
         raise SettingsError(f"a mode is dev or full, not {mode}")
+    if mode == "full":  # before any row is read
+        read_unlock(unlock, lambda run: runs is not None and exists(spark, f"{runs}/{run}/trials"))
     dev = spark.read.parquet(f"{folder}/dev/{name}.parquet")
     if mode == "dev":
         return I.check_fence(dev, fence) if "date" in dev.columns else dev
-    read_unlock(unlock, lambda _: True)
     return dev.unionByName(spark.read.parquet(f"{folder}/holdout/{name}.parquet"))

@@ -209,3 +209,27 @@ def test_fits_without_rows_give_nothing(spark):
     fits = spark.createDataFrame([(90, 1, 0, 2)], "retrain int, h int, train_start int, train_end int")
     for spec in ({"name": "r", "kind": "ridge"}, {"name": "t", "kind": "boosted", "params": SMALL}):
         assert L.walk_forward(rows, fits, list("abcd"), {1: ["y"]}, spec).count() == 0
+
+
+# -- SQL calls -----------------------------------------------------------------------------------------------------
+def test_sql_calls_agree_with_frames(spark):
+    from loomspan.functions import sql_callable
+
+    rng = np.random.default_rng(2)
+    rows = [(k, i, None if rng.random() < 0.1 else float(rng.integers(0, 30))) for k in ("x", "y", "z") for i in range(120)] + [("bare", 0, None)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(str(k), int(i), v) for k, i, v in rows], "key string, session_idx int, value double").repartition(5)
+    frame.createOrReplaceTempView("sql_values")
+    sql_callable.register(spark)
+    get = lambda df: {(r[0], r[1]): None if r[2] is None or r[2] != r[2] else round(r[2], 9) for r in df.collect()}
+    pct = spark.sql("SELECT * FROM expanding_pct(TABLE(sql_values) PARTITION BY (key) ORDER BY (session_idx), 30)")
+    assert get(pct) == get(I.expanding_pct(frame, 30))
+    ema = spark.sql("SELECT * FROM ts_ema(TABLE(sql_values) PARTITION BY (key) ORDER BY (session_idx), 12)")
+    want = I.ema_columns(frame.select(frame.key.alias("ticker"), "session_idx", frame.value.alias("close")), (12, 26)).select("ticker", "session_idx", "ema_12")
+    assert get(ema) == get(want)
+    ranked = spark.sql("SELECT key, session_idx, rank_past(value, 5) OVER (PARTITION BY key ORDER BY session_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) FROM sql_values")
+    by = {k: [v for _, _, v in sorted((r for r in rows if r[0] == k), key=lambda r: int(r[1]))] for k in ("x", "y", "z", "bare")}
+    for (k, i), got in get(ranked).items():
+        now, past = by[k][i], [v for v in by[k][max(0, i - 9) : i] if v is not None]
+        share = None if now is None or len(past) < 5 else round((sum(p < now for p in past) + sum(p == now for p in past) / 2) / len(past), 9)
+        assert got == share
