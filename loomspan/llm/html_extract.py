@@ -1,21 +1,26 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 Pass 1 parses each page and hashes the subtree of every container element
-(section, div, list, table, ...), inside and outside the article proper.  Spark
-counts, per host, in how many different pages a subtree occurs (copies of a
+(section, div, list, table, ...), inside and outside the article proper, with its
+text; of containers outside that are mostly links also the shape, without text.
+Spark counts, per host, in how many different pages a subtree occurs (copies of a
 page count once); what recurs in ``MIN_PAGES`` pages is template, however many
 pages the host has.  The host is part of the 64-bit hash, so that no host, however
 large, is one key; the recurring hashes are broadcast if they are few and joined
 to the pages' own hashes if not.
 
-Pass 2 parses again and writes the text of the page without template subtrees,
-without elements that are no article by their nature (menus, footers, asides,
-forms, scripts, ...) or because a whole name in their class, id or role says so
-(ad, sidebar, cookie-notice, comments, ...; "no-sidebar" or "related-work" say
-nothing, and an article proper is never dropped by its name).  If the page has an article or main element,
-only what is inside counts.  Article and main elements, what encloses one, and
-paragraphs that stand in them directly are never template: an article that many
-pages carry is still an article.
+Pass 2 parses again and writes the text of the page without template subtrees
+and without elements that are no article by their nature: menus, footers, asides,
+forms, scripts, what is hidden, or what has such a role.  If the page has an article
+or main element, only what is inside counts.  Article and main elements, what encloses
+one, and paragraphs that stand in them directly are never template: an article that
+many pages carry is still an article.
+
+Adverts, consent bars and reader comments differ from page to page and may stand
+inside the article, so no count finds them: blocks whose class or id begins or ends
+with such a word (ad-slot, user-comments, cookie-bar) go.  Names of page parts (sidebar,
+menu, notice, related, ...) decide only where there is no article element around them: inside an article a menu may
+be a restaurant's.
 
 Parsing follows HTML's rules where they change the text: raw-text elements,
 comments, unclosed paragraphs and list items, tags cut off by the end of the
@@ -50,7 +55,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -62,13 +67,21 @@ _SCOPE = frozenset("article aside body div dl footer form header html main nav o
 _CONTAINER = frozenset("aside center details div dl fieldset figure footer form header menu nav ol section table ul".split())
 _NEVER = frozenset("aside button datalist dialog footer form head input menu nav audio video canvas".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
-# fixed values: whole names (of class or id) under which pages keep what is no article; part of a longer name says nothing
-_NO_ARTICLE = frozenset(
-    "ad ads advert adverts advertisement adsense banner banners cookie cookies cookie-notice cookie-banner cookie-consent consent gdpr notice notices site-notice sidebar sidebars side-bar "
-    "menu main-menu site-menu nav navbar navigation breadcrumb breadcrumbs footer site-footer page-footer site-header page-header masthead toolbar "
-    "comment comments comment-list commentlist comments-area disqus_thread respond replies share sharing share-buttons social-share related related-posts related-articles "
+# fixed values: first or last words of names of blocks that are no article wherever they stand, and words that turn a name round
+_NO_TEXT = frozenset("ad ads advert adverts advertisement advertisements adsense adsbygoogle sponsored promo promos cookie cookies consent gdpr comment comments commentlist disqus".split())
+_TURNED = frozenset("no not without has".split())
+# fixed values: whole names of page parts, outside articles
+_PAGE_PARTS = frozenset(
+    "banner banners notice notices site-notice sidebar sidebars side-bar menu main-menu site-menu nav navbar navigation breadcrumb breadcrumbs footer site-footer page-footer "
+    "site-header page-header masthead toolbar respond replies share sharing share-buttons social-share related related-posts related-articles "
     "newsletter newsletter-signup subscribe subscription popup modal pagination pager skip-link".split()
 )
+_WORD = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_BARRIERS = frozenset(("article", "main", "body", "table"))
+_THROUGH = frozenset(("article", "main", "body", "html", "section", "div"))
+_LINKS = 0.6  # share of its text that makes a container mostly links
 _SPACE = re.compile(r"\s+")
 
 
@@ -78,28 +91,45 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "drop", "inside", "hash", "mark", "links", "size", "heading", "article")
+    __slots__ = ("tag", "drop", "inside", "hash", "shape", "last", "mark", "links", "size", "article")
 
-    def __init__(self, tag: str, drop: bool, inside: bool, mark: int):
+    def __init__(self, tag: str, names: str, drop: bool, inside: bool, mark: int):
         self.tag, self.drop, self.inside, self.mark = tag, drop, inside, mark
         self.hash = xxhash.xxh64(tag.encode())
+        self.shape, self.last = xxhash.xxh64(f"{tag} {names}".encode("utf-8", "replace")), 0
         self.links = self.size = 0
         self.article = False  # is or encloses an article or main element
 
 
-def _dropped(tag: str, attrs: str, inside: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; of a repeated one the first counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(text):
+        out.setdefault(name.lower(), a or b or c)
+    return out
+
+
+def _says_no_text(name: str) -> bool:
+    words = _WORD.findall(_CAMEL.sub("-", name).lower())
+    return bool(words) and (words[0] in _NO_TEXT or words[-1] in _NO_TEXT) and _TURNED.isdisjoint(words)
+
+
+def _dropped(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in _NEVER or tag == "header" and not inside:
         return True
-    if "=" not in attrs:
+    if not attrs:
         return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), a or b or c
-        if name in ("class", "id") and tag not in ("body", "html", "main") and (tag != "article" or inside) and not _NO_ARTICLE.isdisjoint(value.lower().split()):
-            return True
-        if name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "itemprop" and value.lower() == "comment":
+    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(attrs.get("style", "")):
+        return True
+    if attrs.get("role", "").strip().lower() in _ROLES or attrs.get("itemprop", "").lower() == "comment":
+        return True
+    if tag in ("body", "html", "main") or tag == "article" and not inside:
+        return False
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    if tag in _BLOCK or tag == "ins":
+        if any(_says_no_text(n) for n in names):
             return True
+        return not inside and any(n.lower() in _PAGE_PARTS for n in names)
     return False
 
 
@@ -119,11 +149,17 @@ def seed_of(url: str | None) -> int:
 
 
 def parse(page: str, templates: frozenset[int] | set[int] | _Sorted = frozenset(), seed: int = 0) -> tuple[str, list[int]]:
-    """(main text, hashes of the container subtrees, each with the host's seed)."""
+    """(main text, hashes of the container subtrees, each with the host's seed).
+
+    Open elements are found by tag, never by going through all of them, so the time is linear in the page.
+    """
     blocks: list[tuple[str, bool]] = []  # text, inside an article or main element
     held: list[str] = []
     found: list[int] = []
-    stack = [_Element("#", False, False, 0)]
+    stack = [_Element("#", "", False, False, 0)]
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    barriers: list[int] = []
+    scopes: list[int] = []
     seen_article = False
 
     def flush() -> None:
@@ -144,24 +180,54 @@ def parse(page: str, templates: frozenset[int] | set[int] | _Sorted = frozenset(
             if any(e.tag == "a" for e in stack[-3:]):
                 top.links += n
 
+    def recurs(value: int) -> bool:
+        value ^= seed
+        signed = value - (1 << 64) if value >> 63 else value
+        found.append(signed)
+        return signed in templates
+
+    def push(e: _Element) -> None:
+        place = len(stack)
+        stack.append(e)
+        open_at.setdefault(e.tag, []).append(place)
+        if e.tag in _BARRIERS:
+            barriers.append(place)
+        if e.tag in _SCOPE:
+            scopes.append(place)
+
     def close() -> None:
         if stack[-1].tag in _BLOCK:
             flush()
         e = stack.pop()
-        value = e.hash.intdigest()
+        open_at[e.tag].pop()
+        if e.tag in _BARRIERS:
+            barriers.pop()
+        if e.tag in _SCOPE:
+            scopes.pop()
+        value, shape = e.hash.intdigest(), e.shape.intdigest()
         top = stack[-1]
         top.hash.update(b"e" + value.to_bytes(8, "little"))
+        if (e.tag in _BLOCK or e.tag == "a") and shape != top.last:  # one item of a list or ten: the same shape
+            top.last = shape
+            top.shape.update(shape.to_bytes(8, "little"))
         top.size += e.size
         top.links += e.links
         top.article |= e.article
         if e.tag in _CONTAINER and not e.article and e.size:
-            value ^= seed
-            signed = value - (1 << 64) if value >> 63 else value
-            found.append(signed)
+            gone = recurs(value)
+            if not e.inside and e.links >= _LINKS * e.size:
+                gone = recurs(xxhash.xxh64_intdigest(shape.to_bytes(8, "little"))) or gone
             menu = not e.inside and e.tag in ("ul", "ol") and e.links >= 0.9 * e.size
-            if signed in templates or menu:
+            if gone or menu:
                 del blocks[e.mark :]
 
+    def close_to(place: int) -> None:
+        while len(stack) > place:
+            close()
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -172,46 +238,39 @@ def parse(page: str, templates: frozenset[int] | set[int] | _Sorted = frozenset(
             continue
         tag = tag.lower()
         if m.group("end"):
-            if tag == "p" and not any(e.tag == "p" for e in stack):
+            place = last((tag,))
+            if tag == "p" and not place:
                 flush()
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in ("article", "main", "body", "table") and tag not in ("article", "main", "body", "html", "section", "div"):
-                    break
+            elif place and (tag in _THROUGH or not barriers or barriers[-1] <= place):
+                close_to(place)
             continue
         if tag in _CLOSES_P or tag in _SIBLING:
             also = _SIBLING.get(tag, ()) + (("p",) if tag in _CLOSES_P else ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in also:
-                    while len(stack) > k:
-                        close()
-                    if "p" not in also or tag not in _SIBLING:
-                        break
-                elif stack[k].tag in _SCOPE:
-                    break
+            again = True
+            while again:
+                place = last(also)
+                again = place > (scopes[-1] if scopes else 0) and "p" in also and tag in _SIBLING
+                if place > (scopes[-1] if scopes else 0):
+                    close_to(place)
         if tag in _BLOCK:
             flush()
         if tag in _VOID:
             stack[-1].hash.update(tag.encode())
             continue
-        attrs = m.group("attr")
+        raw = m.group("attr")
+        attrs = _attributes(raw) if raw and not raw.isspace() else {}
         top = stack[-1]
         drop = top.drop or _dropped(tag, attrs, top.inside)
-        core = tag in ("article", "main") or 'role="main"' in attrs
+        core = tag in ("article", "main") or attrs.get("role", "").strip().lower() == "main"
         inside = top.inside or (core and not drop)
         seen_article |= inside
-        if attrs.endswith("/") and tag not in _BLOCK:
+        if raw.endswith("/") and tag not in _BLOCK:
             continue
-        stack.append(_Element(tag, drop, inside, len(blocks)))
+        push(_Element(tag, " ".join(sorted(f"{attrs.get('class', '')} {attrs.get('id', '')}".split())), drop, inside, len(blocks)))
         stack[-1].article = core and not drop
     if at < len(page):
         say(page[at:])
-    while len(stack) > 1:
-        close()
+    close_to(1)
     flush()
     return "\n".join(t for t, inside in blocks if inside or not seen_article), found
 

@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat_repair, fill_middle, minhash_dedup, queries
+from loomspan.llm import chat_repair, fill_middle, html_extract, minhash_dedup, queries
 
 BLANK = re.compile("[^\x20\x09-\x0d]+")
 SF = "/root/testdata/sf0.01"
@@ -260,3 +261,52 @@ def test_pruning_keeps_its_promise():
     assert len(minhash_dedup.survivors(one, others(0.3), bounds)) == 0
     assert len(minhash_dedup.survivors(one, others(0.3), bounds[:2])) < 400
     assert bounds[-1][0] == minhash_dedup.BANDS * minhash_dedup.ROWS
+
+
+# -- 6 ---------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="menu"><p>Soup</p></div><section id="related"><p>Related work</p></section><div class="notice">n</div><figure class="banner"><figcaption>f</figcaption></figure><div class="toolbar">t</div></article>', "Soup\nRelated work\nn\nf\nt"),
+        ('<article><p>a</p><div class="ad-slot">x</div><div class="advert-box">x</div><section class="commentsSection">x</section><div id="user-comments">x</div><div class="cookie-bar">x</div><div class="promo">x</div><p>b</p></article>', "a\nb"),
+        ('<article><div data-class="ad">keep me</div><pre><span class="comment"># code</span></pre></article>', "keep me\n# code"),
+        ("out<div role=main>in</div>out", "in"),
+        ('<article><p hidden>h</p><p style="color:red; display: none">h</p><p aria-hidden=true>h</p><p>v</p></article>', "v"),
+        ('<div class="sidebar">s</div><div class="no-ads">body</div><div id=footer>f</div>', "body"),
+        ('<main><p>a<div role="MAIN "><p>b</main><p>c', "a\nb"),
+        ("<article class=ad><p>own</article>", "own"),
+    ],
+)
+def test_what_is_no_article(page, text):
+    assert html_extract.parse(page)[0] == text
+
+
+@pytest.mark.parametrize("page", ["<span>a" * 30000 + "</p>" * 30000, "<p><table>" + "<span>a" * 30000 + "</p>" * 30000, "<div>a" * 30000 + "</div>" * 30000, "<li><span>" * 30000, "<b <i '" * 30000])
+def test_pages_are_parsed_in_linear_time(page):
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 3  # a scan of all open elements for each tag takes minutes
+
+
+def test_link_boxes_that_recur_in_shape_go(spark):
+    """Outside articles a box of links with other texts on each page is found by its shape; prose of one shape stays."""
+    box = lambda i: f'<div class="b{7}"><h4>Read on</h4>' + "".join(f'<p><a href="/{i}/{k}">headline {i} {k} of the day</a></p>' for k in range(2 + i % 3)) + "</div>"
+    page = lambda i: f'<body><div class="c"><p>story {i} is long, with <a href=x>one link</a> in much text</p></div>{box(i)}'
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(9)] + [(50 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} is long, with one link in much text" for i in range(9))
+    assert all("headline" in got[50 + i] for i in range(3))  # too few pages to tell
+
+
+def test_templates_are_what_recurs_by_brute_force(spark):
+    rng = random.Random(9)
+    parts = [f"<div><p>part {k}</p></div>" for k in range(12)]
+    rows = [(i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(rng.choice(parts) for _ in range(3)) + f"<div><p>own {i % 20}</p></div>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    lines = {i: re.findall("<p>(.*?)</p>", h) for i, _, h in rows}
+    on = {}
+    for i, _, _ in rows:
+        for line in set(lines[i]):
+            on.setdefault((i % 3, line), set()).add(tuple(lines[i]))
+    want = {i: "\n".join(x for x in lines[i] if len(on[i % 3, x]) < html_extract.MIN_PAGES) for i, _, _ in rows}
+    assert got == want and any(len(x) >= html_extract.MIN_PAGES for x in on.values())
