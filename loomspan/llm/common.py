@@ -7,9 +7,11 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _USED: set[tuple[str, str]] = set()
 
@@ -31,6 +33,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def aside(docs: DataFrame, *seen: str) -> tuple[DataFrame, Callable[[DataFrame, tuple[str, ...]], DataFrame]]:
+    """(the table with only ``seen`` under their names, a function that gives all others theirs back).
+
+    Whatever an operator names its columns inside, it then meets none of the table's own.  The function takes the result and
+    the names that the operator adds; own columns of these names give way, in the place of the added ones.
+    """
+    others = {c: f"_own{i}" for i, c in enumerate(docs.columns) if c not in seen}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(others.get(c, c)) for c in docs.columns])
+
+    def back(result: DataFrame, added: tuple[str, ...] = ()) -> DataFrame:
+        there = set(result.columns)
+        own = [F.col(f"`{others.get(c, c)}`").alias(c) for c in docs.columns if c not in added and others.get(c, c) in there]
+        return result.select(*own, *[F.col(f"`{c}`") for c in added])
+
+    return renamed, back
+
+
 def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors.
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import hashing as H
-from loomspan.llm.common import materialise
+from loomspan.llm.common import aside, materialise
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -398,7 +398,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     """
     added = [c.split()[0] for c in RESULT.split(", ")]
     state = [c.split()[0] for c in _STATE.split(", ")]
-    kept = [c for c in docs.columns if c not in added and c not in state]
+    docs, back = aside(docs, text)
+    kept = docs.columns
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def shard(blocks: list, began: bool, last: bool):
@@ -443,10 +444,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
             now = materialise(now, "decontaminated")
             _forget(blocks)
         began = True
-    return now
+    return back(now, tuple(added))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without those that hold a benchmark window."""
-    marked = contamination(docs, benchmark, text, window)
-    return marked.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns if c in marked.columns])
+    renamed, back = aside(docs, text)
+    return back(contamination(renamed, benchmark, text, window).filter(~F.col("contaminated")))

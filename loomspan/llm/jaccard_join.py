@@ -517,6 +517,7 @@ def links(docs: DataFrame, by_class: DataFrame, text: str = "text", k: int = SHI
 
 def components(docs: DataFrame, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
     every = materialise(classes(docs, text, k), "documents")
     firsts = by_class(every)
     comps = connected_components(links(docs, firsts, text, k, percent), "links", _EDGES).withColumnRenamed("node", "cls")

@@ -167,7 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """(weights, thresholds), or None without labelled documents."""
     sample = graded(labels, key).orderBy(F.xxhash64(key), key).limit(max_labelled)
     # the sample has at most max_labelled rows of two numbers
-    rows = docs.select(key, text).join(F.broadcast(sample), key).select(text, "grade").mapInArrow(H.released(_features), "x array<int>, grade int")
+    met = docs.select(key, text).join(F.broadcast(sample), key)
+    # rows that share a key count once, by their least text: max_labelled bounds what the fit gets
+    one = met.groupBy(key).agg(F.min(text).alias(text), F.min("grade").alias("grade"))
+    rows = one.select(text, "grade").mapInArrow(H.released(_features), "x array<int>, grade int")
     found = rows.repartition(1).mapInArrow(H.released(_train), "bucket array<int>, weight array<double>, thresholds array<double>").collect()
     if not found:
         return None

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import materialise
+from loomspan.llm.common import aside, materialise
 
 MIN_WORDS = 50
 RISK = 0.10
@@ -77,6 +77,9 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_let(windows, of))
 
 
+_MEASURES = ("word_chars", "n_symbols", "n_capitals", "n_words", "n_repeat_words", "n_lines", "n_dup_lines")
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of the documents but the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -99,10 +102,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         without("[A-Z]+").alias("n_capitals"),
     )
     # a generator is evaluated once for each row; the optimiser copies projections into filters and each other
-    added = ["word_chars", "n_symbols", "n_capitals", "n_words", "n_repeat_words", "n_lines", "n_dup_lines"]
-    own = [c for c in docs.columns if c not in added and c != text]
-    measured = docs.select(*[F.col(f"`{c}`") for c in own], F.inline(F.array(one)))
-    return measured.select(*[F.col(f"`{c}`") for c in own], "n_symbols", "n_capitals", "w.*", "l.*")
+    renamed, back = aside(docs, text)
+    own = [c for c in renamed.columns if c != text]
+    measured = renamed.select(*own, F.inline(F.array(one)))
+    return back(measured.select(*own, "n_symbols", "n_capitals", "w.*", "l.*"), _MEASURES)
 
 
 def base_failed() -> Column:
@@ -158,11 +161,14 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", ri
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The documents with their measures, base_failed and kept."""
-    measured = materialise(measures(docs, text), "measures")  # texts are read and measured once
+    added = (*_MEASURES, "base_failed", "kept")
+    renamed, back = aside(docs.drop(*[c for c in added if c not in (text, stratum, "doc_id")]), "doc_id", text, stratum)
+    measured = materialise(measures(renamed, text), "measures")  # texts are read and measured once
     cuts = thresholds(measured, labels, stratum, risk, level)
     # one row for each stratum: grouped values of one column, a handful; joined as a plain equi-join that Spark sizes itself
     joined = measured.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     rejected = F.lit(False)
     for rule, (over, under, _) in RULES.items():
         rejected = rejected | F.coalesce(_ratio(over, under) > F.col(f"cut_{rule}"), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"cut_{r}" for r in RULES])
+    judged = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"cut_{r}" for r in RULES])
+    return back(judged, added)

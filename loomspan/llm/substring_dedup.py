@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm import hashing as H
-from loomspan.llm.common import materialise
+from loomspan.llm.common import aside, materialise
 
 WINDOW = 13
 _ROWS = "k long, h long, doc_id long, known boolean"
@@ -214,14 +214,14 @@ def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, with_text:
 
     with_text: the text stays, and left_text is what is left of it (null where nothing is removed).
     """
-    added = ["n_words", "n_removed", "kept_sha256", "left_text"]
-    kept = [c for c in docs.columns if c not in added and (with_text or c != text)]
+    added = ("n_words", "n_removed", "kept_sha256", *(("left_text",) if with_text else ()))
+    docs, back = aside(docs, "doc_id", text)
+    kept = [c for c in docs.columns if with_text or c != text]
     found = repeated_windows(docs, text, window)
-    own = [c for c in docs.columns if c not in added and c != "hashes"]
+    own = docs.columns
     joined = docs.select(*own).join(found.hint("merge"), "doc_id", "left").select(*own, "hashes")
-    kept = [c for c in kept if c in own]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["n_words long, n_removed long, kept_sha256 string"]
-    return joined.mapInArrow(H.released(_removed(text, window, kept, with_text)), ", ".join(fields + (["left_text string"] if with_text else [])))
+    return back(joined.mapInArrow(H.released(_removed(text, window, kept, with_text)), ", ".join(fields + (["left_text string"] if with_text else []))), added)
 
 
 def longest_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:

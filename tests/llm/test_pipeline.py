@@ -58,10 +58,33 @@ def test_stages(spark):
 
 def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).filter(F.lit(True)).count() == 0
 
 
+OWN = ["kept", "n_words", "contaminated", "hashes", "left_text", "expected_grade", "_hit", "cls", "component_id", "_own0", "k", "grade", "x y"]
+
+
+def test_stages_give_own_columns_back(spark):
+    """Columns named like those that the stages add or use inside come out as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in OWN])
+    now, plain = more, docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        now, plain = stage(spark, now, SF).cache(), stage(spark, plain, SF).cache()
+        assert now.columns == more.columns, name
+        rows = now.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in OWN), name
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rows) == sorted((r["doc_id"], r["text"], r["n_chars"]) for r in plain.collect()), name
+
+
+def test_stages_take_nulls_and_repeated_rows(spark):
+    rows = [(1, None), (2, ""), (None, "a text without a number"), (3, "word " * 60), (3, "word " * 60), (4, " ".join(f"w{i}" for i in range(400)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() > 0, name
+
+
 def test_no_import_errors_are_swallowed():
     source = open(corpus_pipeline.__file__).read()
     assert not re.search(r"\btry\b", source)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import chat_repair, fill_middle, html_extract, minhash_dedup, queries
+from loomspan.llm import chat_repair, decontaminate, fill_middle, html_extract, jaccard_join, minhash_dedup, quality_classifier, quality_rules, queries, substring_dedup
 
 BLANK = re.compile("[^\x20\x09-\x0d]+")
 SF = "/root/testdata/sf0.01"
@@ -310,3 +310,54 @@ def test_templates_are_what_recurs_by_brute_force(spark):
             on.setdefault((i % 3, line), set()).add(tuple(lines[i]))
     want = {i: "\n".join(x for x in lines[i] if len(on[i % 3, x]) < html_extract.MIN_PAGES) for i, _, _ in rows}
     assert got == want and any(len(x) >= html_extract.MIN_PAGES for x in on.values())
+
+
+# -- columns and repeated rows -----------------------------------------------------------------------------------
+INSIDE = ["w", "l", "cut_symbols", "cut_dup_lines", "_stratum", "_strata", "n", "good", "hashes", "h", "later", "_hit", "_items", "_longest", "cls", "k", "x", "grade", "_own0", "_own1", "t", "q"]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op8", "op13"])
+def test_columns_that_operators_use_inside_do_no_harm(spark, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("int") if name == "op2" else F.col("doc_id"))
+    labels, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("labels", "benchmark"))
+    more = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in INSIDE])
+    run = {
+        "op1": lambda d: decontaminate.contamination(d, benchmark), "op2": jaccard_join.components, "op3": lambda d: quality_rules.judge(d, labels),
+        "op4": lambda d: quality_classifier.classify(d, labels), "op8": substring_dedup.dedup, "op13": minhash_dedup.near_duplicates,
+    }[name]
+    plain, got = run(docs), run(more)
+    same = [c for c in plain.columns if c not in INSIDE]
+    assert sorted(map(str, got.select(*same).collect())) == sorted(map(str, plain.collect()))
+    own = [c for c in INSIDE if c in got.columns]
+    assert own == ([] if name in ("op2", "op13") else INSIDE)  # those two return columns of their own only
+    assert all(r[c] == f"{c}:{r['doc_id']}" for r in got.select("doc_id", *own).collect() for c in own)
+
+
+def test_repeated_rows_do_not_break_the_bound_of_the_fit(spark, monkeypatch):
+    real = quality_classifier.H.released
+    docs = spark.createDataFrame([(i, f"text {i} of some words") for i in range(6)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+
+    def counted(task):
+        if task is quality_classifier._train:
+            def of(batches):
+                batches = list(batches)
+                yield pa.RecordBatch.from_arrays([pa.array([[sum(b.num_rows for b in batches)]], pa.list_(pa.int32())), pa.array([[1.0]], pa.list_(pa.float64())), pa.array([[0.0, 1.0]], pa.list_(pa.float64()))], names=["bucket", "weight", "thresholds"])
+
+            return real(of)
+        return real(task)
+
+    monkeypatch.setattr(quality_classifier.H, "released", counted)
+    weights, _ = quality_classifier.train(docs, labels, max_labelled=2)
+    seen = np.flatnonzero(weights).tolist()
+    assert seen == [2]
+
+
+def test_rules_without_rows_or_labels(spark):
+    docs = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "word " * 60, "en")], "doc_id long, text string, lang string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(None, None, None), (3, None, 1)], "doc_id long, quality int, toxic int")
+    for labels in (none, odd):
+        got = {r["doc_id"]: (r["n_words"], r["base_failed"], r["kept"]) for r in quality_rules.judge(docs, labels).collect()}
+        assert got == {1: (0, True, False), 2: (0, True, False), 3: (60, True, False)}
+    assert quality_rules.judge(docs.limit(0), none).count() == 0
