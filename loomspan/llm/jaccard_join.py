@@ -45,6 +45,7 @@ own text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +62,8 @@ PERCENT = 75
 _SPARE = 12  # per cent of a set that is looked at beyond the shortest prefix
 _TASK = 2_000  # classes that one task holds at a time
 _SET = 1_000  # shingles of a class, for sizing tasks
-_PIVOTS = 8
-_LEAF = 32  # members of a cell that is not cut
+_PIVOTS = 8  # of a cell at most; a small one has the root of its classes
+_LEAF = 4  # members of a cell that is not cut
 _COUNTERS = 1 << 20
 _BLOCK = 1 << 12  # counters of a row that the driver gets
 _SALTS = 8
@@ -281,7 +282,8 @@ def _join(sets: _Sets, percent: int, asked: np.ndarray, comp: np.ndarray, all_as
             continue
         if log is not None:
             log.append((depth, len(asked), len(members)))
-        if whole or len(asked) <= _PIVOTS or len(members) <= _LEAF:  # each asked class is a pivot
+        many = min(_PIVOTS, math.isqrt(len(asked)))
+        if whole or len(asked) <= many or len(members) <= _LEAF:  # each asked class is a pivot
             index = _Index(sets, members)
             for x in asked.tolist():
                 if (comp[members] != comp[x]).any():
@@ -292,7 +294,7 @@ def _join(sets: _Sets, percent: int, asked: np.ndarray, comp: np.ndarray, all_as
         index = _Index(sets, both)
         place = np.searchsorted(both, members)
         far = np.empty((0, len(both)))
-        while len(asked) and len(far) < _PIVOTS:
+        while len(asked) and len(far) < many:
             # the next pivot is an asked class as far from the others as can be
             x = int(asked[far[:, np.searchsorted(both, asked)].min(axis=0).argmax()]) if len(far) else int(asked[0])
             common = index.shared(sets.of(x))

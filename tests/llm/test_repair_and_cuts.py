@@ -361,3 +361,45 @@ def test_rules_without_rows_or_labels(spark):
         got = {r["doc_id"]: (r["n_words"], r["base_failed"], r["kept"]) for r in quality_rules.judge(docs, labels).collect()}
         assert got == {1: (0, True, False), 2: (0, True, False), 3: (60, True, False)}
     assert quality_rules.judge(docs.limit(0), none).count() == 0
+
+
+# -- 2 ---------------------------------------------------------------------------------------------------------
+def test_regions_of_real_documents_are_cut_into_cells(spark, monkeypatch):
+    """At sf0.1 most regions are pairs of classes, which one pivot joins; the larger ones are cut, and no link is lost."""
+    held, real = {}, jaccard_join.materialise
+
+    def noted(df, label, *by):
+        held[label] = real(df, label, *by)
+        return held[label]
+
+    monkeypatch.setattr(jaccard_join, "materialise", noted)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    jaccard_join.links(docs, jaccard_join.by_class(jaccard_join.classes(docs)))
+    rows = held["members"].select("root", "cls", "text").orderBy("root").toArrow()
+    depths, compared, pairs = {}, 0, 0
+    for _, table, at, hashes in jaccard_join._groups(iter(rows.to_batches()), ["root"], 5):
+        n, log = len(table), []
+        sets = jaccard_join._Sets(at, hashes, n)
+        edges = jaccard_join._join(sets, 75, np.arange(n), np.arange(n), True, log)
+        every = [(x, y) for x in range(n) for y in range(x) if 100 * (c := len(np.intersect1d(sets.of(x), sets.of(y)))) >= 75 * (sets.size[x] + sets.size[y] - c)]
+        comp = lambda e, n=n: jaccard_join_components(e, n)
+        assert comp(edges) == comp(every)
+        for depth, _, _ in log:
+            depths[depth] = depths.get(depth, 0) + 1
+        pairs += n * (n - 1) // 2
+        compared += n > 4
+    assert pairs > 0 and compared > 0 and max(depths) >= 1 and depths[1] > 0
+
+
+def jaccard_join_components(edges, n):
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
