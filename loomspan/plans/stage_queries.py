@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import catalogue, sql_callable
+from loomspan.functions.keeping import folder
 from loomspan.operators import controls as C
 from loomspan.operators import evaluation as E
 from loomspan.operators import ingest as I
@@ -17,6 +20,7 @@ from loomspan.plans import algebra as A
 from loomspan.plans import run_queries
 from loomspan.sources import brand_panel as B
 from loomspan.sources import global_series as GS
+from loomspan.sources import panel_store as PS
 
 HORIZON = 5
 _PANEL = "WITH " + B.BRAND_SQL
@@ -164,6 +168,15 @@ SELECT ticker AS key, session_idx, CASE WHEN present >= 12 THEN {_r('mean', 6)}
         keyed(spark, d)
         return spark.sql("SELECT * FROM ts_ema(TABLE(panel_values) PARTITION BY (key) ORDER BY (session_idx), 12)").select("key", "session_idx", _round("result", 6).alias("ema"))
 
+    kept_windows = {"mean_63": A.mean(A.col("close"), 63), "high_21": A.high_of(A.col("close"), 21), "lag_5": A.lag(A.col("close"), 5)}
+
+    @query("stored_panel", A.to_sql(B.BRAND_SQL, kept_windows, digits=4))
+    def stored_panel(spark, d):
+        """Windows over the panel as a bucketed table: no shuffle, no sort."""
+        name = f"panel_{hashlib.sha256(d.encode()).hexdigest()[:12]}"
+        held = PS.stored(spark, name) if spark.catalog.tableExists(name) else PS.store(B.brand_panel(spark, d), name, f"{folder(spark)}/tables/{name}")
+        return A.evaluate(held, kept_windows, digits=4)
+
     @query("features_calendar", f"""{_PANEL}, c AS (SELECT d, last_day(d) - CAST(greatest(isodow(last_day(d)) - 5, 0) AS INTEGER) AS e, last_day(d + INTERVAL 1 MONTH) AS l2, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS n FROM days),
 e AS (SELECT d, n, CASE WHEN d > e THEN l2 - CAST(greatest(isodow(l2) - 5, 0) AS INTEGER) ELSE e END AS e FROM c),
 t AS (SELECT d, n, CAST(len(list_filter(range(d + 1, e + 1, INTERVAL 1 DAY), lambda x: isodow(x) < 6)) AS DOUBLE) AS k FROM e)

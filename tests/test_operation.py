@@ -9,10 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions.settings import SettingsError, migrated
+from loomspan.operators import artefacts as AR
 from loomspan.operators import holdout as H
 from loomspan.operators import ingest as I
 from loomspan.operators import orchestrator as O
 from loomspan.operators import runs as R
+from loomspan.plans import algebra as A
+from loomspan.sources import panel_store as PS
 from loomspan.sources.shared_files import Files
 
 JOBS = [O.Job(m, w, h) for m in ("a", "b") for w in ("expanding", "rolling") for h in (1, 5)]
@@ -230,3 +233,70 @@ def test_fingerprint_of_a_manifest_is_its_content(spark, tmp_path):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{tmp_path}/{name}/MANIFEST.json")
     a, b, c = (R.fingerprint(spark, f"{tmp_path}/{n}") for n in "abc")
     assert a == b != c
+
+
+# -- panel store ---------------------------------------------------------------------------------------------------
+def snapshot(spark, root, late_yield=False, late_member=False):
+    days = [d.date() for d in pd.bdate_range("2019-01-01", periods=300)]
+    bars = [(d, t, 1.0, 2.0, 0.5, 1.0 + i / 100, 10.0, 5.0, t == "B" and i == 299) for i, d in enumerate(days) for t in ("A", "B") if not (t == "A" and i == 7)]
+    tables = {
+        "bars": (bars, "date date, ticker string, open double, high double, low double, close double, volume double, adv double, non_tradeable boolean"),
+        "market": ([(days[0], "X", 1.0), (dt.date(2018, 1, 1), "X", 2.0)], "date date, instrument string, value double"),
+        "treasury": ([(days[0], dt.date(2021, 1, 1) if late_yield else days[1], 0.5, "1_year")], "date date, available_at_date date, value double, tenor string"),
+        "index_closes": ([(days[0], "VIX", 9.0)], "date date, series string, value double"),
+        "stock_returns": ([(days[0], "u", 0.1)], "date date, instrument_uid string, ret double"),
+        "stock_members": ([(2021 if late_member else 2019, "u", 1)], "effective_year int, instrument_uid string, size_rank int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{root}/dev/{name}.parquet")
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{root}/holdout/{name}.parquet")
+    spark.createDataFrame([("A", "g1"), ("B", "g2"), ("C", "g1")], "ticker string, block_name string").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{root}/tickers.csv")
+    return days
+
+
+def test_panel_of_a_snapshot(spark, tmp_path):
+    root = str(tmp_path / "s")
+    days = snapshot(spark, root)
+    t = PS.load(spark, root, "dev", "2020-12-31")
+    rows = {(r["session_idx"], r["ticker"]): r for r in t.panel.collect()}
+    assert len(rows) == 900 and rows[7, "A"]["close"] is None and not rows[7, "A"]["tradable"] and rows[7, "A"]["date"] == days[7]
+    # A lacks a bar, so its 252nd close is one session later; C has none at all
+    assert min(s for (s, k), r in rows.items() if r["tradable"] and k == "A") == 252 and min(s for (s, k), r in rows.items() if r["tradable"] and k == "B") == 251
+    assert not rows[299, "B"]["tradable"] and not any(r["tradable"] for (_, k), r in rows.items() if k == "C") and rows[0, "C"]["asset_group"] == "g1"
+    assert t.market.count() == 1 and {r["value"] for r in t.yields.collect()} == {None, 0.5}
+    with pytest.raises(I.FenceError):
+        PS.load(spark, root, "full", "2020-12-31", UNLOCK, str(tmp_path / "runs"))
+    with pytest.raises(I.FenceError):
+        PS.load(spark, root, "dev", "2020-01-01")
+    snapshot(spark, root, late_yield=True)
+    with pytest.raises(I.FenceError):
+        PS.load(spark, root, "dev", "2020-12-31")
+    snapshot(spark, root, late_member=True)
+    with pytest.raises(I.FenceError, match="members"):
+        PS.load(spark, root, "dev", "2020-12-31")
+
+
+def test_windows_over_a_stored_panel_neither_shuffle_nor_sort(spark, tmp_path):
+    panel = spark.range(4000).select((F.col("id") % 500).cast("int").alias("session_idx"), F.to_date(F.lit("2020-01-01")).alias("date"), F.concat(F.lit("T"), (F.col("id") / 500).cast("int")).alias("ticker"), F.lit("g").alias("asset_group"), (F.col("id") % 97).cast("double").alias("close"), F.lit(True).alias("tradable"))
+    held = PS.store(panel, "kept_panel", str(tmp_path / "t"), 4)
+    outputs = {"m": A.mean(A.col("close"), 21), "l": A.lag(A.col("close"), 3), "z": A.zscore(A.col("close"), 63)}
+    got = A.evaluate(held, outputs, keep=("session_idx", "ticker"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan and "Sort" not in plan
+    want = A.evaluate(panel, outputs, keep=("session_idx", "ticker"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    stats = spark.sql("DESCRIBE EXTENDED kept_panel close").collect()
+    assert {r[0]: r[1] for r in stats}["max"] == "96.0"
+    PS.store(panel.limit(10), "kept_panel", str(tmp_path / "t"), 2)
+    assert PS.stored(spark, "kept_panel").count() == 10
+
+
+def test_saved_features_and_labels_are_pruned(spark, tmp_path):
+    features = spark.range(10).select(F.col("id").cast("int").alias("session_idx"), F.current_date().alias("date"), F.lit("A").alias("ticker"), F.rand(1).alias("f"), F.rand(2).alias("g"))
+    AR.save_features(features, str(tmp_path), "t")
+    some = AR.load_features(spark, str(tmp_path), "t", ("g",))
+    assert "ReadSchema: struct<session_idx:int,date:date,ticker:string,g:double>" in some._jdf.queryExecution().executedPlan().toString()
+    labels = spark.range(12).select(F.when(F.col("id") % 2 == 0, "rank").otherwise("bin").alias("variant"), (F.col("id") % 3).cast("int").alias("h"), F.col("id").cast("int").alias("session_idx"), F.lit("A").alias("ticker"), F.rand(1).alias("label"))
+    AR.save_labels(labels, str(tmp_path), "t")
+    one = AR.load_labels(spark, str(tmp_path), "t", 2, "rank")
+    assert one.count() == 2 and "PartitionFilters: [isnotnull(h" in one._jdf.queryExecution().executedPlan().toString()
