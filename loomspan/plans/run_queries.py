@@ -7,6 +7,7 @@ walk-forward ridge fits.  What several queries share is made once for an applica
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from loomspan.operators import learners as L
 from loomspan.operators import orchestrator as O
 from loomspan.operators import panel_ops as P
 from loomspan.operators import simulation as S
+from loomspan.operators import stage_outputs as SO
 from loomspan.operators import stages as G
+from loomspan.operators import state as ST
 from loomspan.plans import algebra as A
 from loomspan.sources import brand_panel as B
 from loomspan.sources import global_series as GS
@@ -111,6 +114,7 @@ def group_preds(spark, d) -> DataFrame:
 
 
 ENVIRONMENT_HORIZONS = (3, 5, 10, 21)
+ENVIRONMENT = ("env_ret", "env_dd", "env_vol", "env_corr")
 
 
 def environment_features(spark, d) -> list[str]:
@@ -120,13 +124,14 @@ def environment_features(spark, d) -> list[str]:
 
 @kept
 def environment_rows(spark, d) -> DataFrame:
-    """session_idx, ticker, asked, share (of the features that are there), market and calendar features and the basket's targets."""
+    """session_idx, ticker, asked, share (of the features that are there), market and calendar features and the basket's targets and their latest known values."""
     macro = catalogue.family(catalogue.MACRO, B.ROLES)
     daily = G.basket(G.eligible(B.ROLES["SHY"]), P.next_open_return())
-    outputs = macro | {n: e for h in ENVIRONMENT_HORIZONS for n, e in G.environment_targets(daily, h).items()}
+    outputs = macro | {n: e for h in ENVIRONMENT_HORIZONS for of in (G.environment_targets, G.persistence) for n, e in of(daily, h).items()}
     panel = GS.with_globals(B.brand_panel(spark, d), GS.daily(spark, d))
     rows = A.evaluate(panel, outputs, keep=("session_idx", "date", "ticker")).filter(F.col("ticker") == B.ROLES["SPY"])
-    joined = rows.join(I.calendar_features(sessions(spark, d).select("date")), "date")
+    pairs = ST.environment_correlation(A.evaluate(B.brand_panel(spark, d), {"ret": A.where(G.eligible(B.ROLES["SHY"]), P.next_open_return())}, keep=("session_idx", "ticker")), ENVIRONMENT_HORIZONS)
+    joined = rows.join(I.calendar_features(sessions(spark, d).select("date")), "date").join(pairs, "session_idx", "left")
     features = environment_features(spark, d)
     there = sum((F.col(f).isNotNull().cast("int") for f in features[1:]), F.col(features[0]).isNotNull().cast("int"))
     return joined.withColumns({"share": there / len(features), "asked": F.lit(True)}).drop("date")
@@ -141,10 +146,10 @@ def environment_fits(spark, d, spec: dict, months: int = 1) -> DataFrame:
     rows = environment_rows(spark, d)
     fits = I.fits(I.retrain_schedule(sessions(spark, d), FIRST, months), ENVIRONMENT_HORIZONS, None, 0, lambda h: 1 + max(h, 10) + 1, history=1)
     parts = []
-    for measure in ("env_ret", "env_dd", "env_vol"):  # each target is fitted on the sessions that have it
+    for measure in ENVIRONMENT:  # each target is fitted on the sessions that have it
         targets = {h: [f"{measure}_h{h}"] for h in ENVIRONMENT_HORIZONS}
         parts.append(L.walk_forward(rows.withColumn("trains", F.col("share") > 0.5), fits, environment_features(spark, d), targets, spec, least=100, trains="trains", asked="asked"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("h", "session_idx", "target", "pred")
+    return reduce(DataFrame.unionByName, parts).select("h", "session_idx", "target", "pred")
 
 
 @kept
@@ -237,6 +242,28 @@ def register_walkforwards(query, sessions_of) -> None:
         O.check(O.run(spark, jobs, work, where, slow=lambda job: job.model == "trees", say=lambda _: None))
         return O.predictions(spark, where, jobs).select("model", "window", "h", "retrain", "session_idx", "ticker", "target", "pred")
 
+    @query("groups_stage")
+    def groups_stage(spark, d):
+        """The groups stage as it is written and read back: scores of groups as predictions of their members."""
+        where = f"{folder(spark)}/stages-{hashlib.sha256(d.encode()).hexdigest()[:12]}/groups"
+        ok = cells(spark, d).select("session_idx", "ticker", "eligible")
+        settings = {"groups": {"purge_extra_sessions": 2}, "evaluation": {"first": FIRST}}
+        SO.groups(where, group_members(spark, d), group_rows(spark, d), group_preds(spark, d), ok, "vol_scaled", ["vol_scaled", "rank"], settings, settings)
+        return spark.read.parquet(f"{where}/etf_scores")
+
+    @query("environment_stage")
+    def environment_stage(spark, d):
+        """The environment stage as it is written and read back: how well each target is forecast, by the fits and by its latest known value."""
+        where = f"{folder(spark)}/stages-{hashlib.sha256(d.encode()).hexdigest()[:12]}/environment"
+        rows = environment_rows(spark, d)
+        cases = [(m, h) for m in ENVIRONMENT for h in ENVIRONMENT_HORIZONS]
+        long = lambda prefix, value: rows.select("session_idx", F.explode(F.array(*[F.struct(F.lit(m).alias("target"), F.lit(h).alias("h"), F.col(f"{m.replace('env', prefix, 1)}_h{h}").alias(value)) for m, h in cases])).alias("x")).select("session_idx", "x.*")
+        preds = environment_preds(spark, d).select(F.substring_index("target", "_h", 1).alias("target"), "h", F.lit("ridge").alias("model"), "session_idx", "pred")
+        basket = rows.select("session_idx", F.col("env_ret_h3").alias("ret_h3"))
+        settings = {"environment": {"purge_extra_sessions": 1}, "evaluation": {"first": FIRST}}
+        SO.environment(where, basket, long("env", "y"), long("past", "pred"), preds, stress(spark, d), lambda h: 1 + max(h, 10), FIRST, 1 << 30, settings, settings)
+        return spark.read.parquet(f"{where}/predictability")
+
     windows_sql = " UNION ALL ".join(f"""SELECT '{w}' AS "window", CAST({n if n else 'NULL'} AS INTEGER) AS size""" for w, n in RUN_WINDOWS.items())
     spans_sql = f"""m AS (SELECT min(session_idx) AS s FROM days GROUP BY date_trunc('month', d)), nth AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS n FROM m),
 first_row AS (SELECT min(session_idx) AS f FROM panel WHERE tradable), w AS ({windows_sql}),

@@ -244,9 +244,18 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
         base = ST.state_series(r, 90, 10, "stock").join(ST.state_series(r, 250, 10, "stock"), "session_idx", "left")
         return ST.tercile(ST.derived_state(base, "stock", 90, 250), "stock_eff_n_90")
 
-    @query("env_correlation")
+    # pairs of tickers whose returns are complete over the window, correlated in every window; six complete tickers at least
+    corr_windows = {3: 10, 5: 10, 10: 10, 21: 21}
+    trailing = ", ".join(f"""t{m} AS (SELECT session_idx, CASE WHEN n >= 6 THEN c END AS c FROM (SELECT session_idx, avg(c) AS c FROM (SELECT x.session_idx, x.n AS nx, y.n AS ny, corr(x.ret, y.ret) OVER (PARTITION BY x.ticker, y.ticker ORDER BY x.session_idx ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW) AS c
+  FROM k{m} x JOIN k{m} y ON x.session_idx = y.session_idx AND x.ticker < y.ticker) p WHERE nx = {m} AND ny = {m} GROUP BY 1) a JOIN (SELECT session_idx, count(*) AS n FROM k{m} WHERE n = {m} GROUP BY 1) b USING (session_idx))""" for m in (10, 21))
+    known = ", ".join(f"k{m} AS (SELECT session_idx, ticker, ret, count(ret) OVER (PARTITION BY ticker ORDER BY session_idx ROWS BETWEEN {m - 1} PRECEDING AND CURRENT ROW) AS n FROM rets)" for m in (10, 21))
+    shown = ", ".join(f"{_r(f'(SELECT c FROM t{m} WHERE t{m}.session_idx = s.session_idx + {m - 1} AND s.session_idx < last - {m})', 6)} AS env_corr_h{h}, {_r(f'(SELECT c FROM t{m} WHERE t{m}.session_idx = s.session_idx - 2 AND s.session_idx >= {m + 2})', 6)} AS past_corr_h{h}" for h, m in corr_windows.items())
+
+    @query("env_correlation", f"""WITH rets AS ({A.to_sql(B.BRAND_SQL, {"ret": P.next_open_return()}, keep=("session_idx", "ticker"))}), {known}, {trailing},
+s AS (SELECT DISTINCT session_idx, max(session_idx) OVER () AS last FROM rets) SELECT session_idx, {shown} FROM s""")
     def env_correlation(spark, d):
-        return ST.environment_correlation(A.evaluate(B.brand_panel(spark, d), {"ret": P.next_open_return()}, keep=("session_idx", "ticker")))
+        found = ST.environment_correlation(A.evaluate(B.brand_panel(spark, d), {"ret": P.next_open_return()}, keep=("session_idx", "ticker")))
+        return found.select("session_idx", *[_round(c, 6).alias(c) for c in found.columns if c != "session_idx"])
 
     # -- benchmarks and controls -----------------------------------------------------------------------------------
     @query("fixed_benchmarks")
@@ -260,13 +269,18 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
         panel = rows.select("session_idx", "ticker", (F.col("ok") > 0).alias("tradable"), F.col("r").alias("r_next"), F.lit(0.0001).alias("cash_next"))
         return C.random_books(panel, 300, cost=0.001).groupBy("trial", "draw").agg(F.count("net").alias("n"), F.avg("net").alias("mean"), F.stddev_samp("net").alias("sd"))
 
-    @query("group_map")
+    split_sql = " ".join(f"WHEN role IN ({', '.join(repr(r) for r in rs)}) THEN 'eq_{n}'" for n, rs in C.EQUITY_SPLIT.items())
+    roles_sql = "[" + ", ".join(repr(r) for rs in C.EQUITY_SPLIT.values() for r in rs) + "]"
+    # the maker's digit stands for the block, the brand's own number for the role
+    @query("group_map", f"""WITH b AS (SELECT DISTINCT p_brand AS ticker, substring(p_brand, 7, 1) AS maker, {roles_sql}[CAST(CAST(substring(p_brand, 7) AS INTEGER) % len({roles_sql}) AS INTEGER) + 1] AS role FROM part),
+g AS (SELECT ticker, CASE WHEN maker < '4' THEN CASE {split_sql} END ELSE 'block_' || maker END AS "group" FROM b)
+SELECT ticker, "group", CAST(dense_rank() OVER (ORDER BY "group") - 1 AS INTEGER) AS group_idx FROM g""")
     def group_map(spark, d):
         roles = F.array(*[F.lit(r) for rs in C.EQUITY_SPLIT.values() for r in rs])
         parts = table(spark, d, "part").select(F.col("p_brand").alias("ticker")).distinct()
         maker = F.substring("ticker", 7, 1)
         block = F.when(maker < "4", "equity").otherwise(F.concat(F.lit("block_"), maker))
-        return C.group_map(parts.select("ticker", block.alias("block_name"), F.element_at(roles, F.pmod(F.crc32("ticker"), F.size(roles)).cast("int") + 1).alias("role")))
+        return C.group_map(parts.select("ticker", block.alias("block_name"), F.element_at(roles, (F.substring("ticker", 7, 9).cast("int") % F.size(roles)) + 1).alias("role")))
 
     def scores(spark, d):
         return A.evaluate(B.brand_panel(spark, d), {"score": A.where(A.TRADABLE, _score())}, keep=("session_idx", "ticker"))
@@ -282,17 +296,25 @@ SELECT d AS date, CAST(isodow(d) - 1 AS DOUBLE) AS day_of_week, {_r('sin(month(d
             out = out.unionByName(rows.withColumn("case", F.lit(name)))
         return out.join(C.random_stress(mask, 0).withColumnRenamed("stress", "random_stress"), "session_idx")
 
+    judged = {"p": _score(), "y": P.labels(HORIZON, payoff=None)[f"vol_scaled_h{HORIZON}"]}
+    judged_sql = f"j AS ({A.to_sql(B.BRAND_SQL, judged, keep=('session_idx', 'ticker'))})"
+
     def forecasts(spark, d):
-        outputs = {"p": _score(), "y": P.labels(HORIZON, payoff=None)[f"vol_scaled_h{HORIZON}"]}
-        return A.evaluate(B.brand_panel(spark, d), outputs, keep=("session_idx", "ticker")).withColumnRenamed("ticker", "key")
+        return A.evaluate(B.brand_panel(spark, d), judged, keep=("session_idx", "ticker")).withColumnRenamed("ticker", "key")
+
+    place = lambda c: f"rank() OVER (PARTITION BY ticker ORDER BY {c}) + (count(*) OVER (PARTITION BY ticker, {c}) - 1) / 2.0"
 
-    @query("spearman")
+    @query("spearman", f"""WITH {judged_sql}, k AS (SELECT ticker, {place('p')} AS a, {place('y')} AS b FROM j WHERE p IS NOT NULL AND y IS NOT NULL),
+g AS (SELECT ticker, count(*) AS n, CASE WHEN count(*) >= 100 THEN corr(a, b) END AS c FROM k GROUP BY 1)
+SELECT ticker AS key, n, {_r('c')} AS spearman, {_r(f'c * sqrt(n / {HORIZON}.0)', 3)} AS t FROM g""")
     def spearman(spark, d):
-        return E.spearman(forecasts(spark, d), HORIZON)
+        return E.spearman(forecasts(spark, d), HORIZON).select("key", "n", _round("spearman").alias("spearman"), _round("t", 3).alias("t"))
 
-    @query("oos_r2")
+    @query("oos_r2", f"""WITH {judged_sql}, b AS (SELECT ticker, p, y, CASE WHEN count(y) OVER w >= 252 THEN avg(y) OVER w END AS base FROM j
+  WINDOW w AS (PARTITION BY ticker ORDER BY session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND {P.reach(HORIZON) + 1} PRECEDING))
+SELECT ticker AS key, count(*) AS n, {_r('CASE WHEN count(*) >= 100 THEN 1 - sum((y - p) * (y - p)) / sum((y - base) * (y - base)) END')} AS oos_r2 FROM b WHERE p IS NOT NULL AND y IS NOT NULL AND base IS NOT NULL GROUP BY 1""")
     def oos_r2(spark, d):
-        return E.oos_r2(forecasts(spark, d), P.reach(HORIZON), 252)
+        return E.oos_r2(forecasts(spark, d), P.reach(HORIZON), 252).select("key", "n", _round("oos_r2").alias("oos_r2"))
 
     # -- evaluation ------------------------------------------------------------------------------------------------
     def net(sql: str) -> str:

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import threading
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from loomspan.operators import holdout as H
 from loomspan.operators import ingest as I
 from loomspan.operators import orchestrator as O
 from loomspan.operators import runs as R
+from loomspan.operators import stage_outputs as SO
 from loomspan.plans import algebra as A
 from loomspan.sources import panel_store as PS
 from loomspan.sources.shared_files import Files
@@ -300,3 +302,54 @@ def test_saved_features_and_labels_are_pruned(spark, tmp_path):
     AR.save_labels(labels, str(tmp_path), "t")
     one = AR.load_labels(spark, str(tmp_path), "t", 2, "rank")
     assert one.count() == 2 and "PartitionFilters: [isnotnull(h" in one._jdf.queryExecution().executedPlan().toString()
+
+
+# -- outputs of stages ---------------------------------------------------------------------------------------------
+def test_groups_stage_gives_members_their_groups_scores(spark, tmp_path):
+    preds = spark.createDataFrame([("m", "w", h, s, g, float((h + s + ord(g)) % 5)) for h in (1, 5) for s in range(4) for g in "xyz"], "model string, window string, h int, session_idx int, group string, pred double")
+    members = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", "z"), ("D", None)], "ticker string, group string")
+    ok = spark.createDataFrame([(s, t, t != "C" or s > 0) for s in range(4) for t in "ABCD"], "session_idx int, ticker string, eligible boolean")
+    folder, run = str(tmp_path / "run" / "groups"), {"labels": {"variants": ["rank"]}}
+    with pytest.raises(SettingsError, match="no label variant"):
+        SO.groups(folder, members, preds, preds, ok, "bin20", ["rank"], {}, run)
+    SO.groups(folder, members, preds, preds, ok, "rank", ["rank"], {"groups": {"k": 1}, "evaluation": {}}, run)
+    etf = spark.read.parquet(f"{folder}/etf_scores").toPandas()
+    assert set(etf["model"]) == {"grp_ens", "grp_ens_all_h"} and set(etf["h"]) == {1, 5} and set(etf["variant"]) == {"rank"} and "D" not in set(etf["ticker"])
+    one = etf[(etf["model"] == "grp_ens") & (etf["h"] == 1) & (etf["session_idx"] == 2)].set_index("ticker")["pred"].to_dict()
+    raw = {t: (1 + 2 + ord(g)) % 5 for t, g in (("A", "x"), ("B", "y"), ("C", "z"))}
+    assert one == {t: sum(v < raw[t] for v in raw.values()) / 2 for t in raw}
+    every = etf[etf["model"] == "grp_ens_all_h"].groupby(["session_idx", "ticker"])["pred"].nunique()
+    assert (every == 1).all() and len(etf[(etf["session_idx"] == 0) & (etf["ticker"] == "C")]) == 0
+    assert spark.read.parquet(f"{folder}/scores").filter("h is null").count() == 12 and "run_settings_hash" in Files(spark).text(f"{folder}/settings.yaml")
+
+
+def test_environment_stage_judges_models_and_persistence(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=700)
+    rows = [("env_ret", h, s, float(y[s])) for h in (3, 5) for s in range(700)]
+    outcomes = spark.createDataFrame(rows, "target string, h int, session_idx int, y double")
+    preds = spark.createDataFrame([(t, h, "m", s, v + float(rng.normal())) for t, h, s, v in rows], "target string, h int, model string, session_idx int, pred double")
+    past = spark.createDataFrame([(t, h, s, float(rng.normal())) for t, h, s, _ in rows], "target string, h int, session_idx int, pred double")
+    folder = str(tmp_path / "environment")
+    SO.environment(folder, spark.range(3), outcomes, past, preds, spark.range(2), lambda h: h + 1, 300, 700, {}, {})
+    got = {(r["h"], r["model"]): r for r in spark.read.parquet(f"{folder}/predictability").collect()}
+    assert set(got) == {(h, m) for h in (3, 5) for m in ("m", "persistence")}
+    p = pd.Series([r["pred"] for r in preds.filter("h = 3").orderBy("session_idx").collect()])
+    want = p[300:].rank().corr(pd.Series(y)[300:].rank())
+    assert got[3, "m"]["spearman"] == pytest.approx(want) and got[3, "m"]["t"] == pytest.approx(want * (400 / 3) ** 0.5)
+    assert abs(got[3, "persistence"]["spearman"]) < 0.2 and got[5, "persistence"]["oos_r2"] < got[5, "m"]["oos_r2"] + 1
+
+
+def test_book_stage_is_sorted_and_reported(spark, tmp_path):
+    books = spark.createDataFrame([("s", "top", 5, 0.5), ("s", "cap", 5, None), ("t", "top", 21, 0.9), ("t", "cap", 21, 0.1)], "source string, rule string, rebalance_every_sessions int, sharpe_excess double")
+    controls = spark.createDataFrame([("stale", 0.2), ("stale", 0.4), ("shuffled", None)], "family string, sharpe_excess double")
+    base = spark.createDataFrame([("ew", 0.3)], "book string, sharpe_excess double")
+    assert [r["sharpe_excess"] for r in SO.ranked_books(books).collect()] == [0.9, 0.5, 0.1, None]
+    folder = str(tmp_path / "book")
+    SO.book(folder, books, base, controls, ["source", "rule"], ["sharpe_excess"], {"book": {"a": 1}}, {})
+    text = Files(spark).text(f"{folder}/REPORT.md")
+    assert text.index("| t | top | 0.900 |") < text.index("| s | top | 0.500 |") < text.index("| s | cap |  |")
+    assert "| top | 0.700 | 2 |" in text and "| stale | 0.300 | 0.400 |" in text and "| ew | 0.300 |" in text
+    assert spark.read.parquet(f"{folder}/controls").count() == 3
+    SO.book(folder, books, base, None, ["rule"], ["sharpe_excess"], {}, {})
+    assert "Controls" not in Files(spark).text(f"{folder}/REPORT.md") and not os.path.exists(f"{folder}/controls")
