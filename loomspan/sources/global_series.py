@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-MARKET = {"m_vix": (0, "avg"), "m_vxn": (1, "avg"), "m_copper": (2, "avg"), "m_gold": (3, "avg"), "m_oil": (4, "avg")}
+#: Number of the priority (none: all of them, which gives a value on nearly every session) and statistic of each series.
+MARKET = {"m_vix": (None, "avg"), "m_vxn": (1, "avg"), "m_copper": (2, "avg"), "m_gold": (3, "avg"), "m_oil": (4, "avg")}
 CBOE = {"c_vix": (0, "max"), "c_vix3m": (1, "max"), "c_vix9d": (2, "max"), "c_vvix": (3, "max"), "c_skew": (4, "max"), "c_cor1m": (0, "min"), "c_cor3m": (1, "min")}
 TREASURY = {"t_10_year": (2, "min"), "t_3_month": (3, "min"), "t_2_year": (4, "min")}
 CBOE_FILL, LAG = 5, 1
@@ -15,7 +16,7 @@ CBOE_FILL, LAG = 5, 1
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date with a column for each series."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("date"), "o_orderpriority", "o_totalprice")
-    pick = lambda k, f: getattr(F, f)(F.when(F.col("o_orderpriority") == _PRIORITIES[k], F.col("o_totalprice")))
+    pick = lambda k, f: getattr(F, f)(F.when(F.lit(True) if k is None else F.col("o_orderpriority") == _PRIORITIES[k], F.col("o_totalprice")))
     return orders.groupBy("date").agg(*[pick(k, f).alias(n) for n, (k, f) in (MARKET | CBOE | TREASURY).items()])
 
 
@@ -38,7 +39,7 @@ def with_globals(panel: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    cols = ", ".join(f"{f}(CASE WHEN o_orderpriority = '{_PRIORITIES[k]}' THEN o_totalprice END) AS {n}" for n, (k, f) in (MARKET | CBOE | TREASURY).items())
+    cols = ", ".join(f"{f}(CASE WHEN {'true' if k is None else f"o_orderpriority = '{_PRIORITIES[k]}'"} THEN o_totalprice END) AS {n}" for n, (k, f) in (MARKET | CBOE | TREASURY).items())
     lagged = ", ".join(f"lag({c}, {LAG}) OVER (ORDER BY session_idx) AS {c}" for c in [*MARKET, *CBOE])
     filled = ", ".join([*MARKET, *[f"last_value({c} IGNORE NULLS) OVER (ORDER BY session_idx ROWS BETWEEN {CBOE_FILL} PRECEDING AND CURRENT ROW) AS {c}" for c in CBOE]])
     latest = ", ".join(f"(SELECT arg_max({c}, g.date) FROM series g WHERE g.date < days.d AND {c} IS NOT NULL) AS {c}" for c in TREASURY)
