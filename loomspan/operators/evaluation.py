@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from statistics import NormalDist
 
@@ -70,6 +71,7 @@ def slice_moments(trials: DataFrame, slices: int = 16) -> DataFrame:
     return placed.groupBy("trial", part.alias("slice")).agg(F.sum(r).alias("s1"), F.sum(r * r).alias("s2"), F.count(F.lit(1)).alias("n"))
 
 
+@lru_cache(maxsize=64)  # all rows of a table ask for the same one
 def expected_max_sharpe(n_trials: int, variance: float) -> float:
     """Sharpe that the best of n trials without skill is expected to have."""
     if n_trials < 2:
