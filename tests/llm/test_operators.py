@@ -665,3 +665,22 @@ def test_plan_places_every_rank_once(seed):
             end += count
         assert end == histogram[length]
     assert n >= -(-sum(k * v for k, v in histogram.items()) // 2048)
+
+
+def test_tables_of_classes_are_not_broadcast(spark, monkeypatch):
+    """Joins with tables that grow with the corpus sort at every size; only the large regions, which are few, are broadcast."""
+    from loomspan.llm import jaccard_join
+
+    write, broadcast = jaccard_join.materialise, set()
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def written(df, label, *partition_by):
+        if "BroadcastHashJoin" in plan(df):
+            broadcast.add(label)
+        return write(df, label, *partition_by)
+
+    monkeypatch.setattr(jaccard_join, "materialise", written)
+    assert "BroadcastHashJoin" not in plan(jaccard_join.components(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    assert broadcast <= {"members"}
