@@ -62,6 +62,12 @@ def test_stages_take_an_empty_table(spark):
         assert stage(spark, docs, SF).filter(F.lit(True)).count() == 0
 
 
+def test_near_copies_are_left_out_without_a_broadcast(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert "BroadcastHashJoin" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 OWN = ["kept", "n_words", "contaminated", "hashes", "left_text", "expected_grade", "_hit", "cls", "component_id", "_own0", "k", "grade", "x y"]
 
 
