@@ -299,3 +299,32 @@ def test_wide_queries_cover_all_segments(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
     out = registry.queries()["ic_pivot_all"](spark, str(tmp_path)).toPandas().set_index("c_nationkey")
     assert list(out) == ["building", "household", "machinery", "none"] and out.to_numpy().sum() == 50
+
+
+def test_bars_are_summed_up_by_hash_and_read_once(spark, tmp_path):
+    """Bars as by a minimum over whole keys, with tied, null and repeated ones; no task sorts all line items, sessions and panel don't read them again."""
+    from pyspark.sql import functions as F
+
+    from loomspan.sources import brand_panel as B
+
+    days = ["1995-01-02", "1995-01-03", None]
+    rows = [(o, n, p, s, float(1 + o % 7), float(900 + 13 * p + 7 * s + n), days[o % 3]) for o in range(1, 40) for n in (1, 2) for p in (1, 2, 9) for s in (1, 5)]
+    rows += [(None, 1, 2, 3, 2.0, 500.0, days[0]), (39, 2, 9, 7, 4.0, None, days[0]), *rows[:5]]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate string")
+    parts = spark.createDataFrame([(1, "Brand#11"), (2, "Brand#12"), (9, "Brand#19")], "p_partkey long, p_brand string")
+    for name, frame in (("lineitem", lines), ("part", parts)):
+        frame.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    ticker = F.expr(f"concat('T', CAST(CAST(substring(p_brand, 7) AS INT) % {B.TICKERS} AS STRING))")
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumns({"date": F.to_date("l_shipdate"), "ticker": ticker, "price": 100 + F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")) / 10, "at": F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")})
+    plain = joined.groupBy("date", "ticker").agg(F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "at").alias("close"), F.sum("l_quantity").alias("volume"))
+    bars = B.brand_bars(spark, str(tmp_path))
+    assert sorted(map(repr, bars.collect())) == sorted(map(repr, plain.collect()))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    sums = plan(B.bar_sums(spark, str(tmp_path)))
+    assert "HashAggregate" in sums and "SortAggregate" not in sums and "Broadcast" not in sums and "SortMergeJoin" not in sums
+    for df in (bars, B.densify(bars), B._brand_panel(spark, str(tmp_path), None)):
+        assert "lineitem.parquet" not in plan(df)
