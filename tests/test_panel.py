@@ -82,6 +82,35 @@ def test_cross_rank_and_single_ticker(panel):
     same(run(panel, A.rank(CLOSE)), expected)
 
 
+def test_ranks_are_the_windows_of_sql_on_odd_values(spark):
+    values = [1.0, 1.0, 0.0, -0.0, float("nan"), float("nan"), None, None, -3.0, 1e300, float("-inf"), float("inf")]
+    rng = np.random.default_rng(3)
+    rows = [(s, t, rng.choice(values), float(rng.integers(3))) for s in range(40) for t in [*[f"t{i:02}" for i in range(s % 13 + 1)], *([None] if s % 3 == 0 else [])]]
+    rows += [(40, f"u{i}", None, 1.0) for i in range(30)]
+    df = spark.createDataFrame([(s, t, None if v is None else float(v), w) for s, t, v, w in rows], "session_idx int, ticker string, a double, b double").repartition(3)
+    outputs = {f"{op}_{c}": A.Expr(op, A.col(c)) for op in ("crank", "crow", "ccount") for c in ("a", "b")}
+    emit = A.Emitter("spark")
+    expected = df.selectExpr("session_idx", "ticker", *[f"{emit.text(e)} AS {n}" for n, e in outputs.items()])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "10000"):  # sessions that end inside batches and go over several of them
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = A.evaluate(df, outputs, keep=("session_idx", "ticker"))
+            assert got.dtypes == expected.dtypes
+            key = lambda r: (r[0], r[1] or "")
+            assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, expected.collect()), key=key)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert A.evaluate(df.limit(0), outputs, keep=("session_idx", "ticker")).count() == 0
+
+
+def test_many_ranks_sort_the_panel_as_often_as_one(panel):
+    """Each sort takes a page of memory of its task, so it must not be one for each rank."""
+    plan = lambda n: A.evaluate(panel[1], {f"r{i}": A.rank(CLOSE * (i + 1.0)) for i in range(n)} | {"p": P.ordinal_pct(CLOSE)}, keep=("session_idx", "ticker"))._jdf.queryExecution().executedPlan().toString()
+    sorts = [sum(line.lstrip(" :+-*()0123456789").startswith("Sort ") for line in plan(n).splitlines()) for n in (1, 30)]
+    assert sorts[0] == sorts[1] <= 2
+
+
 def test_rank_past_excludes_the_current_session(panel):
     c = panel[0].pivot(index="session_idx", columns="ticker", values="close").astype(float)
     expected = pd.DataFrame(np.nan, index=c.index, columns=c.columns)
