@@ -48,6 +48,18 @@ def test_no_label_reads_the_retrain_session(spark):
         assert end + P.reach(h) < 2000
 
 
+def test_the_schedule_is_made_once_for_all_horizons(spark):
+    back = lambda h: P.reach(h) + 1
+    schedule = I.retrain_schedule(calendar(spark, "2010-01-04", "2012-12-31"), 400, 2)
+    fits = I.fits(schedule, P.HORIZONS, 252, 3, back)
+    windows = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+    assert windows(fits) == windows(schedule) == 1
+    retrains = [r["session_idx"] for r in schedule.collect()]
+    ends = [(s, h, s - back(h)) for s in retrains for h in P.HORIZONS]
+    assert sorted(map(tuple, fits.collect())) == sorted((s, h, e - 251, e) for s, h, e in ends if e - 251 >= 3)
+    assert dict(fits.dtypes)["h"] == "int"
+
+
 # -- trees ---------------------------------------------------------------------------------------------------------
 def plain(bins, y, key, s, model):
     """Trees of one process, by looking at every split of every node's rows."""
