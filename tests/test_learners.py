@@ -10,6 +10,7 @@ from loomspan.operators import ingest as I
 from loomspan.operators import learners as L
 from loomspan.operators import models as M
 from loomspan.operators import panel_ops as P
+from loomspan.plans import run_queries
 
 
 # -- spans ---------------------------------------------------------------------------------------------------------
@@ -60,6 +61,30 @@ def test_the_schedule_is_made_once_for_all_horizons(spark):
     assert dict(fits.dtypes)["h"] == "int"
 
 
+def test_a_task_that_makes_the_rows_of_the_walk_forward_run_holds_few_pages(spark, tmp_path):
+    """Measured, not planned: Spark's peak execution memory of each task, in pages of this session (each sort takes one at least)."""
+    rng = np.random.default_rng(5)
+    days = pd.bdate_range("2010-01-04", periods=320)
+    many = len(days) * 8
+    lines = {"l_orderkey": np.arange(many), "l_linenumber": 1, "l_partkey": np.tile(np.arange(8), len(days)), "l_suppkey": 1, "l_quantity": 1.0, "l_extendedprice": rng.uniform(1e4, 2e4, many), "l_shipdate": np.repeat(days, 8)}
+    spark.createDataFrame(pd.DataFrame(lines)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(8)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("momentum rows", "")
+    try:
+        assert run_queries.momentum_rows(spark, str(tmp_path)).count() == many
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    scala, tracker = context._jsc.sc(), context.statusTracker()
+    scala.listenerBus().waitUntilEmpty()
+    stages = {k for job in tracker.getJobIdsForGroup("momentum rows") for k in tracker.getJobInfo(job).stageIds}
+    most = 0
+    for k in stages:
+        tasks = scala.statusStore().taskList(k, 0, 10_000)
+        most = max([most, *(tasks.apply(i).taskMetrics().get().peakExecutionMemory() for i in range(tasks.size()) if tasks.apply(i).taskMetrics().isDefined())])
+    assert 0 < most <= 8 * context._jvm.org.apache.spark.SparkEnv.get().memoryManager().pageSizeBytes()
+
+
 # -- trees ---------------------------------------------------------------------------------------------------------
 def plain(bins, y, key, s, model):
     """Trees of one process, by looking at every split of every node's rows."""
